@@ -8,10 +8,12 @@ of the ranges (a table of a bounded number of rows) and running sizes within eac
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import table
+from terrafold.llm.common import checkpointed, table
 
 #: Parameters: keys that are sampled on average, ranges before any is cut again, and the size in mean ranges from which one is.
 SAMPLE, RANGES, OVERFULL = 16_384, 256, 2.0
@@ -43,20 +45,14 @@ def splitters(keyed: DataFrame, total: int, ranges: int, sample: int) -> list[tu
 
 
 def range_of(cuts: list[tuple[int, int]]) -> Column:
-    """How many splitters a key has reached: a tree of comparisons, so a few of them for each row."""
+    """How many splitters a key has reached: first among every so many of them, then among those between."""
     if not cuts:
         return F.lit(0)
-
-    def below(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        k1, k2 = cuts[mid]
-        reached = (F.col("k1") > k1) | ((F.col("k1") == k1) & (F.col("k2") >= k2))
-        return F.when(reached, below(mid + 1, high)).otherwise(below(low, mid))
-
-    # two levels: the tree over every 16th splitter, then those between, keep each expression small
-    return below(0, len(cuts))
+    step = max(1, math.isqrt(len(cuts)))
+    fixed = lambda own: F.array(*[F.struct(F.lit(a).cast("long").alias("k1"), F.lit(b).cast("long").alias("k2")) for a, b in own])
+    reached = lambda own: F.size(F.filter(own, lambda c: c <= F.struct("k1", "k2")))
+    steps = reached(fixed(cuts[step - 1 :: step])) * step
+    return steps + reached(F.slice(fixed(cuts), steps + 1, step))
 
 
 def shard(docs: DataFrame, shards: int = 8, ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
@@ -68,7 +64,7 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = RANGES, sample: int =
     keys like others.  An empty table gives no rows.  Where ranges stay overfull after the second cut (rows that repeat
     one document), the rows of a range go through one sort that spills, but never into memory at once.
     """
-    keyed = records(docs)
+    keyed = checkpointed(records(docs))  # a few numbers for each row, so that the texts are read once
     total = keyed.agg(F.sum("size")).first()[0] or 0
     cuts = splitters(keyed, total, ranges, sample)
     ranged = keyed.withColumn("part", range_of(cuts))
