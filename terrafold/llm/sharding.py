@@ -8,6 +8,7 @@ of the ranges (a table of a bounded number of rows) and running sizes within eac
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,7 +50,7 @@ def range_of(cuts: list[tuple[int, int]]) -> Column:
     if not cuts:
         return F.lit(0)
     step = max(1, math.isqrt(len(cuts)))
-    fixed = lambda own: F.array(*[F.struct(F.lit(a).cast("long").alias("k1"), F.lit(b).cast("long").alias("k2")) for a, b in own])
+    fixed = lambda own: F.from_json(F.lit(json.dumps([{"k1": a, "k2": b} for a, b in own])), "array<struct<k1:bigint,k2:bigint>>")  # noqa: E731  one literal
     reached = lambda own: F.size(F.filter(own, lambda c: c <= F.struct("k1", "k2")))
     steps = reached(fixed(cuts[step - 1 :: step])) * step
     return steps + reached(F.slice(fixed(cuts), steps + 1, step))
@@ -76,12 +77,13 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = RANGES, sample: int =
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are ranges
     offsets = by_range.select("part", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("size_0"), F.coalesce(F.sum("part_rows").over(earlier), F.lit(0)).alias("row_0"))
     order = Window.partitionBy("part").orderBy("k1", "k2", "size", "text_crc32")
-    placed = (
+    placed = checkpointed(  # else the windows would run again for the first rows
         ranged.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("row", F.row_number().over(order) - 1)
         .join(F.broadcast(offsets), "part")  # at most 3 * RANGES rows
         .withColumn("row", F.col("row") + F.col("row_0"))
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor((F.col("size_0") + F.col("before") + F.col("size") / 2) * shards / F.lit(float(max(1, total))))).cast("int"))
+        .select("doc_id", "size", "text_crc32", "shard", "row")
     )
     firsts = placed.groupBy("shard").agg(F.min("row").alias("row_1"))
     return placed.join(F.broadcast(firsts), "shard").select(  # one row for each shard
