@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator, by name."""
-    from terrafold.llm import bpe, pii, secret_scan, sharding
+    from terrafold.llm import bpe, decontamination, near_dedup, pii, secret_scan, sharding
 
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op2_bpe": bpe.op2_bpe,
         "op5_pii": pii.op5_pii,
         "op6_secrets": secret_scan.op6_secrets,
         "op7_sharding": sharding.op7_sharding,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    from terrafold.llm import decontamination
+
+    return {"op1_decontamination": decontamination.OP1_SQL}
