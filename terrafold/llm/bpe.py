@@ -14,7 +14,9 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+from array import array
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,18 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(moved)) for b in range(256)]
 
 
+class _Numbered(dict):
+    """Numbers words as they come, so that a text is held as four bytes a word; ``fresh`` has those not encoded yet."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str | int] = []
+
+    def __missing__(self, word: str | int) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class PairIndexEncoder:
     """Encoder and decoder for one vocabulary file of the byte-level BPE kind."""
 
@@ -61,7 +75,7 @@ class PairIndexEncoder:
         # longest first, as a shorter special token may begin a longer one
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.remember = remember
-        self.seen: dict[str, bytes] = {}
+        self.seen, self.ids = _Numbered(), []
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left << _SHIFT) | right
@@ -70,6 +84,8 @@ class PairIndexEncoder:
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word (not empty) as little-endian unsigned 32-bit integers."""
+        if not words:
+            return []
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
         starts, n = ends - lengths, int(ends[-1])
@@ -123,25 +139,27 @@ class PairIndexEncoder:
         cut = np.append(0, np.cumsum(counts) * 4).tolist()
         return [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; None is an empty text."""
+    def encode(self, texts: Iterable[str | None], specials: bool = True) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; None is an empty text.
+
+        specials: whether the strings of special tokens get their ids, or are ordinary text.
+        """
         split, rows = self.split.findall, []
+        if len(self.seen) > self.remember:
+            self.seen, self.ids = _Numbered(), []
+        number = self.seen.__getitem__
         for text in texts:
             if not text:
-                rows.append([])
-            elif self.special_split is not None and any(s in text for s in self.specials):
-                parts = self.special_split.split(text)
-                rows.append([w for i, p in enumerate(parts) for w in ([self.specials[p]] if i % 2 else split(p))])
+                rows.append(())
+            elif specials and self.special_split is not None and any(s in text for s in self.specials):
+                parts = enumerate(self.special_split.split(text))
+                rows.append(array("I", map(number, chain.from_iterable([self.specials[p]] if i % 2 else split(p) for i, p in parts))))
             else:
-                rows.append(split(text))
-        if len(self.seen) > self.remember:
-            self.seen.clear()
-        fresh = list({w for row in rows for w in row if w not in self.seen})
-        words = [w for w in fresh if isinstance(w, str)]
-        self.seen.update((w, np.array([w], "<u4").tobytes()) for w in fresh if not isinstance(w, str))
-        if words:
-            self.seen.update(zip(words, self.encode_words([w.encode() for w in words]), strict=True))
-        ids = self.seen.__getitem__
+                rows.append(array("I", map(number, split(text))))
+        fresh, self.seen.fresh = self.seen.fresh, []
+        made = iter(self.encode_words([w.encode() for w in fresh if isinstance(w, str)]))
+        self.ids += [next(made) if isinstance(w, str) else w.to_bytes(4, "little") for w in fresh]
+        ids = self.ids.__getitem__
         return [b"".join(map(ids, row)) for row in rows]
 
     def decode(self, rows: Iterable[bytes | None]) -> list[str]:
