@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator, by name."""
-    from terrafold.llm import bpe, decontamination, near_dedup, pii, quality_model, quality_rules, secret_scan, sharding, token_counts
+    from terrafold.llm import bpe, decontamination, near_dedup, page_text, pii, quality_model, quality_rules, secret_scan, sharding, token_counts
 
     return {
         "op1_decontamination": decontamination.op1_decontamination,
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": pii.op5_pii,
         "op6_secrets": secret_scan.op6_secrets,
         "op7_sharding": sharding.op7_sharding,
+        "op8_page_text": page_text.op8_page_text,
         "op9_quality_model": quality_model.op9_quality_model,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }

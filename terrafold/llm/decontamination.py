@@ -92,6 +92,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"), "key")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that share no window with an item, with all columns."""
+    found = checkpointed(decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct())
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    return docs.join(found, (F.xxhash64("text") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie inside a window of a benchmark item, and the items."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

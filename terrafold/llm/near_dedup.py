@@ -224,6 +224,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     )
 
 
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are kept: one for each group of near copies, with all columns.
+
+    Of rows that repeat a doc_id the least by text stays.  Rows without doc_id all stay.
+    """
+    found = checkpointed(near_duplicates(docs, width, percent).select("doc_id", "kept"))
+    gone = bounded(found.where(~F.col("kept")).select("doc_id").distinct())
+    rest = docs.join(gone, "doc_id", "left_anti")
+    again = checkpointed(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return rest
+    columns = [F.col("text"), *[F.col(c) for c in docs.columns if c not in ("text", "doc_id")]]
+    one = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("row")).select("doc_id", "row.*")
+    return rest.join(again, "doc_id", "left_anti").unionByName(one.select(docs.columns))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies among all documents, by shingles of two words and a similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
