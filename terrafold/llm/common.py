@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it; an installed package is found anyway."""
+    environment, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([here, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +57,7 @@ def map_rows(df: DataFrame, function: Callable[[list, ...], list], inputs: list[
     function: gets one list for each input and returns one list for each of ``fields`` (name, Arrow type, Spark type).
     Clashing names: columns of ``df`` other than ``keep`` are not carried, so none can clash with ``fields``.
     """
+    importable(df.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"`{n}` {sql}" for n, _, sql in fields])
     # inputs go under names of their own: a kept column may be an input as well

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import checkpointed, map_rows, table
+from terrafold.llm.common import checkpointed, importable, map_rows, table
 
 #: Parameters: bands and rows of a band.  At a similarity of 0.8 a pair shares no band with a chance of 4e-7.
 BANDS, ROWS = 28, 4
@@ -173,6 +173,7 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def rest_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links in buckets that still hold several components (members: bucket, node, n, component)."""
+    importable(members.sparkSession)
     per = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
     stats = per.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most"))
     stats = stats.where(F.col("all") > F.col("most"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.bpe import encoder, vocabulary_path
-from terrafold.llm.common import checkpointed, shared_folder, table
+from terrafold.llm.common import checkpointed, importable, shared_folder, table
 
 #: Parameter: bytes of a range.
 BLOCK_BYTES = 4 << 20
@@ -40,6 +40,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, separator:
     count.  Null and empty texts are documents without tokens.  Special tokens in a text are ordinary text.
     The result is written before it is returned, so that no file is written twice.
     """
+    importable(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,6 +65,7 @@ def document_lengths(spark: SparkSession, folder: str, separator: int, dtype: st
     Tokens after the last separator are a document, if there are any.  An empty file has no documents; an incomplete
     last token is left out.
     """
+    importable(spark)
     width = np.dtype(dtype).itemsize
     block_bytes = max(1, block_bytes // width) * width
     files = spark.read.format("binaryFile").load(folder).select("path", (F.col("length") - F.col("length") % width).alias("bytes")).where("bytes > 0")
