@@ -44,19 +44,24 @@ def interval_intersects(a: tuple[int, int], b: tuple[int, int]) -> bool:
     return a == b or b[0] <= a[0] < b[1] or a[0] <= b[0] < a[1]
 
 
+def floor_div(a: Column, by: int) -> Column:
+    """Division of longs rounded down; the quotient is whole before it becomes a double, so nothing is lost."""
+    return ((a - F.pmod(a, F.lit(by).cast("long"))) / F.lit(by)).cast("long")
+
+
 def days_of(ms: Column) -> Column:
     """Whole days since the epoch, rounded down."""
     return F.floor(ms / F.lit(86_400_000)).cast("int")
 
 
-def _calendar(ms: Column) -> tuple[Column, Column, Column, Column]:
-    """Year, month, day and milliseconds of the day."""
-    date = F.date_from_unix_date(days_of(ms))
-    return F.year(date), F.month(date), F.day(date), F.pmod(ms, F.lit(86_400_000).cast("long"))
+def _moved(days: Column, months: Column | int, rest: Column) -> Column:
+    """Milliseconds of a day some months later; a day that the month lacks becomes its last."""
+    return F.unix_date(F.add_months(F.date_from_unix_date(days), months)).cast("long") * 86_400_000 + rest
 
 
-def _from_calendar(year: Column, month: Column, day: Column, rest: Column) -> Column:
-    return F.unix_date(F.make_date(year, month, day)).cast("long") * 86_400_000 + rest
+def _inside(t: Column) -> Column:
+    """``t`` cut to what the calendar can tell."""
+    return F.least(F.greatest(t, F.lit(-62_135_596_800_000)), F.lit(253_402_214_400_000))
 
 
 @dataclass(frozen=True)
@@ -89,25 +94,23 @@ class TimeStep:
         """
         if unit := UNIT_MS.get(self.granularity):
             whole = _div(t - F.lit(reference), unit)
-            return F.floor(whole / F.lit(self.step)).cast("long")
-        year, month, _, _ = _calendar(t)
-        ref = _date(reference)
+            return floor_div(whole, self.step)
+        ref, date = _date(reference), F.date_from_unix_date(days_of(_inside(t)))
+        year, month = F.year(date), F.month(date)
         if self.granularity == "years":
-            return F.floor((year - ref.year) / F.lit(self.step)).cast("long")
-        return F.floor(((year - ref.year) * 12 + month - ref.month) / F.lit(self.step)).cast("long")
+            return floor_div(year - ref.year, self.step)
+        return floor_div((year - ref.year) * 12 + month - ref.month, self.step)
 
     def at(self, index: Column, reference: int) -> Column:
         """The time that lies ``index`` steps after the reference."""
         if fixed := self.fixed_ms:
             return (F.lit(reference) + index * F.lit(fixed)).cast("long")
-        ref = _date(reference)
-        months = index * self.months + (ref.month - 1)
-        rest = F.lit(reference % 86_400_000).cast("long")
-        return _from_calendar((F.lit(ref.year) + F.floor(months / 12)).cast("int"), (F.pmod(months, F.lit(12)) + 1).cast("int"), F.lit(ref.day), rest)
+        day, rest = divmod(reference, 86_400_000)
+        return _moved(F.lit(day), (index * self.months).cast("int"), F.lit(rest).cast("long"))
 
     def snap(self, t: Column, reference: int = 0) -> Column:
         """The step at or before ``t`` (see ``index`` for times before the reference); the first and last instant stay."""
-        inner = self.at(self.index(F.when((t > MIN_MS) & (t < MAX_MS), t), reference), reference)
+        inner = self.at(self.index(t, reference), reference)
         return F.when(t <= MIN_MS, F.lit(MIN_MS)).when(t >= MAX_MS, F.lit(MAX_MS)).otherwise(inner).cast("long")
 
     def add(self, t: Column, n: int = 1) -> Column:
@@ -115,9 +118,7 @@ class TimeStep:
         if fixed := self.fixed_ms:
             moved = t + F.lit(n * fixed)
         else:
-            year, month, day, rest = _calendar(F.when((t > MIN_MS) & (t < MAX_MS), t))
-            months = year * 12 + month - 1 + n * self.months
-            moved = _from_calendar(F.floor(months / 12).cast("int"), (F.pmod(months, F.lit(12)) + 1).cast("int"), day, rest)
+            moved = _moved(days_of(_inside(t)), n * self.months, F.pmod(t, F.lit(86_400_000).cast("long")))
         return F.when((t <= MIN_MS) | (t >= MAX_MS), t).otherwise(moved).cast("long")
 
     def snap_ms(self, t: int, reference: int = 0) -> int:
@@ -145,9 +146,8 @@ class TimeStep:
         when = _date(t)
         total = when.year * 12 + when.month - 1 + months
         year, month = divmod(total, 12)
-        if when.day > calendar.monthrange(year, month + 1)[1]:
-            raise ValueError(f"no day {when.day} in {year}-{month + 1}")
-        return to_ms(when.replace(year=year, month=month + 1).isoformat())
+        day = min(when.day, calendar.monthrange(year, month + 1)[1])
+        return to_ms(when.replace(year=year, month=month + 1, day=day).isoformat())
 
     def steps(self, start: int, end: int, reference: int = 0) -> list[tuple[int, int]]:
         """All steps that intersect [start, end); for an instant the one that holds it."""
@@ -167,4 +167,4 @@ class TimeStep:
 
 def _div(a: Column, unit: int) -> Column:
     """Division of longs that cuts off towards zero."""
-    return F.when(a >= 0, F.floor(a / F.lit(unit))).otherwise(-F.floor(-a / F.lit(unit)))
+    return F.when(a >= 0, floor_div(a, unit)).otherwise(-floor_div(-a, unit))

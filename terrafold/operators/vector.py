@@ -78,8 +78,8 @@ class TimeProjection(Operator):
         step, ref = TimeStep.of(self.step), to_ms(self.step_reference or 0)
         low, high = step.snap_ms(rect.time[0], ref), step.snap_ms(rect.time[1], ref)
         time = (low, high if high == rect.time[1] else step.add_ms(high))
-        end = step.snap(F.col("t_end"), ref)
-        return self.vector.query(ctx, rect.but(time=time)).withColumns({"t_start": step.snap(F.col("t_start"), ref), "t_end": F.when(end == F.col("t_end"), end).otherwise(step.add(end))})
+        found = self.vector.query(ctx, rect.but(time=time)).withColumns({"t_start": step.snap(F.col("t_start"), ref), "__end": step.snap(F.col("t_end"), ref)})
+        return found.withColumn("t_end", F.when(F.col("__end") == F.col("t_end"), F.col("t_end")).otherwise(step.add(F.col("__end")))).drop("__end")
 
 
 @dataclass(frozen=True)

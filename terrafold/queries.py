@@ -310,7 +310,7 @@ add(
     run(over("TemporalRasterAggregation", over("TemporalRasterAggregation", ONE, aggregation={"type": "sum", "ignoreNoData": True}, window=THREE), aggregation={"type": "sum", "ignoreNoData": True}, window={"granularity": "days", "step": 2})),
     with_pixels(f"""SELECT w AS t_start, w + {2 * DAY} AS t_end, 0::BIGINT AS band, y, x, cast(sum(value) AS BIGINT) AS value FROM (
  SELECT s, y, x, value, unnest(range(cast(floor(s / {2 * DAY}) AS BIGINT), cast(floor((s + {3 * DAY} - 1) / {2 * DAY}) AS BIGINT) + 1)) * {2 * DAY} AS w
- FROM (SELECT {window_of} AS s, y, x, sum(value) AS value FROM r WHERE band = 0 GROUP BY {window_of}, y, x)) GROUP BY w, y, x"""),
+ FROM (SELECT {window_of} AS s, y, x, sum(value) AS value FROM r WHERE band = 0 GROUP BY {window_of}, y, x)) WHERE w < {T0 + 30 * DAY} AND w + {2 * DAY} > {T0} GROUP BY w, y, x"""),
 )
 
 # ---- neighbourhoods ----

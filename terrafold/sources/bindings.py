@@ -18,7 +18,7 @@ GRID = GeoTransform(-180.0, 90.0, 22.5, -22.5)
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds of a timestamp's own date and time, whatever the session's zone."""
     parts = F.unix_date(ts.cast("date")).cast("long") * DAY + F.hour(ts) * HOUR + F.minute(ts) * 60_000
-    return parts + F.floor(F.extract(F.lit("SECOND"), ts) * 1000)
+    return (parts + F.floor(F.extract(F.lit("SECOND"), ts) * 1000)).cast("long")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
