@@ -39,7 +39,8 @@ class Workflow:
         times = sorted(rows["t_start"].unique())
         out = np.ma.masked_all((len(times), b - a + 1, d - c + 1))
         known = rows[rows["value"].notna()]
-        out[known["t_start"].map({t: i for i, t in enumerate(times)}), known["y"] - a, known["x"] - c] = known["value"].astype(float)
+        at = (known["t_start"].map({t: i for i, t in enumerate(times)}).to_numpy(), (known["y"] - a).to_numpy(), (known["x"] - c).to_numpy())
+        out[at] = known["value"].to_numpy(float)
         return out
 
     def plot_json(self, rect: Rect | None = None) -> dict:

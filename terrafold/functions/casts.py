@@ -18,7 +18,7 @@ def machine_cast(value: Column, source: str, target: str) -> Column:
     if is_float(source):
         v = value.cast("double")
         wide = "decimal(20,0)" if target in ("U64", "I64") else "bigint"
-        inside = F.when(v >= float(high), F.lit(str(high)).cast(wide)).when(v <= float(low), F.lit(str(low)).cast(wide)).when(F.isnan(v), F.lit("0").cast(wide))
+        inside = F.when(F.isnan(v), F.lit("0").cast(wide)).when(v >= float(high), F.lit(str(high)).cast(wide)).when(v <= float(low), F.lit(str(low)).cast(wide))
         cut = F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v))
         return inside.when(v.isNotNull(), cut.cast(wide)).cast(spark_type)
     s_low, s_high, _ = PIXEL_TYPES[source]

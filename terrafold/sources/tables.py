@@ -293,6 +293,7 @@ class MockRasterSource(Operator):
     def query(self, ctx: Context, rect: Rect) -> DataFrame:
         rows = [(*t["time"], t.get("band", 0), t.get("y", 0) + i, t.get("x", 0) + j, v) for t in self.tiles for i, row in enumerate(t["data"]) for j, v in enumerate(row)]
         kind = PIXEL_TYPES[self.descriptor.data_type][2]
-        wide = "double" if kind in ("float", "double") else "long"
+        wide, cast = ("double", float) if kind in ("float", "double") else ("long", int)
+        rows = [(*r[:-1], None if r[-1] is None else cast(r[-1])) for r in rows]
         df = ctx.spark.createDataFrame(rows, f"t_start long, t_end long, band int, y int, x int, value {wide}")
         return rect.on_grid(self.descriptor.transform).of_pixels(df.withColumn("value", F.col("value").cast(kind)))
