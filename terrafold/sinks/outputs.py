@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from terrafold.model.descriptor import RasterDescriptor
 from terrafold.model.time import MAX_MS, MIN_MS
-from terrafold.plots.vega import iso
 
 
 def geojson(df: DataFrame, geometry: str) -> DataFrame:
@@ -111,4 +110,39 @@ def store(df: DataFrame, descriptor: Any, path: str) -> None:
     df.sparkSession.createDataFrame([(json.dumps(asdict(descriptor), default=str),)], "value string").coalesce(1).write.text(f"{path}/descriptor")
 
 
-__all__ = ["Colorizer", "arrow", "colored", "feature_collection", "geojson", "iso", "png", "store", "tiles"]
+#: Numbers of the sample formats and of the types of TIFF.
+_SAMPLE = {"U8": (1, "B"), "U16": (1, "H"), "U32": (1, "I"), "I8": (2, "b"), "I16": (2, "h"), "I32": (2, "i"), "F32": (3, "f"), "F64": (3, "d")}
+
+
+def geotiff(df: DataFrame, descriptor: RasterDescriptor, pixels: tuple[int, int, int, int], no_data: float) -> bytes:
+    """An uncompressed GeoTIFF of one slice; each band is a plane.  For results as small as a map; ``store`` takes larger ones."""
+    a, b, c, d = pixels
+    height, width, bands = b - a + 1, d - c + 1, len(descriptor.bands)
+    kind, code = _SAMPLE[descriptor.data_type]
+    planes = [[no_data] * (height * width) for _ in range(bands)]
+    for band, y, x, value in df.where("value is not null").select("band", "y", "x", "value").toLocalIterator():
+        planes[band][(y - a) * width + x - c] = value
+    size, t = struct.calcsize(code), descriptor.transform
+    body = b"".join(struct.pack(f"<{height * width}{code}", *(int(v) if kind < 3 else float(v) for v in p)) for p in planes)
+    epsg = int(descriptor.srs.rpartition(":")[2])
+    keys = [1, 1, 0, 3, 1024, 0, 1, 2 if epsg == 4326 else 1, 1025, 0, 1, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg]
+    text = f"{no_data:g}".encode() + b"\0"
+    plane = height * width * size
+    tags = [
+        (256, "I", [width]), (257, "I", [height]), (258, "H", [8 * size] * bands), (259, "H", [1]), (262, "H", [1]), (273, "I", [8 + k * plane for k in range(bands)]), (277, "H", [bands]), (278, "I", [height]), (279, "I", [plane] * bands), (284, "H", [2]),
+        (339, "H", [kind] * bands), (33550, "d", [abs(t.x_size), abs(t.y_size), 0.0]), (33922, "d", [0.0, 0.0, 0.0, t.x + c * t.x_size, t.y + a * t.y_size, 0.0]), (34735, "H", keys), (42113, "s", [text]),
+    ]
+    numbers = {"H": 3, "I": 4, "d": 12, "s": 2}
+    at = 8 + len(body) + (len(body) % 2)
+    entries, extra = b"", b""
+    start = at + 2 + 12 * len(tags) + 4
+    for tag, form, values in tags:
+        raw = values[0] if form == "s" else struct.pack(f"<{len(values)}{form}", *values)
+        count = len(raw) if form == "s" else len(values)
+        if len(raw) > 4:
+            place = struct.pack("<I", start + len(extra))
+            extra += raw + b"\0" * (len(raw) % 2)
+        else:
+            place = raw.ljust(4, b"\0")
+        entries += struct.pack("<HHI", tag, numbers[form], count) + place
+    return b"II*\0" + struct.pack("<I", at) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0" + extra

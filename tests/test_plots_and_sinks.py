@@ -96,3 +96,28 @@ def test_optimizer_reads_overviews(ctx):
         optimize(from_json(op("GdalSource", data="r", overviewLevel=2)), (4.0, 4.0), ctx)
     assert for_request(from_json(source), "EPSG:4326", (3.0, 3.0), ctx).TYPE == "Downsampling"
     assert for_request(from_json(source), "EPSG:4326", (0.5, 0.5), ctx).TYPE == "Interpolation"
+
+
+def test_geotiff(ctx):
+    import struct
+
+    from terrafold.sinks.outputs import geotiff
+
+    node = from_json(op("GdalSource", data="r"))
+    raw = geotiff(node.query(ctx, Rect()), node.describe(ctx), (0, 7, 0, 7), -1)
+    at = struct.unpack("<I", raw[4:8])[0]
+    tags = {t: v for t, _, _, v in struct.iter_unpack("<HHII", raw[at + 2 : at + 2 + 12 * struct.unpack("<H", raw[at : at + 2])[0]])}
+    assert raw[:4] == b"II*\0" and (tags[256], tags[257], tags[273]) == (8, 8, 8)
+    assert struct.unpack("<64i", raw[8 : 8 + 256]) == tuple(range(64))
+
+
+def test_cache(ctx):
+    from terrafold.engine.cache import QueryCache, contains
+
+    assert contains(Rect(), Rect(pixels=(0, 1, 0, 1))) and not contains(Rect(pixels=(0, 1, 0, 1)), Rect())
+    cache, node = QueryCache(ctx, most=2), from_json(op("GdalSource", data="r"))
+    assert cache.query(node, Rect()).count() == 64
+    assert cache.query(node, Rect(pixels=(0, 1, 0, 3))).count() == 8 and (cache.hits, cache.misses) == (1, 1)
+    summed = from_json(over("TemporalRasterAggregation", op("GdalSource", data="r"), aggregation={"type": "sum"}, window={"granularity": "millis", "step": 10}))
+    cache.query(summed, Rect(time=(0, 20)))
+    assert cache.query(summed, Rect(time=(0, 10))).count() == 64 and cache.misses == 3
