@@ -13,13 +13,13 @@ from terrafold.functions import expression
 from terrafold.functions.casts import machine_cast, saturated
 from terrafold.model.descriptor import PIXEL_TYPES, Band, RasterDescriptor, is_float
 from terrafold.model.rect import Rect
-from terrafold.model.time import MAX_MS, MIN_MS, TimeStep, intersects, to_ms
+from terrafold.model.time import MAX_MS, MIN_MS, TimeStep, to_ms
 
 PIXEL = ("t_start", "t_end", "band", "y", "x")
 
 
-def null_as(kind: str) -> Column:
-    return F.lit(None).cast(PIXEL_TYPES[kind][2])
+#: Parameter: pieces of time that are broadcast at most.
+BROADCAST_PIECES = 100_000
 
 
 @dataclass(frozen=True)
@@ -439,21 +439,36 @@ class RasterStacker(Operator):
             offset += n
         if len(parts) == 1:
             return parts[0][0]
-        # slices are a small table: one row for each time step of each input, not for each pixel
-        times = [df.select("t_start", "t_end").distinct() for df, _, _ in parts]
-        edges = times[0].select(F.col("t_start").alias("t"))
-        for k, t in enumerate(times):
-            edges = edges.union(t.select("t_end")) if k == 0 else edges.union(t.select("t_start")).union(t.select("t_end"))
-        w = Window.orderBy("t")
-        pieces = edges.distinct().select(F.col("t").alias("a"), F.lead("t").over(w).alias("b")).where("b is not null")
-        for k, t in enumerate(times):
-            own = t.select(F.col("t_start").alias(f"s{k}"), F.col("t_end").alias(f"e{k}"))
-            pieces = pieces.join(own, intersects(F.col("a"), F.col("b"), F.col(f"s{k}"), F.col(f"e{k}")))
+        # the slices of an input are its time steps, whatever its number of pixels
+        slices = [sorted({(r.t_start, r.t_end) for r in df.select("t_start", "t_end").distinct().collect()}) for df, _, _ in parts]
+        aligned = all(s == slices[0] for s in slices)
+        pieces = [] if aligned else refined(slices)
         out = None
         for k, (df, offset, wanted) in enumerate(parts):
             if not wanted:
                 continue
-            mine = pieces.select("a", "b", F.col(f"s{k}").alias("t_start"), F.col(f"e{k}").alias("t_end"))
-            moved = df.join(mine, ["t_start", "t_end"]).select(F.col("a").alias("t_start"), F.col("b").alias("t_end"), (F.col("band") + offset).alias("band"), "y", "x", "value")
+            moved = df.withColumn("band", F.col("band") + offset)
+            if not aligned:
+                rows = [(*own[k], a, b) for a, b, own in pieces]
+                mine = ctx.spark.createDataFrame(rows, "t_start long, t_end long, a long, b long")
+                mine = F.broadcast(mine) if len(rows) <= BROADCAST_PIECES else mine
+                moved = moved.join(mine, ["t_start", "t_end"]).select(F.col("a").alias("t_start"), F.col("b").alias("t_end"), "band", "y", "x", "value")
+            moved = moved.select(*PIXEL, "value")
             out = moved if out is None else out.unionByName(moved)
         return out
+
+
+def refined(slices: list[list[tuple[int, int]]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, the slice of each input) of the pieces of time that all inputs have; slices are sorted and apart."""
+    edges = sorted({e for own in slices for s in own for e in s})
+    at, out = [0] * len(slices), []
+    for a, b in zip(edges, edges[1:], strict=False):
+        own = []
+        for k, mine in enumerate(slices):
+            while at[k] < len(mine) and mine[at[k]][1] <= a:
+                at[k] += 1
+            if at[k] < len(mine) and mine[at[k]][0] <= a:
+                own.append(mine[at[k]])
+        if len(own) == len(slices):
+            out.append((a, b, own))
+    return out
