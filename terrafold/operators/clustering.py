@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.engine.graph import Context, GraphError, Operator, need
+from terrafold.engine.workers import importable
 from terrafold.functions import geometry
 from terrafold.model.descriptor import VectorDescriptor
 from terrafold.model.rect import Rect
@@ -106,6 +107,7 @@ class VisualPointClustering(Operator):
         return out
 
     def query(self, ctx: Context, rect: Rect) -> DataFrame:
+        importable(ctx.spark)
         columns = {n: s["aggregateType"] for n, s in self.column_aggregates.items()}
         types = self.describe(ctx).columns
         least, delta, resolution = self.min_radius_px, self.delta_px, self.resolution

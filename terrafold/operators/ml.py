@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.engine.graph import Context, GraphError, Operator, need
+from terrafold.engine.workers import importable
 from terrafold.model.descriptor import PIXEL_TYPES, Band, RasterDescriptor
 from terrafold.model.rect import Rect
 
@@ -68,6 +69,7 @@ class Onnx(Operator):
 
     def query(self, ctx: Context, rect: Rect) -> DataFrame:
         self.describe(ctx)
+        importable(ctx.spark)
         model = ctx.models[self.model]
         found = self.raster.query(ctx, rect.but(bands=None))
         cols = [f"b{i}" for i in range(model.bands)]

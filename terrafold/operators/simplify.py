@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from terrafold.engine.workers import importable
+
 
 def douglas_peucker(points: np.ndarray, epsilon: float) -> np.ndarray:
     """Points farther than ``epsilon`` from the line that replaces them stay.  A stack, so that long lines need no recursion."""
@@ -61,6 +63,7 @@ def visvalingam(points: np.ndarray, epsilon: float, least: int) -> np.ndarray:
 
 def simplified(df: DataFrame, kind: str, algorithm: str, epsilon: float) -> DataFrame:
     """``df`` with simpler geometries; rings keep four points."""
+    importable(df.sparkSession)
     depth, least = (1, 2) if kind == "MultiLineString" else (2, 4)
 
     def one(line: list) -> list:
