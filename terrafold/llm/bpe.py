@@ -24,11 +24,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import map_rows, table
+from terrafold.llm.common import CACHES, map_rows, table
 
 #: Fixed value: how the byte-level vocabulary splits text into words before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Parameters: new words that are encoded together at most, and words that a worker remembers.
+TOGETHER, REMEMBER = 49_152, 250_000
+
 _DEAD, _SHIFT, _NO_RANK = -2, 20, 1 << 40
 
 
@@ -54,7 +57,7 @@ class _Numbered(dict):
 class PairIndexEncoder:
     """Encoder and decoder for one vocabulary file of the byte-level BPE kind."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = REMEMBER):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -65,7 +68,7 @@ class PairIndexEncoder:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, i in self.specials.items():
             self.pieces[i] = token.encode()
-        self.byte_ids = np.array([vocabulary[c] for c in byte_characters()], np.int64)
+        self.byte_ids = np.array([vocabulary[c] for c in byte_characters()], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.merges = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs]
         keys = np.array([(a << _SHIFT) | b for a, b, _ in self.merges], np.int64)
@@ -78,7 +81,7 @@ class PairIndexEncoder:
         self.seen, self.ids = _Numbered(), []
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left << _SHIFT) | right
+        key = (left.astype(np.int64) << _SHIFT) | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], _NO_RANK)
 
@@ -89,8 +92,8 @@ class PairIndexEncoder:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
         starts, n = ends - lengths, int(ends[-1])
-        symbols = np.append(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)], -1)  # one more place: outside
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        symbols = np.append(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)], np.int32(-1))  # one more place: outside
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1], before[starts] = n, n
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
@@ -157,7 +160,9 @@ class PairIndexEncoder:
             else:
                 rows.append(array("I", map(number, split(text))))
         fresh, self.seen.fresh = self.seen.fresh, []
-        made = iter(self.encode_words([w.encode() for w in fresh if isinstance(w, str)]))
+        words = [w for w in fresh if isinstance(w, str)]
+        parts = (self.encode_words([w.encode() for w in words[i : i + TOGETHER]]) for i in range(0, len(words), TOGETHER))
+        made = chain.from_iterable(parts)
         self.ids += [next(made) if isinstance(w, str) else w.to_bytes(4, "little") for w in fresh]
         ids = self.ids.__getitem__
         return [b"".join(map(ids, row)) for row in rows]
@@ -174,6 +179,9 @@ def encoder(path: str) -> PairIndexEncoder:
     return PairIndexEncoder(path)
 
 
+CACHES[__name__] = encoder.cache_clear
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 

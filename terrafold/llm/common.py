@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafold.engine.workers import importable
+
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: By module: how to drop what an operator remembers in a worker process.
+CACHES: dict[str, Callable[[], object]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: the one that the session names in ``spark.checkpoint.dir``.
@@ -29,14 +36,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver found it; an installed package is found anyway."""
-    environment, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if here not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([here, *paths])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,22 +50,40 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def give_back() -> None:
+    """Hand memory that is free, but kept by the allocators of a worker, back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, function: Callable[[list, ...], list], inputs: list[str], fields: list[tuple[str, pa.DataType, str]], keep: list[str]) -> DataFrame:
     """Apply ``function`` to the ``inputs`` of each Arrow batch; its columns follow those in ``keep``.
 
     function: gets one list for each input and returns one list for each of ``fields`` (name, Arrow type, Spark type).
     Clashing names: columns of ``df`` other than ``keep`` are not carried, so none can clash with ``fields``.
     """
-    importable(df.sparkSession)
+    spark = df.sparkSession
+    importable(spark)
+    if spark.conf.get(BATCH_ROWS, None) is None:  # texts may be long: fewer of them at once than Spark's own default
+        spark.conf.set(BATCH_ROWS, "2000")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"`{n}` {sql}" for n, _, sql in fields])
-    # inputs go under names of their own: a kept column may be an input as well
-    chosen = df.select(*keep, *[F.col(c).alias(f"__in{i}") for i, c in enumerate(inputs)])
+    extra = [c for c in dict.fromkeys(inputs) if c not in keep]
+    chosen = df.select(*keep, *[F.col(c).alias(f"__in{i}") for i, c in enumerate(extra)])
+    at = [keep.index(c) if c in keep else len(keep) + extra.index(c) for c in inputs]
+    owner = function.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other, clear in CACHES.items():  # a worker is used again: tables that another operator left give way
+            if other != owner:
+                clear()
         for batch in batches:
-            made = function(*[batch.column(len(keep) + i).to_pylist() for i in range(len(inputs))])
+            made = function(*[batch.column(i).to_pylist() for i in at])
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(v, t) for v, (_, t, _) in zip(made, fields, strict=True)]
+            made = None
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[n for n, _, _ in fields]])
+            columns = None
+            give_back()
 
     return chosen.mapInArrow(run, schema)

@@ -57,7 +57,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted), contaminated for each row of ``docs`` (doc_id, text; other columns are left out).
 
     n_hit counts words inside any window that an item has as well; items are those whose windows occur.  Null and empty
-    texts have no words.  Rows that repeat doc_id and text have equal results.  Null doc_ids are kept.
+    texts have no words.  Rows that repeat both doc_id and text are one document and give one row.  Null doc_ids are kept.
     Tables without rows: no documents give no rows, no items give no hits.
     """
     known = checkpointed(item_windows(benchmark))
@@ -68,7 +68,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     base = docs.select("doc_id", F.xxhash64("text").alias("key"), words().alias("w"))
     own = F.array_distinct(F.concat(*[fingerprints(F.col("w"), n) for n in lengths])) if lengths else F.array().cast("array<bigint>")
     spread = base.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.explode_outer(own).alias("fingerprint"))
-    # copies of a row fall together here and part again in the last join
     summed = spread.join(sized(marks), "fingerprint", "left").groupBy("doc_id", "key", "n_words").agg(F.max("hit").alias("hit"))
     summed = checkpointed(summed)
     hit = summed.where("hit").select("doc_id", "key")

@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import checkpointed, importable, map_rows, table
+from terrafold.engine.workers import importable
+from terrafold.llm.common import CACHES, checkpointed, map_rows, table
 
 #: Parameters: bands and rows of a band.  At a similarity of 0.8 a pair shares no band with a chance of 4e-7.
 BANDS, ROWS = 28, 4
@@ -42,6 +43,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+CACHES[__name__] = _hashes.clear
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -49,7 +51,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # splits at space and 09 to 0D
     if not words:
         return np.empty(0, np.uint64)
-    if len(_hashes) > 500_000:
+    if len(_hashes) > 300_000:
         _hashes.clear()
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = min(width, len(h))

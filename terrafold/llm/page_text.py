@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm.common import map_rows, table
+from terrafold.llm.common import CACHES, map_rows, table
 
 #: Parameters: sizes of the hashed path and word vectors, of the state of each direction, pages to train on, rounds, and blocks of a padded group.
 PATH, WORDS, STATE, TRAIN_PAGES, ROUNDS, GROUP_BLOCKS = 64, 32, 16, 1600, 8, 20_000
@@ -147,6 +147,13 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
+def forget() -> None:
+    for cached in (_names, _slot, _path_vector):
+        cached.cache_clear()
+
+
+CACHES[__name__] = forget
+
 #: Words that boilerplate is made of, in the languages of the pages.
 CUES = frozenset("cookie cookies subscribe newsletter advertisement sponsored comments comment reply share login password privacy terms copyright menu search related cart sign follow rights reserved consent accept submit email werbung anzeige suche kommentar publicité recherche commentaire publicidad buscar comentario".split())
 NUMBERS = 8

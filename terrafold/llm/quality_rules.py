@@ -64,7 +64,7 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         *keep,
         F.size("__w").cast("long").alias("n_words"),
         F.aggregate("__w", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
-        only(r"#*$%&|<>").alias("n_symbols"),
+        only(SYMBOLS).alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         repeated(F.col("__w")).alias("n_repeat_words"),
         F.size("__l").cast("long").alias("n_lines"),

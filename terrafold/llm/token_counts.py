@@ -17,8 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrafold.engine.workers import importable
 from terrafold.llm.bpe import encoder, vocabulary_path
-from terrafold.llm.common import checkpointed, importable, shared_folder, table
+from terrafold.llm.common import checkpointed, shared_folder, table
 
 #: Parameter: bytes of a range.
 BLOCK_BYTES = 4 << 20
@@ -42,6 +43,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, separator:
     """
     importable(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    fs, where = _open(folder)
+    fs.create_dir(where, recursive=True)  # an empty table has no task that would
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, where = _open(folder)
