@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -43,6 +44,20 @@ class Workflow:
         out[at] = known["value"].to_numpy(float)
         return out
 
+    def time_slices(self, rect: Rect | None = None) -> DataFrame:
+        """Which slices of time a raster has in the rectangle, without their pixels' values."""
+        return self.query(rect).select("t_start", "t_end").distinct()
+
+    def raster_stream(self, rect: Rect | None = None, size: int = 512) -> Iterator[Any]:
+        """Tiles by time, then place, then band; one partition of them at a time comes to the driver."""
+        from terrafold.sinks.outputs import tiles
+
+        yield from tiles(self.query(rect), size).orderBy("t_start", "tile_y", "tile_x", "band").toLocalIterator()
+
+    def vector_stream(self, rect: Rect | None = None) -> Iterator[Any]:
+        """Features, one partition at a time."""
+        yield from self.query(rect).toLocalIterator()
+
     def plot_json(self, rect: Rect | None = None) -> dict:
         """The document of a plot."""
         return self.graph.document(self.ctx, rect or Rect())

@@ -115,6 +115,11 @@ add(
     run(op("OgrSource", data="events", columns=EVENT_COLUMNS | {"rename": {"user_id": "uid"}}, attributeProjection=["uid", "event_type"]), finish=flat),
     f"SELECT {MIN_MS} AS t_start, {MAX_MS} AS t_end, user_id AS uid, event_type FROM events",
 )
+add(
+    "ogr_attribute_query",
+    run(op("OgrSource", data="events", columns=EVENT_COLUMNS, attributeQuery="user_id % 5 = 1 AND value > 3"), finish=flat),
+    f"SELECT {MIN_MS} AS t_start, {MAX_MS} AS t_end, event_id, user_id, value, event_type FROM events WHERE user_id % 5 = 1 AND value > 3",
+)
 add(
     "ogr_try_cast_ignore",
     run(op("OgrSource", data="events", columns={"int": ["event_id"], "float": ["event_type"], "rename": {"event_type": "number"}})),

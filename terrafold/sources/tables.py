@@ -123,6 +123,7 @@ class OgrSource(Operator):
 
     attribute_projection: columns to keep.  attribute_filters: dicts of attribute, ranges (inclusive), keepNulls.
     time: a dict: kind none, start, startEnd or startDuration; start, end or duration (a field, or milliseconds, "infinite", "zero"); format.
+    attribute_query: a condition in SQL on the dataset's own columns.
     columns: dict of x, y (points), int, float, text, bool, datetime (lists), rename (a dict).  on_error: ignore drops rows
     whose values can't be read, abort raises.
     """
@@ -134,6 +135,7 @@ class OgrSource(Operator):
     time: dict = field(default_factory=lambda: {"kind": "none"}, hash=False)
     columns: dict = field(default_factory=dict, hash=False)
     on_error: str = "ignore"
+    attribute_query: str | None = None
 
     def _types(self) -> dict[str, str]:
         rename = self.columns.get("rename", {})
@@ -152,6 +154,8 @@ class OgrSource(Operator):
         from terrafold.operators.vector import range_predicate
 
         df, _ = ctx.dataset(self.data)
+        if self.attribute_query:
+            df = df.where(F.expr(self.attribute_query))
         strict = self.on_error == "abort"
         cast = (lambda c, t: c.cast(t)) if strict else (lambda c, t: c.try_cast(t))
         rename, out, bad = self.columns.get("rename", {}), {}, F.lit(False)

@@ -179,7 +179,10 @@ def test_workflow_calls(ctx):
     flow = Workflow(raster(tile((0, 1), [[1, None], [3, 4], [5, 6]])), ctx)
     array = flow.get_array(Rect(pixels=(0, 2, 0, 1)))
     assert array.shape == (1, 3, 2) and array[0, 2, 1] == 6 and array.mask[0, 0, 1]
-    assert len(Workflow(POINTS, ctx).get_dataframe()) == 3
+    assert len(Workflow(POINTS, ctx).get_dataframe()) == 3 == len(list(Workflow(POINTS, ctx).vector_stream()))
+    series = Workflow(raster(*SERIES), ctx)
+    assert sorted(map(tuple, series.time_slices().collect())) == [(0, 10), (10, 20), (20, 30), (30, 40)]
+    assert [t.data for t in series.raster_stream(size=4)][3] == [None, 5, 4, 3, 2, 1]
 
 
 def test_gaps():
