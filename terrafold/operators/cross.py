@@ -181,7 +181,9 @@ class RasterVectorJoin(Operator):
         value = lambda k: F.max(F.when(F.col("band") == k, F.col("value"))).cast("double").alias(f"v{k}")
         wide = pixels.select("t_start", "t_end", "y", "x", F.col("value").cast("double").alias("v0")) if n == 1 else pixels.groupBy("t_start", "t_end", "y", "x").agg(*map(value, range(n)))
         wide = wide.withColumnsRenamed({"t_start": "r_start", "t_end": "r_end"})
-        rows = found.withColumn("__id", F.monotonically_increasing_id())
+        from terrafold.sources.tables import identity
+
+        rows = found.withColumn("__id", identity(found.columns))
         covered = self._covered(rows, kind, rdesc.transform)
         hits = covered.join(wide, ["y", "x"]).where(intersects(F.col("t_start"), F.col("t_end"), F.col("r_start"), F.col("r_end")))
         per_slice = hits.groupBy("__id", "r_start", "r_end").agg(*[self._combined(self.feature_aggregation, self.feature_aggregation_ignore_no_data, F.col(f"v{k}"), F.col("i")).alias(f"v{k}") for k in range(n)])

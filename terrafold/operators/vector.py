@@ -198,7 +198,10 @@ class PointInPolygonFilter(Operator):
         return points
 
     def query(self, ctx: Context, rect: Rect) -> DataFrame:
-        points = self.points.query(ctx, rect).withColumn("__id", F.monotonically_increasing_id())
+        from terrafold.sources.tables import identity
+
+        points = self.points.query(ctx, rect)
+        points = points.withColumn("__id", identity(points.columns))
         polygons = self.polygons.query(ctx, rect.but(columns=())).select(F.col("t_start").alias("p_start"), F.col("t_end").alias("p_end"), F.explode("geom").alias("polygon"))
         x0, y0, x1, y1 = geometry.bounds(F.array("polygon"), "MultiPolygon")
         polygons = polygons.withColumns({"x0": x0, "y0": y0, "x1": x1, "y1": y1})
@@ -216,8 +219,10 @@ class PointInPolygonFilter(Operator):
         hit = intersects(F.col("t_start"), F.col("t_end"), F.col("p_start"), F.col("p_end")) & geometry.in_polygons(F.array("polygon"), F.col("p.x"), F.col("p.y"))
         inside = lambda own: own.join(dealt, (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy")) & hit, "left_semi").drop("p", "px", "py")
         # a feature of one point hits or not; only features of several points can hit more than once
-        single, many = inside(spread.where(F.size("geom") == 1)), inside(spread.where(F.size("geom") > 1))
-        return single.unionByName(many.dropDuplicates(["__id"])).drop("__id")
+        single = inside(spread.where(F.size("geom") == 1))
+        hits = inside(spread.where(F.size("geom") > 1)).select("__id").distinct()
+        many = points.where(F.size("geom") > 1).join(hits, "__id", "left_semi").select(points.columns)
+        return single.unionByName(many).drop("__id")
 
 
 @dataclass(frozen=True)

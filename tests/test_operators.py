@@ -214,3 +214,12 @@ def test_clustering_merges(ctx):
     rows = [{"n": 2, "x": 0.0, "y": 0.0, "t_start": 0, "t_end": 5}, {"n": 1, "x": 3.0, "y": 0.0, "t_start": 2, "t_end": 9}, {"n": 1, "x": 500.0, "y": 0.0, "t_start": 0, "t_end": 1}]
     out = merge_circles(rows, 4.0, 1.0, 1.0, {})
     assert [(c["n"], c["x"], c["t_start"], c["t_end"]) for c in out] == [(3, 1.0, 0, 9), (1, 500.0, 0, 1)]
+
+
+def test_equal_features_stay_apart(ctx):
+    twice = op("MockFeatureCollectionSource", geometryType="MultiPoint", columns={"a": "int", "b": "int"}, rows=[[0, 25, [[0.5, 2.5], [1.5, 0.5]], 1, None]] * 2 + [[0, 25, [[0.5, 2.5], [1.5, 0.5]], None, 1]])
+    square = op("MockFeatureCollectionSource", geometryType="MultiPolygon", rows=[[0, 50, [[[[0, 0], [2, 0], [2, 3], [0, 3], [0, 0]]]]]])
+    inside = op("PointInPolygonFilter", {"points": twice, "polygons": square})
+    assert from_json(inside).query(ctx, Rect()).count() == 3
+    joined = make("RasterVectorJoin", {"vector": from_json(inside), "rasters": (raster(*SERIES[:2]),)}, names={"type": "names", "values": ["v"]}, feature_aggregation="mean")
+    assert sorted((r.t_start, r.v) for r in joined.query(ctx, Rect()).collect()) == [(0, 3.5)] * 3 + [(10, 3.5)] * 3
