@@ -46,8 +46,8 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z; every other character stays as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z to a-z; every other character stays as it is.  Texts of ASCII alone take a faster way."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def give_back() -> None:

@@ -15,22 +15,29 @@ from terrafold.llm.common import ascii_lower, checkpointed, table, text_or_empty
 
 #: Parameters: words of a window and of a gram, and the most rows of a table that is broadcast.
 WINDOW, GRAM, BROADCAST_ROWS = 10, 5, 500_000
-#: Fixed value: words, once A-Z are lower case.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what stands between words, once A-Z are lower case.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: str = "text") -> Column:
-    return F.regexp_extract_all(ascii_lower(text_or_empty(text)), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(text_or_empty(text)), BETWEEN), "")
 
 
 def fingerprints(own: Column, length: int) -> Column:
-    """The fingerprint of each window of ``length`` words, in order; none if there are fewer words."""
+    """The fingerprint of each window of ``length`` words, in order; none if there are fewer words.
+
+    An array around an array names it inside the lambda that follows, so that it is made once.
+    """
     gram = min(GRAM, length)
     inside = length - gram + 1
-    made = F.transform(F.sequence(F.lit(1), F.size(own) - (gram - 1)), lambda i: F.xxhash64(F.lit(length), F.slice(own, i, gram)))
-    if inside > 1:  # an array around the grams names them, so that they are made once
-        least = lambda grams: F.transform(F.sequence(F.lit(1), F.size(grams) - (inside - 1)), lambda i: F.array_min(F.slice(grams, i, inside)))
-        made = F.flatten(F.transform(F.array(made), least))
+    named = lambda made, use: F.flatten(F.transform(F.array(made), use))
+    run = lambda a, x, i, n: [x, *[F.get(a, i + k) for k in range(1, n)]]  # noqa: E731  n neighbours, this one first
+    grams = named(F.transform(own, lambda w: F.xxhash64(w)), lambda h: F.transform(h, lambda x, i: F.xxhash64(F.lit(length), *run(h, x, i, gram))))
+    starts = F.size(own) - (length - 1)
+    if inside > 1:
+        made = named(grams, lambda g: F.transform(F.slice(g, 1, starts), lambda x, i: F.least(*run(g, x, i, inside))))
+    else:
+        made = F.slice(grams, 1, starts)
     return F.when(F.size(own) >= length, made).otherwise(F.array().cast("array<bigint>"))
 
 
