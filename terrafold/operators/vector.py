@@ -172,16 +172,17 @@ class VectorJoin(Operator):
         return joined
 
 
-#: Parameters of the spatial join: cells along each axis of the polygons' bounds, and polygons that are broadcast at most.
-CELLS, BROADCAST_POLYGONS = 64, 10_000
+#: Parameters of the spatial join: cells along each axis of the polygons' bounds, polygons that are broadcast at most, and
+#: polygons and points of theirs that become part of a plain filter at most.
+CELLS, BROADCAST_POLYGONS, FEW_POLYGONS, FEW_POINTS = 64, 10_000, 64, 20_000
 
 
 @dataclass(frozen=True)
 class PointInPolygonFilter(Operator):
     """Points of which any lies in any polygon at a time that both share.
 
-    Polygons are dealt to the cells of a grid that their bounds meet, and points to the cell they are in, so that the
-    join has an equality key; the ray is cast only within a cell.
+    A few polygons are a filter: one pass over the points.  More are dealt to the cells of a grid that their bounds meet, and points to the cell they
+    are in, so that the join has an equality key; the ray is cast only within a cell.
     """
 
     TYPE: ClassVar[str] = "PointInPolygonFilter"
@@ -205,9 +206,15 @@ class PointInPolygonFilter(Operator):
         polygons = self.polygons.query(ctx, rect.but(columns=())).select(F.col("t_start").alias("p_start"), F.col("t_end").alias("p_end"), F.explode("geom").alias("polygon"))
         x0, y0, x1, y1 = geometry.bounds(F.array("polygon"), "MultiPolygon")
         polygons = polygons.withColumns({"x0": x0, "y0": y0, "x1": x1, "y1": y1})
-        n, *box = polygons.agg(F.count(F.lit(1)), F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
+        n, vertices, *box = polygons.agg(F.count(F.lit(1)), F.sum(F.size(F.flatten("polygon"))), F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
         if not n:
             return points.drop("__id").limit(0)
+        if n <= FEW_POLYGONS and vertices <= FEW_POINTS:
+            schema = polygons.schema.simpleString()
+            known = F.from_json(F.lit(polygons.select(F.to_json(F.collect_list(F.struct("*")))).first()[0]), f"array<{schema}>")
+            near = lambda p, q: p["x"].between(q["x0"], q["x1"]) & p["y"].between(q["y0"], q["y1"])
+            hit = lambda p, q: near(p, q) & intersects(F.col("t_start"), F.col("t_end"), q["p_start"], q["p_end"]) & geometry.in_polygons(F.array(q["polygon"]), p["x"], p["y"])
+            return points.where(F.exists("geom", lambda p: F.exists(known, lambda q: hit(p, q)))).drop("__id")
         width, height = (max((box[i + 2] - box[i]) / CELLS, 1e-12) for i in (0, 1))
         cell = lambda v, low, size: F.floor((v - low) / size)
         across = lambda a, b, low, size: F.explode(F.sequence(cell(F.col(a), low, size), cell(F.col(b), low, size)))

@@ -144,7 +144,9 @@ def test_raster_vector_join(ctx):
     assert first == {"one": 1, "two": 6, "out": 0}
 
 
-def test_point_in_polygon_with_several_points_and_no_polygons(ctx):
+@pytest.mark.parametrize("few", [0, 64])
+def test_point_in_polygon_with_several_points_and_no_polygons(ctx, monkeypatch, few):
+    monkeypatch.setattr("terrafold.operators.vector.FEW_POLYGONS", few)
     square = [[0, 5, [[[[0, 0], [1, 0], [1, 3], [0, 3], [0, 0]]]]]]
     node = op("PointInPolygonFilter", {"points": POINTS, "polygons": op("MockFeatureCollectionSource", geometryType="MultiPolygon", rows=square)})
     assert sorted(r.name for r in from_json(node).query(ctx, Rect()).collect()) == ["one", "two"]
@@ -216,7 +218,9 @@ def test_clustering_merges(ctx):
     assert [(c["n"], c["x"], c["t_start"], c["t_end"]) for c in out] == [(3, 1.0, 0, 9), (1, 500.0, 0, 1)]
 
 
-def test_equal_features_stay_apart(ctx):
+@pytest.mark.parametrize("few", [0, 64])
+def test_equal_features_stay_apart(ctx, monkeypatch, few):
+    monkeypatch.setattr("terrafold.operators.vector.FEW_POLYGONS", few)
     twice = op("MockFeatureCollectionSource", geometryType="MultiPoint", columns={"a": "int", "b": "int"}, rows=[[0, 25, [[0.5, 2.5], [1.5, 0.5]], 1, None]] * 2 + [[0, 25, [[0.5, 2.5], [1.5, 0.5]], None, 1]])
     square = op("MockFeatureCollectionSource", geometryType="MultiPolygon", rows=[[0, 50, [[[[0, 0], [2, 0], [2, 3], [0, 3], [0, 0]]]]]])
     inside = op("PointInPolygonFilter", {"points": twice, "polygons": square})
