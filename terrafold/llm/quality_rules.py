@@ -41,8 +41,10 @@ def repeated(own: Column) -> Column:
     Most texts repeat no window, which the number of distinct hashes tells.  In the others windows are sorted by hash and place, so that equal ones are
     neighbours; their places are sorted again, and each covers 8 words or those up to the next place.
     """
-    places = F.sequence(F.lit(1), F.size(own) - (REPEAT - 1))
-    hashes = F.transform(places, lambda i: F.xxhash64(F.slice(own, i, REPEAT)))
+    # an array around an array names it inside the lambda that follows, so that it is made once
+    words_hashed = F.array(F.transform(own, lambda w: F.xxhash64(w)))
+    wide = F.flatten(F.transform(words_hashed, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, REPEAT)]))))
+    hashes = F.slice(wide, 1, F.size(own) - (REPEAT - 1))
 
     def covered(h: Column) -> Column:
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -50,7 +52,6 @@ def repeated(own: Column) -> Column:
         at = F.flatten(F.transform(F.array(F.array_sort(twice)), lambda p: F.transform(p, lambda x, j: F.least(F.lit(REPEAT), F.coalesce(F.get(p, j + 1) - x, F.lit(REPEAT))))))
         return F.aggregate(at, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    # an array around the hashes names them, so that they are made once
     count = F.aggregate(F.array(hashes), F.lit(0).cast("long"), lambda a, h: a + F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
     return F.when(F.size(own) > REPEAT, count).otherwise(F.lit(0).cast("long"))
 
