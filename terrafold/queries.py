@@ -233,7 +233,7 @@ add(
 )
 WIDE = "w AS (SELECT t_start, t_end, y, x, max(value) FILTER (WHERE band = 0) AS a, max(value) FILTER (WHERE band = 1) AS b, max(value) FILTER (WHERE band = 2) AS c FROM r GROUP BY ALL)"
 expression_sql = lambda value: f"WITH {PIXELS_SQL}, {WIDE} SELECT t_start, t_end, 0::BIGINT AS band, y, x, {value} AS value FROM w"
-add("raster_expression_ndvi", run(over("Expression", RASTER, expression="(B - A) / (A + B)", outputType="F64")), expression_sql("CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN CASE WHEN a + b = 0 THEN CASE WHEN b > a THEN 'inf'::DOUBLE WHEN b < a THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END ELSE (b - a)::DOUBLE / (a + b) END END"))
+add("raster_expression_ndvi", run(over("Expression", RASTER, expression="if A + B == 0 { NODATA } else { (B - A) / (A + B) }", outputType="F64")), expression_sql("CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND a + b <> 0 THEN (b - a)::DOUBLE / (a + b) END"))
 add("raster_expression_nodata", run(over("Expression", RASTER, expression="if A > 20 { NODATA } else { A + B + C }", outputType="I32")), expression_sql("CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND a <= 20 THEN a + b + c END"))
 add("raster_expression_map_nodata", run(over("Expression", RASTER, expression="if A IS NODATA { 0 } else if B < A { 1 } else { 2 }", outputType="U8", mapNoData=True)), expression_sql("CASE WHEN a IS NULL THEN 0 WHEN b IS NULL OR b < a THEN 1 ELSE 2 END::BIGINT"))
 add("bandwise_expression", run(over("BandwiseExpression", RASTER, expression="if x > 10 { x * 1.5 } else { x - 1 }", outputType="F64")), with_pixels(f"SELECT {R}, CASE WHEN value > 10 THEN value * 1.5 ELSE value - 1.0 END::DOUBLE AS value FROM r"))
