@@ -9,9 +9,11 @@ sensitive its target names are and by its own form.  Patterns with a fixed form
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,18 +34,12 @@ PLACEHOLDER = re.compile(r"change_?me|your|example|placeholder|dummy|redacted|xx
 _MAYBE = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 #: A run of at least 24: ends are looked for at every 24th place first, so text without one costs little.
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-_LEX = re.compile(
-    r"""(?P<comment>(?<!\S)(?://|\#).*)
-    |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
-    |(?P<bind>:=|=>|[=:](?![=:/]))
-    |(?P<name>[A-Za-z_][\w]*(?:[.-][A-Za-z_]\w*)*)
-    |(?P<number>\d[\w.]*)
-    |(?P<join>\+|\.)
-    |(?P<compare>[=!<>]=|[<>])
-    |(?P<end>[;,\n{}()\[\]])
-    |(?P<other>[^\S\n]+|.)""",
-    re.X,
-)
+#: An apostrophe after a letter, as in don't, opens no string, but one after a prefix does: b'', or = N''.
+_APOSTROPHE = r"(?:(?<!\w)|(?<=\b[bfruBFRU])|(?<=\b[bfrBFR][bfrBFR])|(?<=[=:(,+][A-Za-z])|(?<=[=:(,+]\x20[A-Za-z]))'"
+_STRINGS = {'"': r'"(?:[^"\\\n]|\\.)*+"', "'": _APOSTROPHE + r"(?:[^'\\\n]|\\.)*+'", "`": r"`[^`\n]*+`"}
+_OPENS = {'"': '"', "'": _APOSTROPHE, "`": "`"}
+#: What follows a string; anything else right after a closing quote tells that this quote opens one.
+_AFTER_STRING = frozenset(" \t\r+,;:.)]}<>=%&|?*-\"'`")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _BINDS = re.compile(r"[\w\"'`\]]\s{0,8}(?::=|=>|[=:])\s{0,8}[\"'`\w]")
 
@@ -75,6 +71,57 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4 * 0.6 + (kinds - 1) * 0.25)
 
 
+@functools.cache
+def _lexer(unclosed: str) -> re.Pattern[str]:
+    """Tokens of a line in which the quotes in ``unclosed`` open no string."""
+    quotes = [q for q in _STRINGS if q not in unclosed]
+    return re.compile(
+        rf"""(?P<comment>(?<!\S)(?://|\#).*)
+        {"|(?P<string>" + "|".join(_STRINGS[q] for q in quotes) + ")" if quotes else ""}
+        {"|(?P<open>" + "|".join(_OPENS[q] for q in quotes) + ")" if quotes else ""}
+        |(?P<bind>:=|=>|[=:](?![=:/]))
+        |(?P<name>[A-Za-z_][\w]*(?:[.-][A-Za-z_]\w*)*)
+        |(?P<number>\d[\w.]*)
+        |(?P<join>\+|\.)
+        |(?P<compare>[=!<>]=|[<>])
+        |(?P<end>[;,\n{{}}()\[\]])
+        |(?P<other>[^\S\n]+|.)""",
+        re.X,
+    )
+
+
+def _tokens(text: str, at: int, end: int) -> Iterator[re.Match[str]]:
+    """Tokens of the line from ``at`` to ``end``, in time linear in its length.
+
+    A quote that nothing closes opens no string, nor does any later one of its kind: each is looked for once.  A string that ends in
+    a bind, with more text right behind it, begins at a stray quote: its closing quote is the one that opens.
+    """
+    unclosed = ""
+    while True:
+        for m in _lexer(unclosed).finditer(text, at, end):
+            if m.lastgroup == "open":
+                unclosed, at = unclosed + m[0], m.end()
+                break
+            if m.lastgroup == "string" and m.end() < end and text[m.end()] not in _AFTER_STRING and (name := _bound(m[0][1:-1])) is not None:
+                # escaped quotes would be tried again from each of them: then only the name is lexed
+                at = m.start() + 1 + (name if "\\" in m[0] else 0)
+                break
+            yield m
+        else:
+            return
+
+
+def _bound(inside: str) -> int | None:
+    """Where the name begins that a bind at the end of ``inside`` follows, if there is one."""
+    name = (left := inside.rstrip()).rstrip("=:>").rstrip()
+    if len(name) == len(left) or not left.endswith(("=", ":", "=>")) or left.endswith("=="):
+        return None
+    start = len(name)
+    while start and (name[start - 1].isalnum() or name[start - 1] in "_.-"):
+        start -= 1
+    return start
+
+
 def lexed_pairs(text: str) -> list[tuple[str, str, int, int]]:
     """(target name, its whole value, start, end) for each literal that a name gets, directly or by way of other names."""
     pairs: list[tuple[str, str, int, int]] = []
@@ -90,17 +137,17 @@ def lexed_pairs(text: str) -> list[tuple[str, str, int, int]]:
             pairs.extend((target, whole, start, end) for _, start, end in got)
         target, got = "", []
 
-    # assignments are lexed in the lines that have one; a text of one line is lexed around each
-    for at, line in _lines(text):
+    # assignments are lexed in the lines that have one, each as a whole
+    for at, stop in _lines(text):
         last = ""
-        for m in _LEX.finditer(line):
+        for m in _tokens(text, at, stop):
             kind, word = m.lastgroup, m[0]
             if kind == "bind":
                 close()
                 target = last
             elif kind == "string":
                 if target:
-                    got.append((word[1:-1], at + m.start() + 1, at + m.end() - 1))
+                    got.append((word[1:-1], m.start() + 1, m.end() - 1))
                 else:
                     last = word[1:-1]  # a quoted key, as in JSON
             elif kind == "name":
@@ -114,18 +161,13 @@ def lexed_pairs(text: str) -> list[tuple[str, str, int, int]]:
     return pairs
 
 
-def _lines(text: str) -> list[tuple[int, str]]:
-    """(start, piece): pieces of lines around what binds a name, each once."""
-    out: list[list[int]] = []
-    for m in _BINDS.finditer(text):
-        low = max(text.rfind("\n", 0, m.start()) + 1, m.start() - 400)
-        high = text.find("\n", m.start())
-        high = min(len(text) if high < 0 else high, m.end() + 400)
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return [(low, text[low:high]) for low, high in out]
+def _lines(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each line that binds a name."""
+    end = 0
+    while m := _BINDS.search(text, end):
+        start, end = text.rfind("\n", 0, m.start() + 1) + 1, text.find("\n", m.start() + 1)
+        end = len(text) if end < 0 else end
+        yield start, end
 
 
 def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, str]]:

@@ -94,3 +94,28 @@ def test_long_runs_are_fast():
     for text in ("1" * 200_000, "@" * 100_000, "1.1." * 50_000, "a" * 200_000 + "@", "+1 " * 50_000, "at " * 100_000, 'x = "' * 40_000, "token=" * 40_000, "a" * 200_000):
         pii.scan(text)
         secret_scan.scan(text)
+
+
+FILL = "Lorem ipsum, dolor sit amet. " * 40
+LONG = "MIIEvQ9+/Xy2" * 150
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (f'private_key = "{LONG}"', [LONG]),
+        (f'{{"blob": "{"A7" * 500}", "private_key": "Zx9$kd83Qw"}}', ["Zx9$kd83Qw"]),
+        (f'{{"blob": "{"A7" * 500} ", "private_key": "Zx9$kd83Qw", "rest": "{"B8" * 900}", "pwd": "Qw7$kd83Zx"}}', ["Zx9$kd83Qw", "Qw7$kd83Zx"]),
+        (f"Don't. {FILL} pwd = 'Zx9$kd83Qw' {FILL} It's.", ["Zx9$kd83Qw"]),
+        (f'It is 6" long. {FILL} pwd = "Zx9$kd83Qw" {FILL}', ["Zx9$kd83Qw"]),
+        ("pwd = b'Zx9$kd83Qw', bearer = N'Zx8$kd83Qw'", ["Zx9$kd83Qw", "Zx8$kd83Qw"]),
+        ('say("pwd: " + name + "Zx9$kd83Qw")', []),
+    ],
+)
+def test_secrets_in_long_lines(text, found):
+    assert [text[a:b] for a, b, _ in secret_scan.scan(text)[1]] == found
+
+
+def test_long_lines_are_linear():
+    for text in ('pwd="' + '\\"' * 200_000, 'pwd=1 "' + '\\"' * 100_000 + 'a="b', "pwd='" * 40_000, 'a="b ' * 40_000, "pwd=`\"'" * 40_000):
+        secret_scan.scan(text)
