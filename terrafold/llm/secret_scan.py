@@ -41,7 +41,9 @@ _OPENS = {'"': '"', "'": _APOSTROPHE, "`": "`"}
 #: What follows a string; anything else right after a closing quote tells that this quote opens one.
 _AFTER_STRING = frozenset(" \t\r+,;:.)]}<>=%&|?*-\"'`")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_BINDS = re.compile(r"[\w\"'`\]]\s{0,8}(?::=|=>|[=:])\s{0,8}[\"'`\w]")
+_BIND = re.compile(r"[=:]")
+#: What each sensitive name contains: a text without any of these has no pair that counts.
+_HINTS = tuple(p for p in SENSITIVE if not any(q != p and q in p for q in SENSITIVE))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -162,10 +164,10 @@ def lexed_pairs(text: str) -> list[tuple[str, str, int, int]]:
 
 
 def _lines(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of each line that binds a name."""
+    """(start, end) of each line that may bind a name."""
     end = 0
-    while m := _BINDS.search(text, end):
-        start, end = text.rfind("\n", 0, m.start() + 1) + 1, text.find("\n", m.start() + 1)
+    while m := _BIND.search(text, end):
+        start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
         end = len(text) if end < 0 else end
         yield start, end
 
@@ -179,6 +181,11 @@ def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, str]]
     return [(start, end, "assign") for (start, end), score in best.items() if score >= threshold]
 
 
+def _hinted(text: str) -> bool:
+    lower = text.lower()
+    return any(h in lower for h in _HINTS)
+
+
 def apart(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Those of ``spans`` that overlap none of ``base`` (sorted by start)."""
     merged: list[list[int]] = []
@@ -198,7 +205,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = sorted(base_spans(text), key=order)
     more = []
-    if any(c in text for c in "\"'`") or "=" in text:
+    if any(c in text for c in "\"'`") and _BIND.search(text) and _hinted(text):
         more = apart(lexed_spans(text), base)
     return base, sorted(base + more, key=order)
 

@@ -119,3 +119,22 @@ def test_secrets_in_long_lines(text, found):
 def test_long_lines_are_linear():
     for text in ('pwd="' + '\\"' * 200_000, 'pwd=1 "' + '\\"' * 100_000 + 'a="b', "pwd='" * 40_000, 'a="b ' * 40_000, "pwd=`\"'" * 40_000):
         secret_scan.scan(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('private_key            = "Zx9$kd83Qw"', ["Zx9$kd83Qw"]),
+        ('pwd =                  "Zx9$kd83Qw"', ["Zx9$kd83Qw"]),
+        ('base                   = "Zx9$kd83Qw"\nclient_auth            = base', ["Zx9$kd83Qw"]),
+        ('credentials = @"Zx9$kd83Qw"', ["Zx9$kd83Qw"]),
+        ('a\n= 1\npwd = "Zx9$kd83Qw"', ["Zx9$kd83Qw"]),
+    ],
+)
+def test_secrets_in_aligned_columns(text, found):
+    assert [text[a:b] for a, b, _ in secret_scan.scan(text)[1]] == found
+
+
+def test_every_sensitive_name_is_looked_for():
+    for name in secret_scan.SENSITIVE:
+        assert secret_scan._hinted(f"x {name.upper()} y")
