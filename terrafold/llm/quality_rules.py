@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.common import checkpointed, table, text_or_empty
 
-#: Parameters: tolerated share of good documents that one rule rejects, confidence, labelled rows, steps of a grid.
-RISK, CONFIDENCE, LABELLED, GRID = 0.01, 0.95, 20_000, 24
+#: Parameters: tolerated share of good documents that one rule rejects, confidence, steps of a grid.
+RISK, CONFIDENCE, GRID = 0.01, 0.95, 24
 #: Characters that are symbols, words of a repeated window.
 SYMBOLS, REPEAT = "#*$%&|<>", 8
 #: Rules by measure: the loosest and the tightest cutoff of the grid.
@@ -92,17 +92,30 @@ def upper_bound(bad: int, n: int, alpha: float) -> float:
     """Clopper and Pearson's upper limit of a share of which ``bad`` of ``n`` were seen, at level 1 - alpha."""
     if bad >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(bad + 1)]
+    logs = log_combinations(bad, n)
     low, high = bad / n, 1.0
     for _ in range(50):
         p = (low + high) / 2
-        terms = [c + k * math.log(p) + (n - k) * math.log1p(-p) for k, c in enumerate(logs)]
-        top = max(terms)
-        tail = math.exp(top) * sum(math.exp(t - top) for t in terms)
-        low, high = (p, high) if tail > alpha else (low, p)
+        low, high = (p, high) if tail(logs, n, p) > alpha else (low, p)
     return high
 
 
+def log_combinations(bad: int, n: int) -> list[float]:
+    return [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(bad + 1)]
+
+
+def tail(logs: list[float], n: int, p: float) -> float:
+    """How probable at most as many of ``n`` are as ``logs`` reaches, at a share ``p``."""
+    terms = [c + k * math.log(p) + (n - k) * math.log1p(-p) for k, c in enumerate(logs)]
+    top = max(terms)
+    return math.exp(top) * sum(math.exp(t - top) for t in terms)
+
+
+def certified(bad: int, n: int, alpha: float, risk: float) -> bool:
+    """Whether the upper bound is at most ``risk``, by one sum instead of the search for the bound: labels may be millions."""
+    return bad < risk * n and tail(log_combinations(bad, n), n, risk) <= alpha
+
+
 def grid(rule: str, steps: int = GRID) -> list[float]:
     loose, tight = RULES[rule]
     return [loose + (tight - loose) * i / (steps - 1) for i in range(steps)]
@@ -111,16 +124,19 @@ def grid(rule: str, steps: int = GRID) -> list[float]:
 def calibrate(measured: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> dict[tuple[str, str], float]:
     """Cutoffs by (stratum, rule) from labelled rows: stratum, quality (1: good) and the measures.
 
-    One aggregation counts, for each stratum, the good rows beyond each cutoff; its size is strata * rules * grid.
+    One aggregation counts, for each stratum, the good rows beyond each cutoff; its size is strata * rules * grid.  Strata with
+    too few rows to certify a cutoff at any level stay there and count for the correction only.
     """
     good = measured.where((F.col("quality") == 1) & ~base_failed()).where(F.col("stratum").isNotNull())
     counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(r) > c, 1)).alias(f"{r}|{i}") for r in RULES for i, c in enumerate(grid(r))])
-    rows = counts.orderBy(F.desc("n"), "stratum").limit(1000).collect()  # strata are languages; more of them can't be certified anyway
-    alpha, cut = (1 - confidence) / max(1, len(rows) * len(RULES)), {}
+    counts = checkpointed(counts)
+    strata = counts.count()
+    alpha, cut = (1 - confidence) / max(1, strata * len(RULES)), {}
+    rows = counts.where(F.col("n") >= math.floor(math.log(alpha) / math.log1p(-risk))).collect()
     for row in rows:
         for rule in RULES:
             for i, c in enumerate(grid(rule)):
-                if upper_bound(row[f"{rule}|{i}"], row["n"], alpha) > risk:
+                if not certified(row[f"{rule}|{i}"], row["n"], alpha, risk):
                     break
                 cut[row["stratum"], rule] = c
     return cut
@@ -137,11 +153,10 @@ def judge(measured: DataFrame, cut: dict[tuple[str, str], float]) -> DataFrame:
     return measured.withColumn("base_failed", base_failed()).withColumn("rejected_by", by).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int = LABELLED) -> DataFrame:
-    """``columns`` of at most ``limit`` labelled documents, the same each time, with quality."""
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("__id"), "quality")
-    return docs.select("doc_id", *columns).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).drop("__id")  # at most ``limit`` rows
+def labelled(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """What the cutoffs need of every labelled row of ``measured`` (with doc_id, stratum), with quality."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return measured.select("doc_id", "stratum", "n_words", "n_repeat_words", *RULES).join(known, "doc_id")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -151,10 +166,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, keep: list[str] | None = N
     rejects.  Rows that repeat are judged each for itself; an empty table gives no rows.
     """
     keep = ["doc_id"] if keep is None else keep
-    sample = labelled_sample(docs.select("doc_id", "text", F.col("lang").alias("stratum")), labels, ["text", "stratum"])
-    cut = calibrate(checkpointed(measures(sample, ["stratum", "quality"])))
-    chosen = docs.select(*[c for c in keep if c != "lang"], F.col("lang").alias("stratum"), *[c for c in ("text",) if c not in keep])
-    return judge(measures(chosen, [c for c in keep if c not in ("text", "lang")] + ["stratum"]), cut)
+    chosen = docs.select("doc_id", "text", F.col("lang").alias("stratum"), *[c for c in keep if c not in ("doc_id", "text", "lang")])
+    carried = [c for c in keep if c not in ("text", "lang")]
+    # measured once: for the cutoffs, then for the verdicts
+    measured = checkpointed(measures(chosen, list(dict.fromkeys(["doc_id", *carried, "stratum"]))))
+    return judge(measured, calibrate(labelled(measured, labels))).drop(*[] if "doc_id" in carried else ["doc_id"])
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

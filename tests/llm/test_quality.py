@@ -89,3 +89,35 @@ def test_model_learns_from_rows_that_are_not_held_out(spark, docs):
 def test_one_class():
     model = quality_model.fit(np.random.default_rng(0).random((50, 20)), np.ones(50))
     assert model.score(np.zeros((1, 20)))[0] > 0.9
+
+
+def test_thresholds_count_every_labelled_document(spark):
+    n = 30_000
+    share = F.when((F.col("id") >= 24_000) & (F.col("id") % 2 == 0), 0.9).otherwise(0.0)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("de").alias("stratum"), F.lit(50).alias("n_words"), F.lit(0).alias("n_repeat_words"), *[share.alias(r) for r in quality_rules.RULES])
+    own = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    found = quality_rules.labelled(docs, own)
+    assert found.count() == n and found.where("symbol_share > 0").count() == 3000
+
+
+def test_rare_languages_get_cutoffs_from_all_labels(spark, docs):
+    r = random.Random(7)
+    text = lambda: " ".join(r.choice(["stone", "river", "of", "the", "house", "market"]) + str(r.randint(0, 999)) for _ in range(24))
+    df = docs([text() for _ in range(800)] + [" ".join(w + "###" for w in text().split()) for _ in range(5)]).withColumn("lang", F.lit("fr"))
+    many = spark.range(1_000, 31_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(w), F.col("id").cast("string")) for w in "a b c d e f g h i j k l m n o p q r s t u v".split()]).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    own = labels(spark, [(i + 1, 1, 0) for i in range(800)]).unionByName(many.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    kept = {g.doc_id: g.kept for g in quality_rules.quality_rules(df.unionByName(many), own).where("doc_id < 1000").collect()}
+    assert sum(kept[k + 1] for k in range(800)) >= 792 and not any(kept[801 + k] for k in range(5))
+
+
+def test_more_strata_than_a_thousand(spark):
+    few = spark.range(1, 1200).select(F.concat(F.lit("l"), "id").alias("stratum"))
+    df = few.unionByName(spark.range(3000).select(F.lit("zz").alias("stratum"))).select("stratum", F.lit(1).alias("quality"), F.lit(50).alias("n_words"), F.lit(0).alias("n_repeat_words"), *[F.lit(0.0).alias(r) for r in quality_rules.RULES])
+    cut = quality_rules.calibrate(df)
+    assert {s for s, _ in cut} == {"zz"}
+
+
+@pytest.mark.parametrize("n", [400, 600, 1000, 5000, 20_000])
+def test_certified_is_the_bound(n):
+    for bad in range(0, n // 80):
+        assert quality_rules.certified(bad, n, 0.002, 0.01) == (quality_rules.upper_bound(bad, n, 0.002) <= 0.01)
