@@ -2,8 +2,9 @@
 
 Source and configuration syntax is lexed into names, literals and operators.  An operator that binds (``=``, ``:=``,
 ``:``, ``=>``) after a name pairs that name with the literals that follow, joined by ``+`` or ``.`` or standing side by
-side; names on the right stand for what an earlier pair gave them, so constants propagate.  A literal scores by how
-sensitive its target names are and by its own form.  Patterns with a fixed form (assign, access, hex) are always kept.
+side; names on the right stand for what an earlier pair gave them, so constants propagate.  In lines that begin with
+NAME = or NAME: a bare word is a literal too, up to white space, comma or line end, unless it is a name or an expression.
+A literal scores by how sensitive its target names are and by its own form.  Patterns with a fixed form (assign, access, hex) are always kept.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ _OPENS = {'"': '"', "'": _APOSTROPHE, "`": "`"}
 _AFTER_STRING = frozenset(" \t\r+,;:.)]}<>=%&|?*-\"'`")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _BIND = re.compile(r"[=:]")
+#: A line NAME = value or NAME: value, also as an item of a list or after a keyword that declares it; the value has no quotes and no call.
+_BARE = re.compile(r"""[^\S\n]*+(?:-[^\S\n]++)?(?:(?:export|set|env|let|const|var)[^\S\n]++)?["']?[A-Za-z_][\w.-]*+["']?[^\S\n]*+(?P<bind>:=|=>|[=:](?![=:/>]))[^\S\n]*+(?P<value>[^\s,"'`(\[{][^\s,"'`]*+)(?!["'`])""", re.I | re.A)
+_CALL, _PATH, _WORD = re.compile(r"[A-Za-z_][\w.]*[(\[]"), re.compile(r"[A-Za-z_]\w*(?:(?:\.|->|::)[A-Za-z_]\w*)+"), re.compile(r"[A-Za-z_]\w*")
+_REFERENCE, _EXPRESSION = re.compile(r"\$[\w({]"), re.compile(r"[^\S\n]*+[+.(\[?]")
 #: What each sensitive name contains: a text without any of these has no pair that counts.
 _HINTS = tuple(p for p in SENSITIVE if not any(q != p and q in p for q in SENSITIVE))
 
@@ -142,8 +147,16 @@ def lexed_pairs(text: str) -> list[tuple[str, str, int, int]]:
     # assignments are lexed in the lines that have one, each as a whole
     for at, stop in _lines(text):
         last = ""
+        bare = _bare(text, at, stop, known)
         for m in _tokens(text, at, stop):
             kind, word = m.lastgroup, m[0]
+            if bare and m.start() >= bare[0]:
+                if m.start() < bare[1] and target:
+                    if not got:
+                        got.append((text[slice(*bare)], *bare))
+                    continue
+                close()
+                bare, last = None, ""
             if kind == "bind":
                 close()
                 target = last
@@ -163,6 +176,24 @@ def lexed_pairs(text: str) -> list[tuple[str, str, int, int]]:
     return pairs
 
 
+def _bare(text: str, at: int, stop: int, known: dict[str, list[tuple[str, int, int]]]) -> tuple[int, int] | None:
+    """(start, end) of the bare literal that the line from ``at`` to ``stop`` gives to the name it begins with.
+
+    None for names that are known, paths of names, words that are spelled as the name of a secret (access_key = access_key),
+    calls, references such as $NAME, and operands.
+    """
+    if not (m := _BARE.match(text, at, stop)):
+        return None
+    value = m["value"].rstrip(";")
+    if m.start("value") > m.end("bind") and value.startswith(("#", "//")):
+        return None  # a comment
+    if not value or value.lower() in known or _CALL.match(value) or _REFERENCE.match(value) or _EXPRESSION.match(text, m.end(), stop):
+        return None
+    if not any(c.isdigit() for c in value) and (_PATH.fullmatch(value) or (_WORD.fullmatch(value) and sensitivity(value))):
+        return None
+    return m.start("value"), m.start("value") + len(value)
+
+
 def _lines(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of each line that may bind a name."""
     end = 0
@@ -205,7 +236,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = sorted(base_spans(text), key=order)
     more = []
-    if any(c in text for c in "\"'`") and _BIND.search(text) and _hinted(text):
+    if _BIND.search(text) and _hinted(text):
         more = apart(lexed_spans(text), base)
     return base, sorted(base + more, key=order)
 

@@ -138,3 +138,26 @@ def test_secrets_in_aligned_columns(text, found):
 def test_every_sensitive_name_is_looked_for():
     for name in secret_scan.SENSITIVE:
         assert secret_scan._hinted(f"x {name.upper()} y")
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("aws_secret_access_key = wJalrXUtnFEMIK7MDENGbPxRfiCY", ["wJalrXUtnFEMIK7MDENGbPxRfiCY"]),
+        ("DB_HOST=localhost\nDB_PWD=Xy9kd83Q\r\nDB_PORT=5432", ["Xy9kd83Q"]),
+        ("db:\n  - private_key: Zx9kd83Qw, other", ["Zx9kd83Qw"]),
+        ("export DB_PWD=#Xy9$kd8+/3Q==; run", ["#Xy9$kd8+/3Q=="]),
+        ("base = Zx9kd83Qw\nclient_auth = base", ["Zx9kd83Qw"]),
+        ("pwd = pre + \"Zx9$kd83Qw\"", ["Zx9$kd83Qw"]),
+        ("host = abc, pwd = \"Zx9$kd83Qw\"", ["Zx9$kd83Qw"]),
+        ("self.access_key = access_key\nself.private_key = config.privateKey\npwd = load(Xy9kd83Q)\npwd = $DB_PWD1x\n# pwd = Xy9kd83Q", []),
+        ("We know that the pwd: Xy9kd83Q is old\ntitle = Xy9kd83Q\npwd =\naccess_key == Xy9kd83Q", []),
+    ],
+)
+def test_bare_values(text, found):
+    assert [text[a:b] for a, b, _ in secret_scan.scan(text)[1]] == found
+
+
+def test_bare_values_are_fast():
+    for text in ("pwd=" + "Xy9" * 100_000, "pwd" + " " * 200_000, "pwd = " + "a." * 100_000, "- " * 100_000 + "pwd = x", "pwd = Xy9kd83Q\n" * 5_000):
+        secret_scan.scan(text)
