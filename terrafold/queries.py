@@ -393,6 +393,22 @@ add(
     run(op("RasterVectorJoin", {"vector": SOME, "rasters": [RASTER]}, featureAggregation="mean", temporalAggregation="mean", featureAggregationIgnoreNoData=True, temporalAggregationIgnoreNoData=True), finish=lambda df: rounded("a", "b", "c")(df.select("event_id", "a", "b", "c"))),
     both("SELECT event_id, " + ", ".join(f"round(coalesce(avg(r.value) FILTER (WHERE band = {k}), 0), 6) AS {c}" for k, c in enumerate("abc")) + f" FROM pts AS p LEFT JOIN r ON {pixel_of} AND {touching} WHERE user_id BETWEEN 0 AND 60 GROUP BY event_id"),
 )
+# the same three joins of all points: SOME stays as the SQL above has it
+add(
+    "raster_vector_join_none_all",
+    run(op("RasterVectorJoin", {"vector": POINTS, "rasters": [ONE]}, featureAggregation="first", temporalAggregation="none"), finish=few),
+    both(f"SELECT coalesce(greatest(p.t_start, r.t_start), p.t_start) AS t_start, coalesce(least(p.t_end, r.t_end), p.t_end) AS t_end, event_id, r.value AS a FROM pts AS p LEFT JOIN r ON band = 0 AND {pixel_of} AND {touching}"),
+)
+add(
+    "raster_vector_join_first_all",
+    run(op("RasterVectorJoin", {"vector": POINTS, "rasters": [ONE]}, featureAggregation="first", temporalAggregation="first", temporalAggregationIgnoreNoData=True), finish=few),
+    both(f"SELECT p.t_start, p.t_end, event_id, coalesce(arg_min(r.value, r.t_start), 0) AS a FROM pts AS p LEFT JOIN r ON band = 0 AND {pixel_of} AND {touching} GROUP BY ALL"),
+)
+add(
+    "raster_vector_join_mean_all",
+    run(op("RasterVectorJoin", {"vector": POINTS, "rasters": [RASTER]}, featureAggregation="mean", temporalAggregation="mean", featureAggregationIgnoreNoData=True, temporalAggregationIgnoreNoData=True), finish=lambda df: rounded("a", "b", "c")(df.select("event_id", "a", "b", "c"))),
+    both("SELECT event_id, " + ", ".join(f"round(coalesce(avg(r.value) FILTER (WHERE band = {k}), 0), 6) AS {c}" for k, c in enumerate("abc")) + f" FROM pts AS p LEFT JOIN r ON {pixel_of} AND {touching} GROUP BY event_id"),
+)
 FIELDS = op("MockFeatureCollectionSource", geometryType="MultiPolygon", columns={"name": "text"}, rows=[[*WEEK, [[RING(-100, -30, 60, 50)]], "big"], [*WEEK, [[RING(70, 10, 130, 60)]], "small"]])
 add(
     "raster_vector_join_polygon",

@@ -41,3 +41,10 @@ def test_query(spark, duck, name):
     at = [expected.columns.index(c) for c in columns]
     want = sorted([plain(r[i]) for i in at] for r in expected.fetchall())
     assert sorted([plain(v) for v in r] for r in df.select(columns).collect()) == want
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["raster_vector_join_none_all", "raster_vector_join_first_all", "raster_vector_join_mean_all"])
+def test_joins_of_all_points_miss_no_event(spark, duck, name):
+    got = QUERIES[name](spark, str(DATA)).select("event_id").distinct().count()
+    assert got == duck.sql("SELECT count(DISTINCT event_id) FROM events").fetchall()[0][0]
