@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import ascii_lower, checkpointed, table, text_or_empty
+from terrafold.llm.common import ascii_lower, checkpointed, salted_join, table, text_or_empty
 
-#: Parameters: words of a window and of a gram, and the most rows of a table that is broadcast.
-WINDOW, GRAM, BROADCAST_ROWS = 10, 5, 500_000
+#: Parameters: words of a window and of a gram, and the most rows and bytes of a table that is broadcast.
+WINDOW, GRAM, BROADCAST_ROWS, BROADCAST_BYTES = 10, 5, 500_000, 64 << 20
 #: Fixed value: what stands between words, once A-Z are lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -47,7 +47,7 @@ def windows(own: Column, length: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """length, fingerprint, window, items (sorted strings) of each distinct window.
+    """length, fingerprint, window, item (a string): a row for each distinct window and each item that has it.
 
     An item of fewer than 10 words, but not none, is one window.  Items without words or id are left out.
     """
@@ -57,52 +57,77 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return found.groupBy("x.length", "x.fingerprint", "x.window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return found.select("x.length", "x.fingerprint", "x.window", "item").distinct()
+
+
+def text_key() -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), F.col("text")).alias("k2")]
+
+
+def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with ``small`` (checkpointed): broadcast if its counted rows and bytes are few, else with hot keys of ``big`` dealt to several tasks."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in small.dtypes if t == "string"] + [8 * F.size(c) * 4 for c, t in small.dtypes if t == "array<string>"]
+    rows, size = small.agg(F.count(F.lit(1)), F.sum(sum(wide, F.lit(16 * len(small.columns))))).first()
+    if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), keys, how)
+    return salted_join(checkpointed(big), small, keys, how)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row for each row of ``docs``: doc_id, k1, k2, n_words; a row for each text with a window of an item: k1, k2, n_hit, items).
+
+    What a text hits depends on the text alone, so it is found once for all rows that share it.
+    """
+    pairs = checkpointed(item_windows(benchmark))
+    known = checkpointed(pairs.select("length", "fingerprint", "window").distinct())
+    lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # ten numbers at most
+    key = ["k1", "k2"]
+    base = docs.select("doc_id", *text_key(), words().alias("w"))
+    if not lengths:
+        none = base.select(*key, F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)
+        return base.select("doc_id", *key, F.size("w").cast("long").alias("n_words")), none
+    # the first fingerprint stands for the row itself; of the others only those that an item has go on
+    own = F.array_distinct(F.concat(*[fingerprints(F.col("w"), n) for n in lengths]))
+    spread = base.select("doc_id", *key, F.size("w").cast("long").alias("n_words"), F.posexplode_outer(own).alias("i", "fingerprint"))
+    marks = checkpointed(known.select("fingerprint").distinct().withColumn("hit", F.lit(True)))
+    first = F.coalesce(F.col("i") == 0, F.lit(True))
+    seen = checkpointed(sized_join(spread, marks, ["fingerprint"], "left").where(first | F.col("hit")).select("doc_id", *key, "n_words", first.alias("first"), F.coalesce("hit", F.lit(False)).alias("hit")))
+    asked = checkpointed(seen.where("hit").select(*key).distinct())
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    again = docs.select(*text_key(), "text").join(asked, key, "left_semi").select(*key, words().alias("w"))
+    hits = again.select(*key, F.explode(F.concat(*[windows(F.col("w"), n) for n in lengths])).alias("x")).select(*key, "x.*")
+    hits = checkpointed(sized_join(hits, known, ["length", "fingerprint", "window"]).select(*key, "start", "length", "window").distinct())
+    # spans in order of their start: each adds the words beyond the end of those before
+    spans = F.array_sort(F.collect_set(F.struct("start", "length")))
+    add = lambda acc, s: F.struct(F.greatest(acc["end"], s["start"] + s["length"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["start"] + s["length"] - F.greatest(acc["end"], s["start"]))).alias("n"))
+    covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), add, lambda acc: acc["n"].cast("long"))
+    counts = hits.groupBy(*key).agg(spans.alias("spans")).select(*key, covered.alias("n_hit"))
+    items = sized_join(hits.select(*key, "length", "window").distinct(), pairs.select("length", "window", "item"), ["length", "window"]).select(*key, "item").distinct()
+    items = items.groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return seen.where("first").select("doc_id", *key, "n_words"), checkpointed(counts.join(items, key))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted), contaminated for each row of ``docs`` (doc_id, text; other columns are left out).
 
     n_hit counts words inside any window that an item has as well; items are those whose windows occur.  Null and empty
-    texts have no words.  Rows that repeat both doc_id and text are one document and give one row.  Null doc_ids are kept.
-    Tables without rows: no documents give no rows, no items give no hits.
+    texts have no words.  Rows that repeat, and null doc_ids, give a row each.  Very long texts are compared as a whole: memory grows with
+    the words of one text.  Tables without rows: no documents give no rows, no items give no hits.
     """
-    known = checkpointed(item_windows(benchmark))
-    lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # ten numbers at most
-    marks = known.select("fingerprint", F.lit(True).alias("hit")).distinct()
-    small = known.count() <= BROADCAST_ROWS
-    sized = F.broadcast if small else lambda df: df
-    base = docs.select("doc_id", F.xxhash64("text").alias("key"), words().alias("w"))
-    own = F.array_distinct(F.concat(*[fingerprints(F.col("w"), n) for n in lengths])) if lengths else F.array().cast("array<bigint>")
-    spread = base.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.explode_outer(own).alias("fingerprint"))
-    summed = spread.join(sized(marks), "fingerprint", "left").groupBy("doc_id", "key", "n_words").agg(F.max("hit").alias("hit"))
-    summed = checkpointed(summed)
-    hit = summed.where("hit").select("doc_id", "key")
-    if lengths:
-        # key alone decides the exchange or broadcast; doc_id is compared with nulls equal
-        asked = hit.select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
-        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-        texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-        again = texts.join(asked, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("doc_id", "key", words().alias("w"))
-        found = again.select("doc_id", "key", F.explode(F.concat(*[windows(F.col("w"), n) for n in lengths])).alias("x")).select("doc_id", "key", "x.*")
-        found = found.join(sized(known), ["length", "fingerprint", "window"])
-        found = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("items").alias("items"))
-        covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
-        found = found.select("doc_id", "key", F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
-    else:
-        found = hit.select("doc_id", "key", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    found = found.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "n_hit", "items")
-    joined = summed.join(found, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    rows, found = scan(docs, benchmark)
+    joined = sized_join(rows, found, ["k1", "k2"], "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    n_hit = F.coalesce("n_hit", F.lit(0))
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"), "key")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that share no window with an item, with all columns."""
-    found = checkpointed(decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct())
+    found = scan(docs, benchmark)[1].select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
     found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return docs.join(found, (F.xxhash64("text") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    k1, k2 = text_key()
+    return docs.join(found, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,17 +137,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS win
        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
 ns AS (SELECT DISTINCT n FROM bw),
-dw AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
-       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
-m AS (SELECT doc_id, dw.n, i, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
-h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, n, i FROM m)) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS s FROM m) GROUP BY doc_id)
+dw AS (SELECT rid, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+       FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
+m AS (SELECT rid, dw.n, i, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, n, i FROM m)) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT rid, cast(item_id AS varchar) AS s FROM m) GROUP BY rid)
 SELECT d.doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_hit, 0) AS bigint) AS n_hit, cast(coalesce(n_items, 0) AS bigint) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """

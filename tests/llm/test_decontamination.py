@@ -56,3 +56,37 @@ def test_odd_rows(spark, odd):
     assert decontaminate(odd.limit(0), items).count() == 0
     assert {r.n_hit for r in decontaminate(odd, items.limit(0)).collect()} == {0}
     assert clean(odd, items.limit(0)).columns == odd.columns
+
+
+def test_rows_that_repeat_give_a_row_each_as_in_sql(spark):
+    import duckdb
+
+    from terrafold.llm import decontamination
+
+    item = "b c d e f g h i j k"
+    rows = [(1, "a " + item), (1, "a " + item), (2, "a " + item), (None, item), (None, item), (1, "x " + item + " " + item), (3, None), (3, None)]
+    items = [(7, item), (10, item + " z"), (9, "q")]
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    own = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in got.collect()))
+    assert own == sorted([(1, 11, 10, ["10", "7"])] * 2 + [(2, 11, 10, ["10", "7"])] + [(0, 10, 10, ["10", "7"])] * 2 + [(1, 21, 20, ["10", "7"]), (3, 0, 0, []), (3, 0, 0, [])])
+    db = duckdb.connect()
+    for name, own_rows, columns in (("documents", rows, "doc_id BIGINT, text VARCHAR"), ("benchmark", items, "item_id BIGINT, text VARCHAR")):
+        db.execute(f"CREATE TABLE {name} ({columns})")
+        db.executemany(f"INSERT INTO {name} VALUES (?, ?)", own_rows)
+    assert sorted((r[0] or 0, r[1], r[2], r[3]) for r in db.sql(decontamination.OP1_SQL).fetchall()) == sorted((a, b, c, len(d)) for a, b, c, d in own)
+
+
+def test_large_tables_of_items_are_not_broadcast(spark, docs, monkeypatch):
+    from terrafold.llm import common, decontamination
+
+    r = random.Random(11)
+    prose = lambda n: " ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(n))
+    items = [(i, prose(14)) for i in range(6)]
+    texts = [prose(20) + " " + items[k % 6][1] for k in range(40)]
+    own = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate(docs(texts), own).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert sorted(map(tuple, decontaminate(docs(texts), own).collect())) == want
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
+    assert sorted(map(tuple, decontaminate(docs(texts), own).collect())) == want
