@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding by a pair occurrence index (operator 2).
 
-Words that a batch of texts brings for the first time are encoded together.  Their bytes form one array of symbols,
+Words that a piece of texts brings for the first time are encoded together.  Their bytes form one array of symbols,
 linked to their neighbours.  The index holds, for each pair that has a rank, all places where it occurs.  Active ranks
 are taken in ascending order from a heap; all places of a pair merge at once, and the lists of the pairs that the merge
 makes are updated.  Words are independent of each other and the smallest rank of all is the smallest of each word that
 has it, so this gives what merging word by word gives.
 
-Each worker keeps the ids of words it has seen in a table of bounded size, which changes speed only.
+Each worker keeps the ids of words it has seen in a table of bounded size, so most words of a corpus are looked up there and the
+index works on the new ones; the table changes speed only.  Memory is bounded by the bytes of a piece of texts
+(``common.PIECE_BYTES``), of the words that are encoded together, and of the table, which is emptied between pieces.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import functools
 import heapq
 import json
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,8 +31,8 @@ from terrafold.llm.common import CACHES, map_rows, table
 #: Fixed value: how the byte-level vocabulary splits text into words before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Parameters: new words that are encoded together at most, and words that a worker remembers.
-TOGETHER, REMEMBER = 49_152, 250_000
+#: Parameters: new words, and bytes of them, that are encoded together at most, and words that a worker remembers.
+TOGETHER, TOGETHER_BYTES, REMEMBER = 49_152, 4 << 20, 250_000
 
 _DEAD, _SHIFT, _NO_RANK = -2, 20, 1 << 40
 
@@ -160,9 +162,7 @@ class PairIndexEncoder:
             else:
                 rows.append(array("I", map(number, split(text))))
         fresh, self.seen.fresh = self.seen.fresh, []
-        words = [w for w in fresh if isinstance(w, str)]
-        parts = (self.encode_words([w.encode() for w in words[i : i + TOGETHER]]) for i in range(0, len(words), TOGETHER))
-        made = chain.from_iterable(parts)
+        made = chain.from_iterable(map(self.encode_words, together(w.encode() for w in fresh if isinstance(w, str))))
         self.ids += [next(made) if isinstance(w, str) else w.to_bytes(4, "little") for w in fresh]
         ids = self.ids.__getitem__
         return [b"".join(map(ids, row)) for row in rows]
@@ -173,6 +173,20 @@ class PairIndexEncoder:
         return [b"".join(map(piece, np.frombuffer(row or b"", "<u4").tolist())).decode("utf-8", "replace") for row in rows]
 
 
+def together(words: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Runs of words that are bounded in number and, unless one word alone is longer, in bytes."""
+    run: list[bytes] = []
+    size = 0
+    for w in words:
+        if run and (len(run) >= TOGETHER or size + len(w) > TOGETHER_BYTES):
+            yield run
+            run, size = [], 0
+        run.append(w)
+        size += len(w)
+    if run:
+        yield run
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> PairIndexEncoder:
     """One encoder for each vocabulary and worker process."""
@@ -188,13 +202,14 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, specials: bool = True) -> DataFrame:
     """``keep`` (default: all columns but ``ids``), then ``ids`` (binary, little-endian unsigned 32-bit integers).
 
-    Null and empty texts give no ids.  A column named ``ids`` in ``df`` is replaced.
+    specials: whether the strings of special tokens get their ids, or are ordinary text.  Null and empty texts give no ids; very
+    long texts are encoded whole; an empty table gives no rows.  A column named ``ids`` in ``df`` is replaced.
     """
     keep = [c for c in df.columns if c != "ids"] if keep is None else keep
-    return map_rows(df, lambda texts: [encoder(path).encode(texts)], [text], [("ids", pa.binary(), "binary")], keep)
+    return map_rows(df, lambda texts: [encoder(path).encode(texts, specials)], [text], [("ids", pa.binary(), "binary")], keep)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -203,12 +218,16 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None =
     return map_rows(df, lambda rows: [encoder(path).decode(rows)], [ids], [("decoded", pa.string(), "string")], keep)
 
 
-def encode_and_decode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``encode`` and ``decode`` in one pass over the texts: ``keep``, ``ids``, ``decoded``."""
+def encode_and_decode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, specials: bool = True) -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the texts: ``keep``, ``ids``, ``decoded``.
+
+    Null and empty texts give no ids and an empty text; very long texts are encoded whole; rows that repeat are encoded each for
+    itself; an empty table gives no rows.  Columns of ``df`` named ``ids`` or ``decoded`` are replaced.  Pairs of equal rank merge from the left.
+    """
     keep = [c for c in df.columns if c not in ("ids", "decoded")] if keep is None else keep
 
     def both(texts: list[str | None]) -> list[list]:
-        ids = encoder(path).encode(texts)
+        ids = encoder(path).encode(texts, specials)
         return [ids, encoder(path).decode(ids)]
 
     return map_rows(df, both, [text], [("ids", pa.binary(), "binary"), ("decoded", pa.string(), "string")], keep)

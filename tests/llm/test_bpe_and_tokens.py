@@ -91,3 +91,36 @@ def test_no_documents(spark, odd, tmp_path):
     folder = f"file://{tmp_path}/none"
     assert write_token_files(odd.limit(0), folder, PATH, 50256).count() == 0
     assert document_lengths(spark, folder, 50256).count() == 0
+
+
+def test_ids_that_a_type_cannot_hold(spark, docs, tmp_path):
+    with pytest.raises(ValueError, match="hold"):
+        write_token_files(docs(["x"]), f"file://{tmp_path}/t", PATH, 70_000, "<u2")
+    with pytest.raises(ValueError, match="hold"):
+        document_lengths(spark, f"file://{tmp_path}", 70_000)
+    tokens = np.array([70_000, 65_536, 5, 70_000, 0, 70_000], "<u4")
+    tokens.tofile(tmp_path / "wide.bin")
+    assert sorted((r.ordinal, r.n_tokens) for r in document_lengths(spark, f"file://{tmp_path}/wide.bin", 70_000, "<u4", 8).collect()) == [(0, 0), (1, 2), (2, 1)]
+
+
+def test_files_of_failed_attempts_go(spark, docs, tmp_path):
+    from terrafold.llm.token_counts import forget_others
+
+    folder = f"file://{tmp_path}/files"
+    written = write_token_files(docs(["one two", "three"]), folder, PATH, 50256)
+    (tmp_path / "files" / "000000-lost.bin").write_bytes(b"\0\0")
+    assert forget_others(spark, folder, written) == 1
+    assert document_lengths(spark, folder, 50256).count() == 2
+
+
+@pytest.mark.parametrize("group", [1, 2, 5])
+def test_groups_of_ranges(spark, tmp_path, monkeypatch, group):
+    from terrafold.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "GROUP_RANGES", group)
+    r = np.random.default_rng(group)
+    tokens = np.where(r.random(300) < 0.03, 0, 9).astype("<u2")
+    tokens.tofile(tmp_path / "one.bin")
+    parts = "".join(map(str, tokens)).split("0")
+    want = {(i, len(p)) for i, p in enumerate(parts) if i < len(parts) - 1 or p}
+    assert {(x.ordinal, x.n_tokens) for x in document_lengths(spark, f"file://{tmp_path}", 0, block_bytes=14).collect()} == want
