@@ -35,3 +35,27 @@ def test_odd_rows(odd, docs):
     assert len(rows) == 8 and {r.size for r in rows if r.doc_id in (2, 3)} == {1}
     assert shard(odd.limit(0)).count() == 0
     check(shard(docs(["same"] * 500)).collect(), ["same"] * 500)
+
+
+def test_splitters_of_several_levels(spark):
+    from pyspark.sql import functions as F
+
+    from terrafold.llm.sharding import range_of
+
+    for n in (0, 1, 31, 32, 33, 1024, 1025, 2500):
+        cuts = [(3 * k, 0, 0) for k in range(n)]
+        keys = spark.range(-2, 3 * n + 3).select(F.col("id").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).cast("long").alias("k3"))
+        assert all(r.part == min(n, max(0, r.k1 // 3 + 1)) for r in keys.select("k1", range_of(cuts).alias("part")).collect())
+
+
+def test_rows_that_repeat_one_document_are_cut(spark):
+    from pyspark.sql import functions as F
+
+    from terrafold.llm import sharding
+
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same").alias("text"))
+    keyed = sharding.checkpointed(sharding.records(df))
+    cuts = sharding.splitters(keyed, 27_000, 16, 512)
+    assert len(cuts) == 15 and len(set(cuts)) == 15
+    assert max(r["count"] for r in keyed.groupBy(sharding.range_of(cuts)).count().collect()) < 600
+    check(shard(df).collect(), ["the same"] * 3000)
