@@ -185,20 +185,28 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> AdditiveModel:
-    """A model from at most ``limit`` labelled documents that are not held out, the same ones each time."""
+    """A model from at most ``limit`` labelled documents that are not held out, the same ones each time.
+
+    Of rows that repeat a doc_id the one with the least features counts, so at most ``limit`` rows come to the driver, however often rows
+    repeat.  A document with several labels has the largest.  Null labels and ids are left out; no labels give a model of even scores.
+    """
     chosen = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("__id"), "quality")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # ``limit`` rows at most
-    rows = map_rows(texts, lambda own: [[features(t) for t in own]], ["text"], [("x", pa.list_(pa.float64()), "array<double>")], ["doc_id", "quality"]).toPandas()
-    rows = rows.assign(first=rows["x"].map(tuple)).sort_values(["doc_id", "first"], kind="stable")
+    made = map_rows(texts, lambda own: [[features(t) for t in own]], ["text"], [("x", pa.list_(pa.float64()), "array<double>")], ["doc_id", "quality"])
+    rows = made.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, (rows["quality"].to_numpy() > 0).astype(float))
 
 
-def score(docs: DataFrame, model: AdditiveModel, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default: all columns but ``score``), then score of the whole text.  Null is an empty text."""
-    keep = [c for c in docs.columns if c != "score"] if keep is None else keep
-    return map_rows(docs, lambda texts: [model.score(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))).tolist()], ["text"], [("score", pa.float64(), "double")], keep)
+def score(docs: DataFrame, model: AdditiveModel, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` (default: all columns but ``name``), then the score of the whole text, however long, as column ``name``.
+
+    Null is an empty text, which has a score as well.  Rows that repeat, and texts of equal features, have equal scores; an empty
+    table gives no rows.  A column ``name`` of ``docs`` is replaced.
+    """
+    keep = [c for c in docs.columns if c != name] if keep is None else keep
+    return map_rows(docs, lambda texts: [model.score(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))).tolist()], ["text"], [(name, pa.float64(), "double")], keep)
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
