@@ -121,3 +121,31 @@ def test_more_strata_than_a_thousand(spark):
 def test_certified_is_the_bound(n):
     for bad in range(0, n // 80):
         assert quality_rules.certified(bad, n, 0.002, 0.01) == (quality_rules.upper_bound(bad, n, 0.002) <= 0.01)
+
+
+def test_scores_are_sums_of_looked_up_values(docs):
+    """Against a plain loop over tables, bins and pairs."""
+    r = np.random.default_rng(2)
+    texts = [" ".join(r.choice(["stone", "River!", "of", "###", "9"], r.integers(0, 60))) for _ in range(300)]
+    x = np.array([quality_model.features(t) for t in texts])
+    model = quality_model.fit(x, (x[:, 5] < 0.2).astype(float))
+
+    def plain(own):
+        total = model.start
+        for j in range(len(own)):
+            total += model.tables[j][sum(own[j] >= c for c in model.cuts[j])]
+        for (i, j), values in zip(model.pairs, model.pair_tables, strict=True):
+            total += values[sum(own[i] >= c for c in model.pair_cuts[i])][sum(own[j] >= c for c in model.pair_cuts[j])]
+        return 1 / (1 + np.exp(-total))
+
+    got = {g.doc_id: g.score for g in quality_model.score(docs(texts), model).collect()}
+    assert np.allclose([got[i + 1] for i in range(len(texts))], [plain(own) for own in x])
+
+
+def test_repeated_rows_of_the_sample_count_once(spark, docs):
+    texts = ["stone river of the house"] * 3 + ["### $$$ ***"]
+    once = docs(texts)
+    many = once.unionByName(once.where("doc_id = 1").crossJoin(spark.range(500)).drop("id"))
+    own = labels(spark, [(1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 0, 0)])
+    a, b = quality_model.train(once, own), quality_model.train(many, own)
+    assert a.start == b.start and all(np.array_equal(x, y) for x, y in zip(a.tables, b.tables, strict=True))

@@ -20,7 +20,7 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = db.sql(llm.oracle_sql()[name])
     got = llm.queries()[name](spark, str(DATA)).select(want.columns)
