@@ -27,6 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    from terrafold.llm import decontamination, quality_rules
+    from terrafold.llm import decontamination, near_dedup, quality_rules
 
-    return {"op1_decontamination": decontamination.OP1_SQL, "op4_quality_rules": quality_rules.OP4_SQL}
+    return {"op1_decontamination": decontamination.OP1_SQL, "op4_quality_rules": quality_rules.OP4_SQL, "op10_near_dedup": near_dedup.OP10_SQL}
