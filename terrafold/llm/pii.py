@@ -8,6 +8,7 @@ The trees learn from examples that this module writes itself, so training needs
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -35,7 +36,7 @@ CARD_DIGITS, PHONE_DIGITS = (12, 19), (9, 15)
 #: Generators of further candidates, by kind.
 _MORE = {
     "email": re.compile(r"[\w.%+-]{1,64}\s?(?:@|\(at\)|\[at\]|\{at\}|\s(?:at|AT)\s)\s?[\w-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\s(?:dot|DOT)\s)\s?[\w-]{1,63}){1,4}"),
-    "ip": re.compile(r"(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){2,7}(?::?[0-9a-fA-F]{1,4}){1,6}(?![\w:])|(?<![\w.])[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\))\s?[0-9]{1,3}){3}(?![\w.])"),
+    "ip": re.compile(r"(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){2,7}(?::?[0-9a-fA-F]{1,4}){1,6}(?![\w:])|(?<![\w:.])[0-9a-fA-F]{1,4}::[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5}(?![\w:])|(?<![\w.])[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\))\s?[0-9]{1,3}){3}(?![\w.])"),
     "card": re.compile(r"(?<![\w.+-])[0-9]{4}(?:[ ./_–-]{0,2}[0-9]{3,6}){2,4}(?![\w-])"),
     "phone": re.compile(r"(?<![\w.+-])(?:00|\+|\()?[0-9](?:[ ()./–-]{0,2}[0-9]){6,16}(?![\w-])"),
 }
@@ -187,7 +188,8 @@ def examples(seed: int, n: int) -> list[tuple[str, list[Span]]]:
     phone = lambda: r.choice(["({a}) {b}-{c}", "{a}-{b}-{c}", "{a}.{b}.{c}", "{a} {b} {c}", "00{d} {a} {b}{c}", "0{a}/{b}{c}"]).format(a=num(3), b=num(3), c=num(4), d=num(2))
     host = lambda: f"{name()}{r.choice(['', '-' + name()])}"
     mail = lambda: r.choice(["{u} [at] {h} [dot] {t}", "{u}(at){h}.{t}", "{u} at {h} dot {t}", "{u} @ {h}.{t}", "{u}@{h}(dot){t}", "{u} AT {h} DOT {t}"]).format(u=name() + r.choice(["", "." + name(), num(2)]), h=host(), t=r.choice(["com", "org", "net", "de", "fr", "io"]))
-    ip = lambda: r.choice(["[.]", "(.)"]).join(str(r.randint(1, 254)) for _ in range(4)) if r.random() < 0.5 else ":".join(f"{r.randint(1, 65535):x}" for _ in range(8))
+    groups = lambda n: ":".join(f"{r.randint(1, 65535):x}" for _ in range(n))
+    ip = lambda: r.choice([lambda: r.choice(["[.]", "(.)"]).join(str(r.randint(1, 254)) for _ in range(4)), lambda: groups(8), lambda: f"{groups(r.randint(1, 4))}::{groups(r.randint(1, 3))}"])()
     kinds = {
         "email": (mail, ["mail me:", "contact", "write to", "e-mail", "reach us"]),
         "ip": (ip, ["host", "server", "from", "client ip", "address"]),
@@ -239,43 +241,46 @@ def model(seed: int = 7, learn: int = 3000, hold: int = 3000, precision: float =
     return trees, cut
 
 
+def best_apart(scored: list[tuple[float, Span]]) -> list[Span]:
+    """Spans that overlap none that scores higher; of equal scores the first, then the longer one counts."""
+    chosen: list[Span] = []
+    for _, span in sorted(scored, key=lambda x: (-x[0], x[1][0], -x[1][1])):
+        i = bisect.bisect_left(chosen, (span[0], span[1], ""))
+        if (i == 0 or chosen[i - 1][1] <= span[0]) and (i == len(chosen) or span[1] <= chosen[i][0]):
+            chosen.insert(i, span)
+    return chosen
+
+
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each sorted.  A span of the trees joins where it overlaps no span that scores higher."""
     return scan_all([text])[0]
 
 
-def scan_all(texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
+def scan_all(texts: list[str | None], trained: tuple[BoostedTrees, dict[str, float]] | None = None) -> list[tuple[list[Span], list[Span]]]:
+    """``scan`` of each text; ``trained``: see ``model``."""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = [sorted(base_spans(t), key=order) if t else [] for t in texts]
     asked = [(i, c) for i, t in enumerate(texts) if t for c in apart(candidates(t), base[i])]
     more: dict[int, list[tuple[float, Span]]] = {}
     if asked:
-        trees, cut = model()
+        trees, cut = trained or model()
         for (i, c), s in zip(asked, trees.predict(np.array([features(texts[i], c) for i, c in asked])).tolist(), strict=True):
             if s >= cut[c[2]]:
                 more.setdefault(i, []).append((s, c))
-    out = []
-    for i, own in enumerate(base):
-        extra: list[Span] = []
-        last = -1
-        for _, c in sorted(more.get(i, []), key=lambda x: (x[1][0], -x[0])):
-            if c[0] >= last:
-                extra.append(c)
-                last = c[1]
-        out.append((own, sorted(own + extra, key=order)))
-    return out
+    return [(own, sorted(own + best_apart(more.get(i, [])), key=order)) for i, own in enumerate(base)]
 
 
 def find_personal_data(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: all columns but the new ones), then base_spans and spans: arrays of start, end, kind.
 
-    Offsets are in code points, end exclusive.  Null and empty texts have no spans.  Columns of ``df`` with the names of
-    the new ones are replaced.
+    Offsets are in code points, end exclusive.  Null and empty texts have no spans; very long ones are scanned whole.  Ties: see
+    ``best_apart``.  Rows that repeat are scanned each for itself; an empty table gives no rows.  Columns of ``df`` with the names of
+    the new ones are replaced.  The trees are fitted once, on the driver.
     """
-    keep = [c for c in df.columns if c not in ("base_spans", "spans")] if keep is None else keep
+    keep, trained = [c for c in df.columns if c not in ("base_spans", "spans")] if keep is None else keep, model()
 
     def run(texts: list[str | None]) -> list[list]:
-        found = scan_all(texts)
+        found = scan_all(texts, trained)
         return [[[dict(zip(("start", "end", "kind"), s, strict=True)) for s in f[i]] for f in found] for i in (0, 1)]
 
     return map_rows(df, run, [text], [("base_spans", SPAN, SPAN_SQL), ("spans", SPAN, SPAN_SQL)], keep)

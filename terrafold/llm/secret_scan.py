@@ -4,7 +4,9 @@ Source and configuration syntax is lexed into names, literals and operators.  An
 ``:``, ``=>``) after a name pairs that name with the literals that follow, joined by ``+`` or ``.`` or standing side by
 side; names on the right stand for what an earlier pair gave them, so constants propagate.  In lines that begin with
 NAME = or NAME: a bare word is a literal too, up to white space, comma or line end, unless it is a name or an expression.
+A string in triple quotes is a literal of any number of lines; the lines inside are lexed as well.
 A literal scores by how sensitive its target names are and by its own form.  Patterns with a fixed form (assign, access, hex) are always kept.
+Texts are lexed whole, in time about linear in their length; what a name stands for is shared and not copied, however many parts it has.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ from terrafold.llm.common import map_rows, table
 
 #: The three base patterns, with the least lengths of what they find.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
-ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex")
 
 #: Weights of name parts, and literals that stand for a secret without being one.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "private": 0.5, "access": 0.4, "key": 0.5, "api": 0.5, "signing": 0.4, "client": 0.1}
-PLACEHOLDER = re.compile(r"change_?me|your|example|placeholder|dummy|redacted|xxx|\*\*\*|^<.*>$|\$\{|\{\{|^(none|null|true|false|undefined|todo|test)$", re.I)
+PLACEHOLDER = re.compile(r"change_?me|your|example|placeholder|dummy|redacted|xxx|\*\*\*|\$\{|\{\{", re.I)
+#: Parameter: longer literals hold such a word by chance.
+PLACEHOLDER_CHARS = 64
+EMPTY_VALUE = re.compile(r"<.*>|none|null|true|false|undefined|todo|test", re.I)
 
 _MAYBE = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 #: A run of at least 24: ends are looked for at every 24th place first, so text without one costs little.
@@ -46,6 +51,7 @@ _BIND = re.compile(r"[=:]")
 #: A line NAME = value or NAME: value, also as an item of a list or after a keyword that declares it; the value has no quotes and no call.
 _BARE = re.compile(r"""[^\S\n]*+(?:-[^\S\n]++)?(?:(?:export|set|env|let|const|var)[^\S\n]++)?["']?[A-Za-z_][\w.-]*+["']?[^\S\n]*+(?P<bind>:=|=>|[=:](?![=:/>]))[^\S\n]*+(?P<value>[^\s,"'`(\[{][^\s,"'`]*+)(?!["'`])""", re.I | re.A)
 _CALL, _PATH, _WORD = re.compile(r"[A-Za-z_][\w.]*[(\[]"), re.compile(r"[A-Za-z_]\w*(?:(?:\.|->|::)[A-Za-z_]\w*)+"), re.compile(r"[A-Za-z_]\w*")
+_TRIPLE, _PREFIX, _DASHED = re.compile(r'"""|\'\'\''), re.compile(r"(?<!\w)[A-Za-z]{0,2}\Z"), re.compile(r"-----[A-Z0-9 ]+-----")
 _REFERENCE, _EXPRESSION = re.compile(r"\$[\w({]"), re.compile(r"[^\S\n]*+[+.(\[?]")
 #: What each sensitive name contains: a text without any of these has no pair that counts.
 _HINTS = tuple(p for p in SENSITIVE if not any(q != p and q in p for q in SENSITIVE))
@@ -68,14 +74,68 @@ def sensitivity(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(p, 0.0) for p in dict.fromkeys(parts)))
 
 
+class Value:
+    """What a name was given: literals (text, start, end) and values of other names, which are shared.
+
+    ``measure`` sums up its characters, from sums of its parts that are kept; counts are scaled down before they become too large.
+    """
+
+    __slots__ = ("parts", "sums", "marked")
+
+    def __init__(self, *parts: tuple[str, int, int] | Value):
+        self.parts, self.sums, self.marked = list(parts), None, False
+
+    def measure(self) -> tuple[float, Counter, bool, bool]:
+        """Length, counts of characters, whether any literal has white space or is a placeholder."""
+        todo = [self]
+        while todo:
+            own = todo[-1]
+            if own.sums is None and (missing := [p for p in own.parts if isinstance(p, Value) and p.sums is None]):
+                todo += missing
+                continue
+            todo.pop()
+            if own.sums is None:
+                length, counts, spaced, empty = 0.0, Counter(), False, False
+                for p in own.parts:
+                    if isinstance(p, Value):
+                        more, other, gaps, holds = p.sums
+                    else:
+                        more, other, gaps, holds = len(p[0]), Counter(p[0]), any(c.isspace() for c in p[0]), len(p[0]) <= PLACEHOLDER_CHARS and bool(PLACEHOLDER.search(p[0]))
+                    length, spaced, empty = length + more, spaced or gaps, empty or holds
+                    counts.update(other)
+                if length > 1e12:
+                    length, counts = length * 1e-9, Counter({c: n * 1e-9 for c, n in counts.items()})
+                own.sums = (length, counts, spaced, empty)
+        return self.sums
+
+    def score(self) -> float:
+        """How much the whole looks like a secret by length, variety and kinds of characters: 0 to 1."""
+        length, counts, spaced, empty = self.measure()
+        if length < 6 or spaced or empty or (len(self.parts) == 1 and not isinstance(self.parts[0], Value) and EMPTY_VALUE.fullmatch(self.parts[0][0])):
+            return 0.0
+        entropy = -sum(c / length * math.log2(c / length) for c in counts.values() if c)
+        kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        return min(1.0, entropy / 4 * 0.6 + (kinds - 1) * 0.25)
+
+    def spans(self, again: bool = True) -> Iterator[tuple[str, int, int]]:
+        """Its literals, each once; with ``again`` false those that an earlier call gave are left out."""
+        todo, seen = [self], set()
+        while todo:
+            own = todo.pop()
+            if id(own) in seen or (own.marked and not again):
+                continue
+            seen.add(id(own))
+            own.marked = own.marked or not again
+            for p in own.parts:
+                if isinstance(p, Value):
+                    todo.append(p)
+                else:
+                    yield p
+
+
 def literal_score(value: str) -> float:
-    """How much a literal looks like a secret by length, variety and kinds of characters: 0 to 1."""
-    if len(value) < 6 or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, entropy / 4 * 0.6 + (kinds - 1) * 0.25)
+    """The score of one literal."""
+    return Value((value, 0, len(value))).score()
 
 
 @functools.cache
@@ -129,31 +189,40 @@ def _bound(inside: str) -> int | None:
     return start
 
 
-def lexed_pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(target name, its whole value, start, end) for each literal that a name gets, directly or by way of other names."""
-    pairs: list[tuple[str, str, int, int]] = []
-    known: dict[str, list[tuple[str, int, int]]] = {}
+def lexed_values(text: str) -> Iterator[tuple[str, Value]]:
+    """(target name, its value) for each name that gets literals, directly or by way of other names, in order of the text."""
+    known: dict[str, Value] = {}
+    out: list[tuple[str, Value]] = []
     last = target = ""
-    got: list[tuple[str, int, int]] = []
+    got = Value()
+
+    def give(name: str, value: Value) -> None:
+        known[name.lower()] = value
+        out.append((name, value))
 
     def close() -> None:
         nonlocal target, got
-        if target and got:
-            known[target.lower()] = got[-16:]  # a name stands for the newest parts of what it was given
-            whole = "".join(g[0] for g in got)
-            pairs.extend((target, whole, start, end) for _, start, end in got)
-        target, got = "", []
-
+        if target and got.parts:
+            give(target, got)
+        if got.parts or target:
+            got = Value()
+        target = ""
+
+    triples = _triples(text)
+    following = next(triples, None)
     # assignments are lexed in the lines that have one, each as a whole
     for at, stop in _lines(text):
+        while following and following[1] < at:
+            give(following[0], following[2])
+            following = next(triples, None)
         last = ""
         bare = _bare(text, at, stop, known)
         for m in _tokens(text, at, stop):
             kind, word = m.lastgroup, m[0]
             if bare and m.start() >= bare[0]:
                 if m.start() < bare[1] and target:
-                    if not got:
-                        got.append((text[slice(*bare)], *bare))
+                    if not got.parts:
+                        got.parts.append((text[slice(*bare)], *bare))
                     continue
                 close()
                 bare, last = None, ""
@@ -162,21 +231,60 @@ def lexed_pairs(text: str) -> list[tuple[str, str, int, int]]:
                 target = last
             elif kind == "string":
                 if target:
-                    got.append((word[1:-1], m.start() + 1, m.end() - 1))
+                    got.parts.append((word[1:-1], m.start() + 1, m.end() - 1))
                 else:
                     last = word[1:-1]  # a quoted key, as in JSON
             elif kind == "name":
-                if target:
-                    got.extend(known.get(word.lower(), ()))
+                if target and (value := known.get(word.lower())) is not None:
+                    got.parts.append(value)
                 last = word
             elif kind in ("end", "comment", "compare"):
                 close()
                 last = "" if kind != "end" or word != "]" else last
         close()
-    return pairs
+        yield from out
+        out.clear()
+    while following:
+        give(following[0], following[2])
+        following = next(triples, None)
+    yield from out
 
 
-def _bare(text: str, at: int, stop: int, known: dict[str, list[tuple[str, int, int]]]) -> tuple[int, int] | None:
+def lexed_pairs(text: str) -> list[tuple[str, str, int, int]]:
+    """(target name, its whole value, start, end) for each literal of ``lexed_values``: as long as all values written out."""
+    out = []
+    for name, value in lexed_values(text):
+        own = sorted(value.spans(), key=lambda p: p[1])
+        whole = "".join(p[0] for p in own)
+        out += [(name, whole, start, end) for _, start, end in own]
+    return out
+
+
+def _triples(text: str) -> Iterator[tuple[str, int, Value]]:
+    """(name, end, value) of each string in triple quotes that is bound to a name.
+
+    The value has the lines without white space around them and without the dashed lines of a key block; its span is the whole string.
+    """
+    at, unclosed = 0, ""
+    while m := _TRIPLE.search(text, at):
+        close = -1 if m[0] in unclosed else text.find(m[0], m.end())
+        if close < 0:
+            unclosed, at = unclosed + m[0] + " ", m.end()
+            if len(unclosed) > 4:  # both kinds
+                return
+            continue
+        before = text[max(at, text.rfind("\n", at, m.start()) + 1) : m.start()]
+        before = before[: len(before) - len(_PREFIX.search(before)[0])]
+        if (name := _bound(before)) is not None:
+            inside = text[m.end() : close]
+            lines = [x for line in inside.split("\n") if (x := line.strip()) and not _DASHED.fullmatch(x)]
+            start = m.end() + len(inside) - len(inside.lstrip())
+            value = Value(("".join(lines), start, max(start, m.end() + len(inside.rstrip()))))
+            yield before[name:].split("=")[0].split(":")[0].strip().strip("\"'"), close, value
+        at = close + 3
+
+
+def _bare(text: str, at: int, stop: int, known: dict[str, Value]) -> tuple[int, int] | None:
     """(start, end) of the bare literal that the line from ``at`` to ``stop`` gives to the name it begins with.
 
     None for names that are known, paths of names, words that are spelled as the name of a secret (access_key = access_key),
@@ -204,12 +312,12 @@ def _lines(text: str) -> Iterator[tuple[int, int]]:
 
 
 def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, str]]:
-    """Literals whose best target name and own form together reach ``threshold``."""
-    best: dict[tuple[int, int], float] = {}
-    for name, value, start, end in lexed_pairs(text):
-        if weight := sensitivity(name):
-            best[start, end] = max(best.get((start, end), 0.0), weight * literal_score(value))
-    return [(start, end, "assign") for (start, end), score in best.items() if score >= threshold]
+    """Literals whose best target name and whole value together reach ``threshold``."""
+    found: dict[tuple[int, int], None] = {}
+    for name, value in lexed_values(text):
+        if (weight := sensitivity(name)) and weight * value.score() >= threshold:
+            found |= dict.fromkeys((start, end) for _, start, end in value.spans(again=False) if start < end)
+    return [(start, end, "assign") for start, end in found]
 
 
 def _hinted(text: str) -> bool:
@@ -245,19 +353,20 @@ SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind",
 SPAN_SQL = "array<struct<start:int,end:int,kind:string>>"
 
 
-def find_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default: all columns but the new ones), then base_spans and spans: arrays of start, end, kind.
+def find_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
+    """``keep`` (default: all columns but the new ones), then base_spans and spans (or ``names``): arrays of start, end, kind.
 
-    Offsets are in code points, end exclusive.  Null and empty texts have no spans.  Columns of ``df`` with the names of
-    the new ones are replaced.
+    Offsets are in code points, end exclusive.  Null and empty texts have no spans; very long ones are scanned whole.  Ties: spans
+    of one start are in the order of KINDS.  Rows that repeat are scanned each for itself; an empty table gives no rows.  Columns of ``df`` with
+    the names of the new ones are replaced.
     """
-    keep = [c for c in df.columns if c not in ("base_spans", "spans")] if keep is None else keep
+    keep = [c for c in df.columns if c not in names] if keep is None else keep
 
     def run(texts: list[str | None]) -> list[list]:
         found = [scan(t) for t in texts]
         return [[[dict(zip(("start", "end", "kind"), s, strict=True)) for s in f[i]] for f in found] for i in (0, 1)]
 
-    return map_rows(df, run, [text], [("base_spans", SPAN, SPAN_SQL), ("spans", SPAN, SPAN_SQL)], keep)
+    return map_rows(df, run, [text], [(n, SPAN, SPAN_SQL) for n in names], keep)
 
 
 def spelled(spans: str) -> Column:

@@ -161,3 +161,66 @@ def test_bare_values(text, found):
 def test_bare_values_are_fast():
     for text in ("pwd=" + "Xy9" * 100_000, "pwd" + " " * 200_000, "pwd = " + "a." * 100_000, "- " * 100_000 + "pwd = x", "pwd = Xy9kd83Q\n" * 5_000):
         secret_scan.scan(text)
+
+
+def test_constants_of_any_number_of_parts():
+    parts = [f"{i:03d}Zx9$k" for i in range(300)]
+    text = "base = " + " + ".join(f'"{p}"' for p in parts) + "\nclient_auth = base"
+    assert [text[a:b] for a, b, _ in secret_scan.scan(text)[1]] == parts
+    grown = 'key = "Zx9$"\n' + "".join(f'key = key + "k{i}Q"\n' for i in range(40)) + "private_pwd = key"
+    assert len(secret_scan.scan(grown)[1]) == 41
+
+
+def test_values_that_grow_are_fast():
+    for line in ('pwd = pwd + "Zx9$kd83Q"\n', "pwd = pwd + pwd\n", 'a = pwd + "b"\npwd = a + a\n'):
+        secret_scan.scan('pwd = "Zx9$kd83Qw"\n' + line * 20_000)
+    for text in ('x = """' * 50_000, "pwd = \'\'\'a\'\'\' " * 30_000, 'pwd = """\n' * 20_000):
+        secret_scan.scan(text)
+
+
+BLOCK = "MIIEvQIBADANBgkqhkiG9w0BAQEF\nAASCBKcwggSjAgEAAoIBAQDCk9v7\nXy2q+8Lm/Pw4Rt6Ys9Ue1Az3Bc5D"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (f'private_key = """\n{BLOCK}\n"""\n', [BLOCK]),
+        (f"private_key: \'\'\'-----BEGIN KEY-----\n{BLOCK}\n-----END KEY-----\'\'\'", [f"-----BEGIN KEY-----\n{BLOCK}\n-----END KEY-----"]),
+        (f'cert = r"""{BLOCK}"""\nclient_auth = cert', [BLOCK]),
+        ('def f():\n    """The pwd: is\n    here."""\n    pwd = "Zx9$kd83Qw"\n    """More: words"""', ["Zx9$kd83Qw"]),
+        ('doc = """\npwd = "Zx9$kd83Qw"\n"""', ["Zx9$kd83Qw"]),
+        ('private_key = """some words of a\nlonger text"""', []),
+    ],
+)
+def test_triple_quotes(text, found):
+    text = text.replace("\\'", "'")
+    assert [text[a:b] for a, b, _ in secret_scan.scan(text)[1]] == found
+
+
+@pytest.mark.parametrize("length", [7, 395, 420, 10_000])
+@pytest.mark.parametrize("form", ['signing_key = "{}"', "signing_key: {}", "x = 1; signing_key = '{}'; y = 2", '{{"a": "b", "signing_key": "{}"}}'])
+def test_literals_of_any_length_against_their_place(form, length):
+    r = random.Random(length)
+    value = "Zx9$k" + "".join(r.choice("abcXYZ0189+/") for _ in range(length - 5))
+    text = ("filler words = here\n" * 50) + form.format(value) + "\nmore"
+    at = text.index(value)
+    assert (at, at + length, "assign") in secret_scan.scan(text)[1]
+
+
+def test_spans_that_overlap_are_chosen_by_score():
+    assert pii.best_apart([(0.80, (0, 10, "phone")), (0.99, (5, 15, "card"))]) == [(5, 15, "card")]
+    assert pii.best_apart([(0.9, (0, 4, "ip")), (0.8, (4, 9, "ip")), (0.7, (3, 5, "email")), (0.9, (0, 6, "ip"))]) == [(0, 6, "ip")]
+    r = random.Random(0)
+    for _ in range(200):
+        spans = [(r.random(), (a := r.randint(0, 40), a + r.randint(1, 9), "ip")) for _ in range(12)]
+        got, want = pii.best_apart(spans), []
+        for _, s in sorted(spans, key=lambda x: -x[0]):
+            if all(s[1] <= w[0] or w[1] <= s[0] for w in want):
+                want.append(s)
+        assert got == sorted(want)
+
+
+@pytest.mark.parametrize("address", ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:db8:85a3:8d3:1319:8a2e:370:7348"])
+def test_addresses_of_version_6(address):
+    text = f"the server at host {address} was down"
+    assert [text[a:b] for a, b, _ in pii.scan(text)[1]] == [address]
