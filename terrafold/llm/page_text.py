@@ -1,9 +1,12 @@
 """Main text of web pages by a recurrent block labeller (operator 8).
 
-A page becomes the sequence of its leaf blocks.  Each block is a vector: its tag path with class words, hashed; its own
+A page becomes the sequence of its leaf blocks.  Each block is a vector: its tag path with class words, hashed; all of its own
 words, hashed; and a few numbers.  A bidirectional LSTM written in numpy reads the whole sequence, so that what stands
 before and after a block counts, and labels every block as main text or not.  It is trained here, on pages that this module
 writes itself; training is seeded and needs no table.
+
+A page may be of any length and nesting: the path is a running vector, open elements are found by tag, and the sequence is read in
+parts, between which only the LSTM's state is carried.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import html
 import random
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrafold.llm.common import CACHES, map_rows, table
 
-#: Parameters: sizes of the hashed path and word vectors, of the state of each direction, pages to train on, rounds, and blocks of a padded group.
-PATH, WORDS, STATE, TRAIN_PAGES, ROUNDS, GROUP_BLOCKS = 64, 32, 16, 1600, 8, 20_000
+#: Parameters: sizes of the hashed path and word vectors, of the state of each direction, pages to train on, rounds, and blocks of a part of a padded group.
+PATH, WORDS, STATE, TRAIN_PAGES, ROUNDS, GROUP_BLOCKS = 64, 128, 16, 3600, 10, 8_192
+#: Parameter: share by which weights of words shrink at each step of training.
+WORD_DECAY = 0.05
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -40,7 +46,7 @@ _NO_P = BLOCK - {"button", "label", "option", "optgroup", "html", "body", "head"
 
 @dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
+    path: bytes  # PATH numbers of 32 bits
     text: str
     linked: int
 
@@ -63,9 +69,9 @@ def blocks(page: str | None) -> list[Block]:
     """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened = _Open()
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -74,20 +80,15 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(tuple(n for _, names in stack for n in names), text, min(linked, len(text))))
+                out.append(Block(opened.path(), text, min(linked, len(text))))
             linked = 0
 
-    def close(index: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[index:])
-        del stack[index:]
-
     while at < end:
         m = _TOKEN.search(page, at)
         piece = page[at : m.start() if m else end]
         if piece:
             parts.append(piece)
-            if links:
+            if opened.places.get("a"):
                 linked += len(piece)
         if not m:
             break
@@ -101,76 +102,131 @@ def blocks(page: str | None) -> list[Block]:
         if tag in BLOCK:
             flush()
         if m[1]:
-            index = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[i][0] == tag), -1)
+            index = opened.nearest((tag,))
             if index >= 0:
-                if any(t in BLOCK for t, _ in stack[index:]):
+                if opened.holds_block(index):
                     flush()
-                close(index)
+                opened.close(index)
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            stop = _raw_end(tag).search(page, at)
             at = stop.start() if stop else end
             tail = page.find(">", at)
             at = end if not stop or tail < 0 else tail + 1
             continue
         if tag in VOID:
             continue
-        shut, until = ({"p"}, {"button", "table"}) if tag in _NO_P else CLOSES.get(tag, (set(), set()))
-        if tag in CLOSES:
-            shut, until = CLOSES[tag]
-        for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-            if stack[i][0] in shut:
-                close(i)
-                if tag != "tr":
-                    break
-            elif stack[i][0] in until:
+        shut, until = CLOSES[tag] if tag in CLOSES else (("p",), ("button", "table")) if tag in _NO_P else ((), ())
+        while (index := opened.nearest(shut)) > opened.nearest(until):
+            opened.close(index)
+            if tag != "tr":
                 break
         if not m[0].endswith("/>"):
-            stack.append((tag, _names(tag, m[3] or "")))
-            links += tag == "a"
+            opened.add(tag, _names(tag, m[3] or ""))
     flush()
     return out
 
 
-@functools.lru_cache(maxsize=50_000)
-def _slot(name: str, size: int) -> tuple[int, float]:
+class _Open:
+    """Elements that are open: places by tag, so that the nearest one is found at any depth, and the running vector of their names."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.counts: dict[str, int] = {}
+        self.vector = array("i", bytes(4 * PATH))
+        self.known: dict[bytes, bytes] = {}
+
+    def nearest(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost element of any of ``tags``, or -1."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=-1)
+
+    def holds_block(self, index: int) -> bool:
+        """Whether a block element is among those from ``index`` on."""
+        return bool(self.blocks) and self.blocks[-1] >= index
+
+    def add(self, tag: str, names: tuple[str, ...]) -> None:
+        place = len(self.stack)
+        self.stack.append((tag, names))
+        self.places.setdefault(tag, []).append(place)
+        if tag in BLOCK:
+            self.blocks.append(place)
+        self._count(names, 1)
+
+    def close(self, index: int) -> None:
+        """Close the element at ``index`` and all inside it."""
+        while len(self.stack) > index:
+            tag, names = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            self._count(names, -1)
+
+    def _count(self, names: tuple[str, ...], step: int) -> None:
+        for n in names:
+            was = self.counts.get(n, 0)
+            self.counts[n] = was + step
+            if not was or not was + step:  # a name counts once, however often it is open
+                i, sign = _slot(n, PATH)
+                self.vector[i] += sign * step
+
+    def path(self) -> bytes:
+        own = self.vector.tobytes()
+        return self.known.setdefault(own, own)
+
+
+@functools.lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
+def _hashed(name: str, size: int) -> tuple[int, int]:
     h = zlib.crc32(name.encode("utf-8", "surrogatepass"))
-    return h % size, 1.0 if (h >> 16) & 1 else -1.0
+    return h % size, 1 if (h >> 16) & 1 else -1
 
 
-@functools.lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, np.float32)
-    for name in set(path):
-        i, sign = _slot(name, PATH)
-        v[i] += sign
-    return v
+_slot = functools.lru_cache(maxsize=50_000)(_hashed)
+
+
+class _Words(dict):
+    """Place and sign of each word as one number: the place, from WORDS on for a negative sign."""
+
+    def __missing__(self, word: str) -> int:
+        i, sign = _hashed(word.strip(".,:;!?"), WORDS)
+        self[word] = n = i if sign > 0 else i + WORDS
+        return n
+
+
+_words = _Words()
 
 
 def forget() -> None:
-    for cached in (_names, _slot, _path_vector):
+    for cached in (_names, _slot, _raw_end):
         cached.cache_clear()
+    _words.clear()
 
 
 CACHES[__name__] = forget
-
-#: Words that boilerplate is made of, in the languages of the pages.
-CUES = frozenset("cookie cookies subscribe newsletter advertisement sponsored comments comment reply share login password privacy terms copyright menu search related cart sign follow rights reserved consent accept submit email werbung anzeige suche kommentar publicité recherche commentaire publicidad buscar comentario".split())
 NUMBERS = 8
 
 
-def vectors(own: list[Block]) -> np.ndarray:
-    """One row for each block."""
+def vectors(own: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """One row for each block; ``own`` stands from ``first`` on in a page of ``total`` blocks."""
+    total = len(own) if total is None else total
     x = np.zeros((len(own), PATH + WORDS + NUMBERS), np.float32)
-    for i, b in enumerate(own):
-        x[i, :PATH] = _path_vector(b.path)
+    if len(_words) > 300_000:
+        _words.clear()
+    number = _words.__getitem__
+    for i, b in enumerate(own, first):
+        row = x[i - first]
+        row[:PATH] = np.frombuffer(b.path, np.int32)
         words = b.text.lower().split()
-        for w in words[:64]:  # of the vector only; the text stays whole
-            if w.strip(".,:;!?") in CUES:
-                j, sign = _slot(w.strip(".,:;!?"), WORDS)
-                x[i, PATH + j] += sign
+        hits = np.bincount(np.fromiter(map(number, words), np.int64, len(words)), minlength=2 * WORDS)
+        told = hits[:WORDS] - hits[WORDS:]
+        row[PATH : PATH + WORDS] = told / max(1.0, np.sqrt(float(told @ told)))
         n, chars = len(words), len(b.text)
-        x[i, PATH + WORDS :] = [np.log1p(n) / 4, np.log1p(chars) / 6, b.linked / chars, b.text[-1] in ".!?", i / len(own), (len(own) - i) / len(own), n < 4, b.text[0] in "©|»›"]
+        row[PATH + WORDS :] = [np.log1p(n) / 4, np.log1p(chars) / 6, b.linked / chars, b.text[-1] in ".!?", i / total, (total - i) / total, n < 4, b.text[0] in "©|»›"]
     return x
 
 
@@ -191,10 +247,14 @@ class BlockLabeller:
             self.p[f"c{d}"] = np.concatenate([np.zeros(state), np.ones(state), np.zeros(2 * state)])
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _read(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        """States of one direction for (time, page, input); places beyond a page's end leave the state as it is."""
+    def _read(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None, carried: list | None = None) -> np.ndarray:
+        """States of one direction for (time, page, input); places beyond a page's end leave the state as it is.
+
+        carried: state and cell before the first place, replaced by those after the last one.
+        """
         n, s = x.shape[1], self.state
-        h, c, out = np.zeros((n, s), np.float32), np.zeros((n, s), np.float32), np.zeros((len(x), n, s), np.float32)
+        h, c = carried or (np.zeros((n, s), np.float32), np.zeros((n, s), np.float32))
+        out = np.zeros((len(x), n, s), np.float32)
         fed = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             z = fed[t] + h @ self.p[f"h{d}"]
@@ -205,6 +265,8 @@ class BlockLabeller:
             if keep is not None:
                 keep.append((t, h, c, i, f, o, g, c1, m))
             h, c, out[t] = h1, c1, h1
+        if carried is not None:
+            carried[:] = [h, c]
         return out
 
     def margins(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
@@ -249,11 +311,13 @@ class BlockLabeller:
                 for name, grad in self.gradients(x, mask, y).items():
                     first[name] = 0.9 * first[name] + 0.1 * grad
                     second[name] = 0.99 * second[name] + 0.01 * grad * grad
+                    if name in ("xf", "xb", "skip"):  # what words say counts only where it pays
+                        self.p[name][PATH : PATH + WORDS] *= 1 - WORD_DECAY
                     self.p[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         return self
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """Whether each block is main text.  Pages go in groups of similar length and of a bounded number of blocks."""
+        """Whether each block is main text.  Pages go in groups of similar length; longer ones are read in parts."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         while order:
@@ -261,12 +325,27 @@ class BlockLabeller:
             while n < len(order) and (n + 1) * len(pages[order[n]]) <= GROUP_BLOCKS and n < 512:
                 n += 1
             group, order = order[:n], order[n:]
-            x, mask = padded([vectors(pages[k]) for k in group])
-            z = self.margins(x, mask)
+            z = self.scores([pages[k] for k in group])
             for col, k in enumerate(group):
                 out[k] = z[: len(pages[k]), col] > 0
         return out
 
+    def scores(self, group: list[list[Block]], most: int = GROUP_BLOCKS) -> np.ndarray:
+        """Margins (place, page).  Vectors and states exist for a part of at most ``most`` blocks at once."""
+        longest, step, s = max(map(len, group)), max(1, most // len(group)), self.state
+        z = np.full((longest, len(group)), self.p["bias"][0], np.float32)
+        starts = range(0, longest, step)
+        part = lambda t: padded([vectors(p[t : t + step], t, len(p)) for p in group])
+        whole = part(0) if len(starts) == 1 else None
+        for k, d in enumerate("fb"):
+            carried = [np.zeros((len(group), s), np.float32) for _ in range(2)]
+            for t in starts if d == "f" else reversed(starts):
+                x, mask = whole or part(t)
+                z[t : t + len(x)] += (self._read(x, mask, d, None, carried) @ self.p["out"][k * s : (k + 1) * s])[:, :, 0]
+                if d == "f":
+                    z[t : t + len(x)] += (x @ self.p["skip"])[:, :, 0]
+        return z
+
 
 def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     longest = max(map(len, rows))
@@ -276,10 +355,23 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+#: What notices and the like say, in the languages of the pages.  Only the training pages use them.
+PHRASES = {
+    "notice": ["We use cookies to improve this site.", "This site uses cookies. Accept all cookies?", "By going on you accept our privacy policy.", "Diese Seite nutzt Cookies.", "Nous utilisons des cookies.", "Usamos cookies en este sitio."],
+    "advert": ["Advertisement", "Sponsored content", "Buy now and save.", "Special offer: order today!", "Anzeige", "Publicité", "Publicidad"],
+    "aside": ["Related articles", "Most read", "You may also like", "Follow us on social media", "Share this article", "Mehr zum Thema", "À lire aussi", "Lo más leído"],
+    "form": ["Subscribe to our newsletter", "Sign up with your email", "Log in", "Your password", "Search this site", "Newsletter abonnieren", "Rechercher", "Buscar"],
+    "comment": ["Leave a reply", "2 comments", "Reply to this comment", "Great article, thanks for sharing!", "I disagree.", "Kommentar schreiben", "Laisser un commentaire", "Deja un comentario"],
+    "foot": ["All rights reserved.", "Terms of use, privacy, contact", "Copyright", "Alle Rechte vorbehalten", "Tous droits réservés", "Todos los derechos reservados"],
+}
+
+
 def training_page(r: random.Random) -> tuple[str, list[bool]]:
     """A page in one of many layouts, and for each of its blocks whether it is main text."""
     letters = "etaoinshrdlucmfwypvbgkéèüßñçó"
-    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, 10)))
+    spell = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, 10)))
+    few = [spell() for _ in range(r.choice([1, 3, 10, 30, 100, 300]))]  # a page's own words, some of which are frequent
+    word = lambda: few[int(len(few) * r.random() ** 2)] if r.random() < 0.8 else spell()
     style = r.random()
 
     def prose(low: int, high: int) -> str:
@@ -292,6 +384,12 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
             own = [w + r.choice([" |", ""]) for w in own]
         return " ".join(own).capitalize() + r.choice([".", ".", ".", "", "!"])
 
+    def phrase(kind: str, low: int, high: int) -> str:
+        """Words as boilerplate has them, prose, or both."""
+        how = r.random()
+        own = r.choice(PHRASES[kind]) if how < 0.7 else ""
+        return own if how < 0.35 else f"{own} {prose(low, high)}".strip()
+
     out, truth = [], []
 
     def add(markup: str, *labels: bool) -> None:
@@ -310,28 +408,28 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
         add(r.choice([f"<header><h1>{prose(1, 5)}</h1></header>", f"<div{cls('header', 'masthead', 'banner', 'logo', 'topbar')}>{prose(1, 6)}</div>", f"<header{cls('site')}><p>{prose(1, 8)}</p></header>"]), False)
 
     def advert() -> None:
-        add(r.choice([f"<div{cls('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'banner')}>{prose(2, 25)}</div>", f"<aside{cls('ad', 'promo')}><p>{prose(3, 25)}</p></aside>", f"<ins class='adsbygoogle'><div>{prose(2, 9)}</div></ins>"]), False)
+        add(r.choice([f"<div{cls('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'banner')}>{phrase('advert', 2, 25)}</div>", f"<aside{cls('ad', 'promo')}><p>{phrase('advert', 3, 25)}</p></aside>", f"<ins class='adsbygoogle'><div>{phrase('advert', 2, 9)}</div></ins>"]), False)
 
     def notice() -> None:
-        add(f"<div{cls('cookie', 'cookies', 'notice', 'consent', 'gdpr', 'alert', 'popup', 'modal', 'banner')}>{r.choice(['<p>{}</p>', '{}', '<span>{}</span>']).format(prose(4, 30))}</div>", False)
+        add(f"<div{cls('cookie', 'cookies', 'notice', 'consent', 'gdpr', 'alert', 'popup', 'modal', 'banner')}>{r.choice(['<p>{}</p>', '{}', '<span>{}</span>']).format(phrase('notice', 4, 30))}</div>", False)
 
     def aside() -> None:
         if r.random() < 0.5:
             n = r.randint(1, 6)
             add(f"<aside><ul>{links(n)}</ul></aside>", *[False] * n)
         else:
-            add(r.choice([f"<aside><p>{prose(4, 30)}</p></aside>", f"<div{cls('sidebar', 'side', 'widget', 'related', 'recommended', 'share', 'social')}><p>{prose(2, 30)}</p></div>", f"<div{cls('sidebar', 'related', 'widget')}>{prose(2, 30)}</div>"]), False)
+            add(r.choice([f"<aside><p>{phrase('aside', 4, 30)}</p></aside>", f"<div{cls('sidebar', 'side', 'widget', 'related', 'recommended', 'share', 'social')}><p>{phrase('aside', 2, 30)}</p></div>", f"<div{cls('sidebar', 'related', 'widget')}>{phrase('aside', 2, 30)}</div>"]), False)
 
     def form() -> None:
-        add(r.choice([f"<form{cls('search', 'login', 'newsletter', 'subscribe', 'signup')}><label>{prose(1, 4)}</label><input name=q></form>", f"<form><p>{prose(1, 8)}</p><input></form>", f"<form><button>{prose(1, 2)}</button></form>", f"<div{cls('newsletter', 'subscribe', 'signup')}><p>{prose(2, 12)}</p></div>"]), False)
+        add(r.choice([f"<form{cls('search', 'login', 'newsletter', 'subscribe', 'signup')}><label>{phrase('form', 1, 4)}</label><input name=q></form>", f"<form><p>{phrase('form', 1, 8)}</p><input></form>", f"<form><button>{phrase('form', 1, 2)}</button></form>", f"<div{cls('newsletter', 'subscribe', 'signup')}><p>{phrase('form', 2, 12)}</p></div>"]), False)
 
     def comments() -> None:
         n = r.randint(1, 5)
         one = r.choice([f"<div class='{r.choice(['comment', 'reply'])}'>{{}}</div>", f"<li class='comment'>{{}}</li>", f"<p>{{}}</p>", f"<div class='comment'><p>{{}}</p></div>", "<article class='comment'>{}</article>", "<blockquote>{}</blockquote>"])
-        add(f"<{(t := r.choice(['section', 'div', 'ol']))}{cls('comments', 'discussion', 'replies', 'disqus', 'responses')}>" + "".join(one.format(prose(2, 60)) for _ in range(n)) + f"</{t}>", *[False] * n)
+        add(f"<{(t := r.choice(['section', 'div', 'ol']))}{cls('comments', 'discussion', 'replies', 'disqus', 'responses')}>" + "".join(one.format(phrase('comment', 2, 60)) for _ in range(n)) + f"</{t}>", *[False] * n)
 
     def foot() -> None:
-        add(r.choice(["<footer>{}</footer>", "<footer><p>{}</p></footer>", f"<div{cls('footer', 'foot', 'copyright', 'legal', 'bottom')}>{{}}</div>"]).format(r.choice(["&copy; ", "", ""]) + prose(2, 25)), False)
+        add(r.choice(["<footer>{}</footer>", "<footer><p>{}</p></footer>", f"<div{cls('footer', 'foot', 'copyright', 'legal', 'bottom')}>{{}}</div>"]).format(r.choice(["&copy; ", "", ""]) + phrase('foot', 2, 25)), False)
 
     def main() -> None:
         opened = r.choice(["article"] * 6 + ["main", "main><article", f"div{cls('content', 'post', 'entry', 'story', 'article', 'body', 'main', 'text')}", f"section{cls('content', 'article', 'post', 'story')}", "main><div class='content'"])
@@ -398,7 +496,9 @@ def extract(model: BlockLabeller, pages: list[str | None]) -> list[str]:
 def main_text(pages: DataFrame, html_column: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: all columns but ``text``), then ``text``: main blocks in page order, joined by a line feed.
 
-    Null and empty pages, and pages without a main block, give an empty text.  Nothing of a main block is dropped.
+    Null and empty pages, and pages without a main block, give an empty text.  Nothing of a main block is dropped, however long or
+    deeply nested a page is.  Rows that repeat give equal texts; an empty table gives no rows.  Ties: a margin of zero is no main text.
+    A column ``text`` of ``pages`` is replaced.
     """
     keep = [c for c in pages.columns if c != "text"] if keep is None else keep
     model = labeller()
