@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import ClassVar
 
@@ -13,7 +14,7 @@ from terrafold.engine.graph import Context, GraphError, Operator, need
 from terrafold.functions import geometry
 from terrafold.model.descriptor import Band, GeoTransform, RasterDescriptor, VectorDescriptor, is_float
 from terrafold.model.rect import Rect
-from terrafold.model.time import intersects
+from terrafold.model.time import MAX_MS, MIN_MS, intersects
 
 
 def gaussian(x: float, stddev: float) -> float:
@@ -112,7 +113,7 @@ class RasterVectorJoin(Operator):
 
     feature_aggregation: first or mean over the pixels that a feature covers.  temporal_aggregation: none splits a feature by the raster's slices; first or
     mean combine them.  Polygons cover the pixels whose upper left corner lies inside.  Without pixels first and mean over time give 0.
-    Pixels are matched by equal row and column; times are compared within a pixel.
+    Pixels are matched by equal row, column and step of time; times are compared within such a cell.
     """
 
     TYPE: ClassVar[str] = "RasterVectorJoin"
@@ -181,13 +182,68 @@ class RasterVectorJoin(Operator):
         value = lambda k: F.max(F.when(F.col("band") == k, F.col("value"))).cast("double").alias(f"v{k}")
         wide = pixels.select("t_start", "t_end", "y", "x", F.col("value").cast("double").alias("v0")) if n == 1 else pixels.groupBy("t_start", "t_end", "y", "x").agg(*map(value, range(n)))
         wide = wide.withColumnsRenamed({"t_start": "r_start", "t_end": "r_end"})
+        first, last = self._buckets(rdesc, rect)
+        wide = wide.withColumn("r_first", first("r_start", "r_end")).withColumn("bucket", F.explode(F.sequence("r_first", F.greatest("r_first", last("r_start", "r_end")))))
+        cast = lambda k, c: (c.cast("bigint") if types[names[k]] == "int" else c).alias(names[k])
+        if kind != "MultiPoint":
+            return self._general(found, kind, rdesc, wide, first, last, n, cast)
+        # a feature of one point in one bucket meets the slices of one pixel and bucket: one join keeps all rows
+        rows = found.withColumns({"__first": first("t_start", "t_end"), "__last": last("t_start", "t_end")})
+        single = (F.size("geom") == 1) & (F.col("__last") <= F.col("__first"))
+        near = self._single(rows.where(single), rdesc, wide, found.columns, n, cast)
+        return near.unionByName(self._general(rows.where(~F.coalesce(single, F.lit(False))).select(found.columns), kind, rdesc, wide, first, last, n, cast))
+
+    def _buckets(self, rdesc: RasterDescriptor, rect: Rect) -> tuple[Callable, Callable]:
+        """Numbers of the first and last step of the raster that an interval meets, inside the time that bounds the query; 0 if nothing does or there are no steps.
+
+        Two intervals that meet inside these bounds share a bucket there, so it can be part of a join's key.
+        """
+        time = rect.time if rect.time != (MIN_MS, MAX_MS) else rdesc.time
+        if rdesc.step is None or time is None or time[0] <= MIN_MS or time[1] >= MAX_MS:
+            return (lambda a, b: F.lit(0).cast("long")), (lambda a, b: F.lit(0).cast("long"))
+        low, high = F.lit(time[0]), F.lit(max(time[0], time[1] - 1))
+        number = lambda t: rdesc.step.index(F.least(F.greatest(t, low), high), rdesc.reference).cast("long")
+        return (lambda a, b: number(F.col(a))), (lambda a, b: number(F.greatest(F.col(a), F.col(b) - 1)))
+
+    def _single(self, rows: DataFrame, rdesc: RasterDescriptor, wide: DataFrame, columns: list[str], n: int, cast: Callable) -> DataFrame:
+        """Features of one point in one bucket: joined with all slices of their pixel and bucket, of which they keep what they meet."""
+        t = rdesc.transform
+        p = F.col("geom")[0]
+        rows = rows.withColumns({"__y": F.floor((p["y"] - t.y) / t.y_size).cast("int"), "__x": F.floor((p["x"] - t.x) / t.x_size).cast("int")})
+        slices = wide.groupBy("y", "x", "bucket").agg(F.array_sort(F.collect_list(F.struct("r_start", "r_end", *[f"v{k}" for k in range(n)]))).alias("slices"))
+        joined = rows.join(slices, (F.col("__y") == F.col("y")) & (F.col("__x") == F.col("x")) & (F.col("__first") == F.col("bucket")), "left")
+        hits = F.filter("slices", lambda s: intersects(F.col("t_start"), F.col("t_end"), s["r_start"], s["r_end"]))
+        rest = [c for c in columns if c not in ("t_start", "t_end")]
+        if self.temporal_aggregation == "none":
+            spread = joined.select(*columns, F.explode_outer(hits).alias("s"))
+            start, end = (F.coalesce(f(c, f"s.{r}"), F.col(c)) for f, c, r in ((F.greatest, "t_start", "r_start"), (F.least, "t_end", "r_end")))
+            return spread.select(start.alias("t_start"), end.alias("t_end"), *rest, *[cast(k, F.col(f"s.v{k}")) for k in range(n)])
+        joined = joined.select(*columns, F.coalesce(hits, F.array().cast(joined.schema["slices"].dataType)).alias("s"))
+        ignore = self.temporal_aggregation_ignore_no_data
+
+        def combined(k: int) -> Column:
+            own = F.transform("s", lambda s: s[f"v{k}"])
+            known = F.filter(own, lambda v: v.isNotNull())
+            if self.temporal_aggregation == "first":
+                out = F.get(known if ignore else own, F.lit(0))
+            else:
+                total = F.aggregate(known, F.lit(0.0), lambda a, v: a + v)
+                out = F.when((F.size(known) > 0) if ignore else (F.size(known) == F.size(own)), F.try_divide(total, F.size(known)))
+            return F.coalesce(out, F.lit(0.0)) if ignore else F.when(F.size("s") == 0, 0.0).otherwise(out)
+
+        return joined.select(*columns, *[cast(k, combined(k)) for k in range(n)])
+
+    def _general(self, found: DataFrame, kind: str, rdesc: RasterDescriptor, wide: DataFrame, first: Callable, last: Callable, n: int, cast: Callable) -> DataFrame:
+        """Features of several pixels or buckets: pixels that they cover, combined for each feature and slice, then joined back."""
         from terrafold.sources.tables import identity
 
         rows = found.withColumn("__id", identity(found.columns))
-        covered = self._covered(rows, kind, rdesc.transform)
-        hits = covered.join(wide, ["y", "x"]).where(intersects(F.col("t_start"), F.col("t_end"), F.col("r_start"), F.col("r_end")))
+        covered = self._covered(rows, kind, rdesc.transform).withColumn("f_first", first("t_start", "t_end"))
+        covered = covered.withColumn("bucket", F.explode(F.sequence("f_first", F.greatest("f_first", last("t_start", "t_end")))))
+        # a pair that shares several buckets counts in the first of them
+        meets = intersects(F.col("t_start"), F.col("t_end"), F.col("r_start"), F.col("r_end")) & (F.col("bucket") == F.greatest("f_first", "r_first"))
+        hits = covered.join(wide, ["y", "x", "bucket"]).where(meets)
         per_slice = hits.groupBy("__id", "r_start", "r_end").agg(*[self._combined(self.feature_aggregation, self.feature_aggregation_ignore_no_data, F.col(f"v{k}"), F.col("i")).alias(f"v{k}") for k in range(n)])
-        cast = lambda k, c: (c.cast("bigint") if types[names[k]] == "int" else c).alias(names[k])
         if self.temporal_aggregation == "none":
             joined = rows.join(per_slice, "__id", "left")
             start = F.when(F.col("r_start").isNull(), F.col("t_start")).otherwise(F.greatest("t_start", "r_start"))
@@ -197,5 +253,3 @@ class RasterVectorJoin(Operator):
         total = per_slice.groupBy("__id").agg(*over, F.lit(True).alias("hit"))
         zero = lambda k: F.coalesce(F.col(f"v{k}"), F.lit(0.0)) if self.temporal_aggregation_ignore_no_data else F.when(F.col("hit").isNull(), 0.0).otherwise(F.col(f"v{k}"))
         return rows.join(total, "__id", "left").select(*found.columns, *[cast(k, zero(k)) for k in range(n)])
-
-
