@@ -27,11 +27,22 @@ class GraphError(ValueError):
 
 @dataclass
 class Context:
-    """A session and the datasets that sources name: each a loader of a DataFrame, and a descriptor."""
+    """A session and the datasets that sources name: each a loader of a DataFrame, and a descriptor.
+
+    slices: loading information of raster datasets by name: the (start, end) of their slices in time, as a list or a function of the session that
+    gives one.  It is as long as there are time steps, and asked for instead of the pixels to tell which steps are missing.
+    """
 
     spark: SparkSession
     datasets: dict[str, tuple[Any, Any]] = field(default_factory=dict)
     models: dict[str, Any] = field(default_factory=dict)
+    slices: dict[str, Any] = field(default_factory=dict)
+
+    def known_slices(self, name: str) -> list[tuple[int, int]] | None:
+        """Sorted slices of a dataset, if its loading information is known."""
+        own = self.slices.get(name)
+        own = own(self.spark) if callable(own) else own
+        return None if own is None else sorted(own)
 
     def dataset(self, name: str) -> tuple[DataFrame, Any]:
         if name not in self.datasets:
@@ -67,6 +78,13 @@ class Operator:
     def query(self, ctx: Context, rect: Rect) -> DataFrame:
         raise NotImplementedError
 
+    #: Whether the slices in time of the result are those of the first input.
+    KEEPS_TIME: ClassVar[bool] = False
+
+    def times(self, ctx: Context, rect: Rect) -> list[tuple[int, int]] | None:
+        """The sorted slices of a raster result in the time of ``rect``, if they are known without a job."""
+        return self.inputs()[0].times(ctx, rect) if self.KEEPS_TIME else None
+
     def inputs(self) -> list[Operator]:
         own = [getattr(self, n) for n in self.INPUTS]
         return [x for o in own for x in (o if isinstance(o, tuple) else (o,))]

@@ -133,6 +133,14 @@ class TimeStep:
         diff = (own.year - ref.year) * 12 + (own.month - ref.month if self.granularity == "months" else 0)
         return self._shifted(reference, diff // self.months * self.months)
 
+    def index_ms(self, t: int, reference: int = 0) -> int:
+        """``index`` of a number."""
+        if unit := UNIT_MS.get(self.granularity):
+            diff = t - reference
+            return (abs(diff) // unit * (1 if diff >= 0 else -1)) // self.step
+        ref, own = _date(reference), _date(t)
+        return ((own.year - ref.year) * 12 + (own.month - ref.month if self.granularity == "months" else 0)) // self.months
+
     def add_ms(self, t: int, n: int = 1) -> int:
         """``add`` of a number."""
         if t <= MIN_MS or t >= MAX_MS:

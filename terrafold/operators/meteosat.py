@@ -53,6 +53,7 @@ class Radiance(Operator):
     """offset + value * slope of the dataset's calibration, as 32-bit floats."""
 
     TYPE: ClassVar[str] = "Radiance"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
 
@@ -96,6 +97,7 @@ class Reflectance(Operator):
     """Radiance as a share of the sun's, by its distance on the day, and with ``solar_correction`` by its height (zenith at most 80 degrees)."""
 
     TYPE: ClassVar[str] = "Reflectance"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
     solar_correction: bool = False
@@ -130,6 +132,7 @@ class Temperature(Operator):
     """Brightness temperature of channels 4 to 11 from 10-bit counts; counts beyond 1023 are no data."""
 
     TYPE: ClassVar[str] = "Temperature"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
     force_satellite: int | None = None

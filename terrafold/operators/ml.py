@@ -53,6 +53,7 @@ class Onnx(Operator):
     """One band ``prediction``: the first output of a model over all bands of each pixel."""
 
     TYPE: ClassVar[str] = "Onnx"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
     model: str = field(default="")

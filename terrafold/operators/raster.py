@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass, field
 from typing import ClassVar
 
@@ -13,7 +14,7 @@ from terrafold.functions import expression
 from terrafold.functions.casts import machine_cast, saturated
 from terrafold.model.descriptor import PIXEL_TYPES, Band, RasterDescriptor, is_float
 from terrafold.model.rect import Rect
-from terrafold.model.time import MAX_MS, MIN_MS, TimeStep, to_ms
+from terrafold.model.time import MAX_MS, MIN_MS, TimeStep, interval_intersects, to_ms
 
 PIXEL = ("t_start", "t_end", "band", "y", "x")
 
@@ -27,6 +28,7 @@ class BandFilter(Operator):
     """Bands by name or index, in the source's order, numbered anew."""
 
     TYPE: ClassVar[str] = "BandFilter"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
     bands: tuple = ()
@@ -59,6 +61,7 @@ class RasterTypeConversion(Operator):
     """Every pixel as another type, as machine arithmetic casts."""
 
     TYPE: ClassVar[str] = "RasterTypeConversion"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
     output_data_type: str
@@ -86,6 +89,7 @@ class RasterScaling(Operator):
     """
 
     TYPE: ClassVar[str] = "RasterScaling"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
     slope: dict = field(hash=False)
@@ -144,6 +148,7 @@ class Expression(Operator):
     """
 
     TYPE: ClassVar[str] = "Expression"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
     expression: str
@@ -179,6 +184,7 @@ class BandwiseExpression(Operator):
     """An expression over ``x``, for each band by itself."""
 
     TYPE: ClassVar[str] = "BandwiseExpression"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
     expression: str
@@ -201,7 +207,7 @@ class BandwiseExpression(Operator):
 class TemporalRasterAggregation(Operator):
     """Pixels over tumbling calendar windows.
 
-    A slice counts in each window that it intersects.  aggregation: dict of type (min, max, first, last, mean, sum, count,
+    A slice counts in each window that it intersects; a window without slices is without data.  aggregation: dict of type (min, max, first, last, mean, sum, count,
     percentileEstimate), ignoreNoData, percentile.  Without ignoreNoData one pixel without data makes the result no data.
     first and last take the pixel of the first or last slice (by start, then end), or with ignoreNoData the first or last pixel with data.  sum and count stay
     inside the pixel type's range.  With output_type values are cast first.  The percentile is the exact one, interpolated between ranks.
@@ -224,15 +230,40 @@ class TemporalRasterAggregation(Operator):
             raise GraphError("a percentile lies between 0 and 1")
         return desc.but(data_type=self.output_type or desc.data_type, step=TimeStep.of(self.window), reference=to_ms(self.window_reference or 0))
 
-    def query(self, ctx: Context, rect: Rect) -> DataFrame:
+    def _hull(self, ctx: Context, rect: Rect) -> tuple[int, int, int]:
+        """Start of the first window, start of the last one, and its end."""
         source, desc = need("raster", self.raster, ctx), self.describe(ctx)
         step, ref = desc.step, desc.reference
         low, high = rect.time
         if (low, high) == (MIN_MS, MAX_MS) and source.time:
             low, high = source.time
-        wide = (step.snap_ms(low, ref), high if low == high else step.snap_ms(max(low, high - 1), ref))
-        end = MAX_MS if wide[1] >= MAX_MS else step.add_ms(wide[1])
-        found = self.raster.query(ctx, rect.but(time=(wide[0], end)))
+        first, last = step.snap_ms(low, ref), high if low == high else step.snap_ms(max(low, high - 1), ref)
+        return first, last, MAX_MS if last >= MAX_MS else step.add_ms(last)
+
+    def times(self, ctx: Context, rect: Rect) -> list[tuple[int, int]] | None:
+        first, _, end = self._hull(ctx, rect)
+        desc = self.describe(ctx)
+        return None if first <= MIN_MS or end >= MAX_MS else desc.step.steps(first, end, desc.reference)
+
+    def query(self, ctx: Context, rect: Rect) -> DataFrame:
+        from terrafold.sources.tables import empty_pixels, missing_slices
+
+        source, desc = need("raster", self.raster, ctx), self.describe(ctx)
+        step, ref = desc.step, desc.reference
+        low, last_start, end = self._hull(ctx, rect)
+        wide = (low, last_start)
+        asked = rect.but(time=(wide[0], end))
+        found = self.raster.query(ctx, asked).withColumn("real", F.lit(True))
+        if wide[0] > MIN_MS and end < MAX_MS:
+            # windows that no slice meets: told by the source's slices, else by the times of its pixels
+            slices, on_grid = self.raster.times(ctx, asked), asked.on_grid(desc.transform)
+            if slices is None:
+                empty = missing_slices(ctx.spark, found.select("t_start", "t_end").distinct(), (wide[0], end), step, ref)
+            else:
+                gaps = [w for w in step.steps(wide[0], end, ref) if not any(interval_intersects(w, o) for o in meeting(slices, w))]
+                empty = ctx.spark.createDataFrame(gaps, "t_start long, t_end long") if gaps else None
+            if empty is not None:
+                found = found.unionByName(empty_pixels(ctx, empty, source, on_grid).withColumn("real", F.lit(False)))
         kind, spark_type = desc.data_type, PIXEL_TYPES[desc.data_type][2]
         if self.output_type:
             found = found.withColumn("value", machine_cast(F.col("value"), source.data_type, kind))
@@ -253,11 +284,11 @@ class TemporalRasterAggregation(Operator):
                 "max": lambda: F.max(v),
                 "mean": lambda: machine_cast(F.avg(v.cast("double")), "F64", kind),
                 "sum": lambda: saturated(F.coalesce(F.sum(v.cast(wide_type)), F.lit(0)) if not strict else F.sum(v.cast(wide_type)), kind),
-                "count": lambda: saturated(F.count(v), kind),
+                "count": lambda: F.when(F.max("real"), saturated(F.count(v), kind)),
                 "percentileEstimate": lambda: machine_cast(F.percentile(v.cast("double"), F.lit(self.aggregation["percentile"])), "F64", kind),
             }[name]()
             if strict:
-                value = F.when(F.count(v) == F.count(F.lit(1)), value)
+                value = F.when((F.count(v) == F.count(F.lit(1))) & F.max("real"), value)
             elif name == "sum":
                 value = F.when(F.count(v) > 0, value)
         out = found.groupBy("w", "band", "y", "x").agg(value.cast(spark_type).alias("value"))
@@ -274,6 +305,7 @@ class NeighborhoodAggregate(Operator):
     """
 
     TYPE: ClassVar[str] = "NeighborhoodAggregate"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
     neighborhood: dict = field(hash=False)
@@ -302,10 +334,11 @@ class NeighborhoodAggregate(Operator):
         found = self.raster.query(ctx, rect.grown(rows, cols))
         along_x = Window.partitionBy("t_start", "t_end", "band", "y").orderBy("x")
         along_y = Window.partitionBy("t_start", "t_end", "band", "x").orderBy("y")
-        near = lambda name, d, w: F.col(name) if d == 0 else F.lag(name, -d).over(w)
+        # a neighbouring row is a neighbouring pixel only where its place says so
+        near = lambda name, d, w, at: F.col(name) if d == 0 else F.when(F.lag(at, -d).over(w) == F.col(at) + d, F.lag(name, -d).over(w))
         v = F.col("value").cast("double")
         across = found.select(*PIXEL, v.alias("v"))
-        parts = {f"n{d}": near("v", d, along_x) for d in range(-cols, cols + 1)}
+        parts = {f"n{d}": near("v", d, along_x, "x") for d in range(-cols, cols + 1)}
         across = across.withColumns({k: c for k, c in parts.items()})
         distinct = list(dict.fromkeys(tuple(r) for r in weights))
         sums: dict[str, Column] = {}
@@ -322,7 +355,7 @@ class NeighborhoodAggregate(Operator):
                 sums[f"q{k}"] = sum([t * t for t in known[1:]], known[0] * known[0])
                 sums[f"c{k}"] = sum([F.when(t.isNotNull(), 1).otherwise(0) for t in terms[1:]], F.when(terms[0].isNotNull(), 1).otherwise(0))
         across = across.select(*PIXEL, *[c.alias(k) for k, c in sums.items()])
-        down = {f"{k}_{d}": near(k, d, along_y) for k in sums for d in range(-rows, rows + 1)}
+        down = {f"{k}_{d}": near(k, d, along_y, "y") for k in sums for d in range(-rows, rows + 1)}
         tall = across.withColumns(down)
         pick = lambda kind: [F.col(f"{kind}{distinct.index(tuple(row))}_{d}") for d, row in zip(range(-rows, rows + 1), weights, strict=True)]
         if self.aggregate_function == "sum":
@@ -341,6 +374,7 @@ class BandNeighborhoodAggregate(Operator):
     """Over neighbouring bands: {"type": "firstDerivative", "bandDistance": {"type": "equallySpaced", "distance"}} or {"type": "average", "windowSize"}."""
 
     TYPE: ClassVar[str] = "BandNeighborhoodAggregate"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
     aggregate: dict = field(hash=False)
@@ -439,8 +473,9 @@ class RasterStacker(Operator):
             offset += n
         if len(parts) == 1:
             return parts[0][0]
-        # the slices of an input are its time steps, whatever its number of pixels
-        slices = [sorted({(r.t_start, r.t_end) for r in df.select("t_start", "t_end").distinct().collect()}) for df, _, _ in parts]
+        # the slices of an input are its time steps, whatever its number of pixels; a job asks for those that no loading information tells
+        known = [r.times(ctx, rect) for r in self.rasters]
+        slices = [own if own is not None else sorted({(r.t_start, r.t_end) for r in df.select("t_start", "t_end").distinct().collect()}) for own, (df, _, _) in zip(known, parts, strict=True)]
         aligned = all(s == slices[0] for s in slices)
         pieces = [] if aligned else refined(slices)
         out = None
@@ -458,6 +493,12 @@ class RasterStacker(Operator):
         return out
 
 
+def meeting(slices: list[tuple[int, int]], window: tuple[int, int]) -> list[tuple[int, int]]:
+    """Those of sorted ``slices``, which are apart, that may meet ``window``."""
+    first = bisect.bisect_left(slices, window)
+    return slices[max(0, first - 1) : bisect.bisect_left(slices, (window[1], MIN_MS), lo=first)]
+
+
 def refined(slices: list[list[tuple[int, int]]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """(start, end, the slice of each input) of the pieces of time that all inputs have; slices are sorted and apart."""
     edges = sorted({e for own in slices for s in own for e in s})

@@ -67,6 +67,7 @@ class Interpolation(Operator):
     """A finer grid: nearestNeighbor samples at the centre of a target pixel, biLinear at its upper left, where it needs all four neighbours."""
 
     TYPE: ClassVar[str] = "Interpolation"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
     interpolation: str = "nearestNeighbor"
@@ -106,6 +107,7 @@ class Downsampling(Operator):
     """A coarser grid: each target takes the source pixel under its centre."""
 
     TYPE: ClassVar[str] = "Downsampling"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("raster",)
     raster: Operator
     sampling_method: str = "nearestNeighbor"

@@ -27,7 +27,7 @@ from terrafold.engine.graph import Context, from_json
 from terrafold.model.rect import Rect
 from terrafold.model.time import MAX_MS, MIN_MS
 from terrafold.operators.ml import Model, linear
-from terrafold.sources.bindings import BOOKINGS_SQL, DAY, PIXELS_SQL, POINTS_SQL, T0, context
+from terrafold.sources.bindings import BOOKINGS_SQL, DAY, PIXELS_SQL, POINTS_SQL, SPARSE_SQL, T0, context
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,8 +247,9 @@ add("raster_scaling_sub", run(over("RasterScaling", op("GdalSource", data="msg")
 add("band_filter_name", run(over("BandFilter", RASTER, bands=["c", "a"])), with_pixels("SELECT t_start, t_end, CASE band WHEN 0 THEN 0 ELSE 1 END::BIGINT AS band, y, x, value FROM r WHERE band IN (0, 2)"))
 add("band_filter_index", run(over("BandFilter", RASTER, bands=[1])), with_pixels("SELECT t_start, t_end, 0::BIGINT AS band, y, x, value FROM r WHERE band = 1"))
 add("radiance", run(over("Radiance", op("GdalSource", data="msg"))), with_pixels(f"SELECT {R}, (-10 + value * 0.25)::DOUBLE AS value FROM r WHERE band = 0"))
+RATIO = "1.19104273e-16::DOUBLE * 1e6 * pow(2567.33, 3) / (1e-5::DOUBLE * (-10 + value * 0.25))"
 KELVIN = "(0.0143877523::DOUBLE * 100 * 2567.33 / ln(1 + 1.19104273e-16::DOUBLE * 1e6 * pow(2567.33, 3) / (1e-5::DOUBLE * (-10 + value * 0.25))) - 3.41) / 0.9956"
-add("temperature", run(over("BandwiseExpression", over("Temperature", op("GdalSource", data="msg")), expression="floor(x * 10)", outputType="F64"), finish=lambda df: df.where("value is not null and value > 0").drop("t_end")), with_pixels(f"SELECT t_start, band, y, x, floor({KELVIN} * 10) AS value FROM r WHERE band = 0 AND value > 40"))
+add("temperature", run(over("BandwiseExpression", over("Temperature", op("GdalSource", data="msg")), expression="floor(x * 10)", outputType="F64"), finish=lambda df: df.withColumn("value", F.when(F.abs("value") < 1e9, F.col("value")))), with_pixels(f"SELECT {R}, CASE WHEN value = 40 THEN floor(-3.41 / 0.9956 * 10) WHEN value BETWEEN 0 AND 1023 AND {RATIO} > -1 THEN floor({KELVIN} * 10) END AS value FROM r WHERE band = 0"))
 add(
     "reflectance",
     run(over("BandwiseExpression", over("Reflectance", over("RasterTypeConversion", op("GdalSource", data="visible"), outputDataType="F32")), expression="floor(x * 1000)", outputType="F64")),
@@ -260,10 +261,10 @@ add("reflectance_solar", run(over("Reflectance", over("RasterTypeConversion", op
 add("interpolation_nn", run(over("Interpolation", RASTER, interpolation="nearestNeighbor", outputResolution={"type": "fraction", "x": 3, "y": 2})), with_pixels("SELECT t_start, t_end, band, i.range AS y, j.range AS x, value FROM r, range(16) AS i, range(48) AS j WHERE r.y = i.range // 2 AND r.x = j.range // 3"))
 add(
     "interpolation_bilinear",
-    run(over("Interpolation", over("RasterTypeConversion", RASTER, outputDataType="F64"), interpolation="biLinear", outputResolution={"type": "fraction", "x": 2, "y": 2}), Rect(time=WEEK)),
+    run(over("Interpolation", over("RasterTypeConversion", RASTER, outputDataType="F64"), interpolation="biLinear", outputResolution={"type": "fraction", "x": 2, "y": 2})),
     with_pixels(f"""SELECT a.t_start, a.t_end, a.band, i.range AS y, j.range AS x,
  ((a.value * (1 - (j.range % 2) / 2) + b.value * (j.range % 2) / 2) * (1 - (i.range % 2) / 2) + (c.value * (1 - (j.range % 2) / 2) + d.value * (j.range % 2) / 2) * (i.range % 2) / 2)::DOUBLE AS value
- FROM (SELECT * FROM r WHERE {in_week}) AS a JOIN range(16) AS i ON a.y = i.range // 2 JOIN range(32) AS j ON a.x = j.range // 2
+ FROM r AS a JOIN range(16) AS i ON a.y = i.range // 2 JOIN range(32) AS j ON a.x = j.range // 2
  LEFT JOIN r AS b ON b.t_start = a.t_start AND b.band = a.band AND b.y = a.y AND b.x = a.x + 1
  LEFT JOIN r AS c ON c.t_start = a.t_start AND c.band = a.band AND c.y = a.y + 1 AND c.x = a.x
  LEFT JOIN r AS d ON d.t_start = a.t_start AND d.band = a.band AND d.y = a.y + 1 AND d.x = a.x + 1"""),
@@ -291,13 +292,15 @@ add(
 # ---- temporal aggregation ----
 THREE = {"granularity": "days", "step": 3}
 window_of = f"cast(floor(t_start / {3 * DAY}) * {3 * DAY} AS BIGINT)"
+# windows reach beyond the dataset's time, where slices are without data: a strict aggregate needs all three days
 AGG = {
     "min": "min(value)", "max": "max(value)", "mean": "cast(trunc(avg(value)) AS BIGINT)", "sum": "cast(sum(value) AS BIGINT)", "count": "count(value)",
-    "first": ("arg_min(value, t_start)", "arg_min_null(value, t_start)"), "last": ("arg_max(value, t_start)", "arg_max_null(value, t_start)"),
+    "first": ("arg_min(value, t_start)", f"CASE WHEN min(t_start) = {window_of} THEN arg_min_null(value, t_start) END"),
+    "last": ("arg_max(value, t_start)", f"CASE WHEN max(t_end) = {window_of} + {3 * DAY} THEN arg_max_null(value, t_start) END"),
 }
 for name, sql in AGG.items():
     for strict in (False, True):
-        body = sql[strict] if isinstance(sql, tuple) else f"CASE WHEN count(value) = count(*) THEN {sql} END" if strict else sql
+        body = sql[strict] if isinstance(sql, tuple) else f"CASE WHEN count(value) = 3 THEN {sql} END" if strict else sql
         add(
             f"temporal_agg_{name}_{'strict' if strict else 'ignore'}",
             run(over("TemporalRasterAggregation", RASTER, aggregation={"type": name, "ignoreNoData": not strict}, window=THREE)),
@@ -318,6 +321,32 @@ add(
  FROM (SELECT {window_of} AS s, y, x, sum(value) AS value FROM r WHERE band = 0 GROUP BY {window_of}, y, x)) WHERE w < {T0 + 30 * DAY} AND w + {2 * DAY} > {T0} GROUP BY w, y, x"""),
 )
 
+# ---- rasters with gaps ----
+SPARSE = op("MultiBandGdalSource", data="sparse")
+with_sparse = lambda body: f"WITH {SPARSE_SQL} {body}"
+add("mosaic_sparse", run(SPARSE), with_sparse("SELECT t_start, t_end, band, y, x, value FROM sm"))
+add("mosaic_overview", run(op("MultiBandGdalSource", data="sparse", overviewLevel=2)), with_sparse("SELECT t_start, t_end, band, y // 2 AS y, x // 2 AS x, value FROM sm WHERE y % 2 = 0 AND x % 2 = 0"))
+add(
+    "neighborhood_over_sparse_mosaic",
+    run(over("NeighborhoodAggregate", SPARSE, neighborhood={"type": "rectangle", "dimensions": [1, 3]}, aggregateFunction="standardDeviation"), finish=rounded("value")),
+    with_sparse("""SELECT p.t_start, p.t_end, p.band, p.y, p.x, CASE WHEN count(n.value) >= 2 THEN cast(trunc(stddev_pop(n.value)) AS BIGINT) END AS value
+ FROM sm AS p LEFT JOIN sm AS n ON n.t_start = p.t_start AND n.band = p.band AND n.y = p.y AND n.x BETWEEN p.x - 1 AND p.x + 1 GROUP BY ALL"""),
+)
+add(
+    "neighborhood_sum_over_sparse_mosaic",
+    run(over("NeighborhoodAggregate", SPARSE, neighborhood={"type": "weightsMatrix", "weights": [[1], [2], [1]]}, aggregateFunction="sum")),
+    with_sparse("""SELECT p.t_start, p.t_end, p.band, p.y, p.x, a.value + 2 * p.value + b.value AS value FROM sm AS p
+ LEFT JOIN sm AS a ON a.t_start = p.t_start AND a.band = p.band AND a.x = p.x AND a.y = p.y - 1 LEFT JOIN sm AS b ON b.t_start = p.t_start AND b.band = p.band AND b.x = p.x AND b.y = p.y + 1"""),
+)
+GAPS = (T0 - 4 * DAY, T0 + 7 * DAY)
+for strict in (False, True):
+    add(
+        f"temporal_agg_with_gaps_{'strict' if strict else 'ignore'}",
+        run(over("TemporalRasterAggregation", SPARSE, aggregation={"type": "sum", "ignoreNoData": not strict}, window={"granularity": "days", "step": 1}), Rect(time=GAPS)),
+        with_sparse(f"""SELECT {T0} + d.range * {DAY} AS t_start, {T0} + (d.range + 1) * {DAY} AS t_end, cast(b.range AS BIGINT) AS band, cast(i.range AS BIGINT) AS y, cast(j.range AS BIGINT) AS x, value
+ FROM range(-4, 7) AS d, range(2) AS b, range(8) AS i, range(16) AS j LEFT JOIN sm ON sm.t_start = {T0} + d.range * {DAY} AND band = b.range AND y = i.range AND x = j.range"""),
+    )
+
 # ---- neighbourhoods ----
 KERNEL = [[1, 2, 1], [0, 3, 0], [-1, 0, 2]]
 DENSE = over("Expression", over("BandFilter", RASTER, bands=["a"]), expression="if A IS NODATA { 1 } else { A }", outputType="I64", mapNoData=True)
@@ -377,35 +406,18 @@ add(
 pixel_of = "y = floor((90 - py) / 22.5) AND x = floor((px + 180) / 22.5)"
 touching = "((p.t_start >= r.t_start AND p.t_start < r.t_end) OR (r.t_start >= p.t_start AND r.t_start < p.t_end))"
 few = lambda df: df.select("t_start", "t_end", "event_id", "a")
-SOME = over("ColumnRangeFilter", POINTS, "vector", column="user_id", ranges=[[0, 60]])
 add(
     "raster_vector_join_none",
-    run(op("RasterVectorJoin", {"vector": SOME, "rasters": [ONE]}, featureAggregation="first", temporalAggregation="none"), finish=few),
-    both(f"SELECT coalesce(greatest(p.t_start, r.t_start), p.t_start) AS t_start, coalesce(least(p.t_end, r.t_end), p.t_end) AS t_end, event_id, r.value AS a FROM pts AS p LEFT JOIN r ON band = 0 AND {pixel_of} AND {touching} WHERE user_id BETWEEN 0 AND 60"),
-)
-add(
-    "raster_vector_join_first",
-    run(op("RasterVectorJoin", {"vector": SOME, "rasters": [ONE]}, featureAggregation="first", temporalAggregation="first", temporalAggregationIgnoreNoData=True), finish=few),
-    both(f"SELECT p.t_start, p.t_end, event_id, coalesce(arg_min(r.value, r.t_start), 0) AS a FROM pts AS p LEFT JOIN r ON band = 0 AND {pixel_of} AND {touching} WHERE user_id BETWEEN 0 AND 60 GROUP BY ALL"),
-)
-add(
-    "raster_vector_join_mean",
-    run(op("RasterVectorJoin", {"vector": SOME, "rasters": [RASTER]}, featureAggregation="mean", temporalAggregation="mean", featureAggregationIgnoreNoData=True, temporalAggregationIgnoreNoData=True), finish=lambda df: rounded("a", "b", "c")(df.select("event_id", "a", "b", "c"))),
-    both("SELECT event_id, " + ", ".join(f"round(coalesce(avg(r.value) FILTER (WHERE band = {k}), 0), 6) AS {c}" for k, c in enumerate("abc")) + f" FROM pts AS p LEFT JOIN r ON {pixel_of} AND {touching} WHERE user_id BETWEEN 0 AND 60 GROUP BY event_id"),
-)
-# the same three joins of all points: SOME stays as the SQL above has it
-add(
-    "raster_vector_join_none_all",
     run(op("RasterVectorJoin", {"vector": POINTS, "rasters": [ONE]}, featureAggregation="first", temporalAggregation="none"), finish=few),
     both(f"SELECT coalesce(greatest(p.t_start, r.t_start), p.t_start) AS t_start, coalesce(least(p.t_end, r.t_end), p.t_end) AS t_end, event_id, r.value AS a FROM pts AS p LEFT JOIN r ON band = 0 AND {pixel_of} AND {touching}"),
 )
 add(
-    "raster_vector_join_first_all",
+    "raster_vector_join_first",
     run(op("RasterVectorJoin", {"vector": POINTS, "rasters": [ONE]}, featureAggregation="first", temporalAggregation="first", temporalAggregationIgnoreNoData=True), finish=few),
     both(f"SELECT p.t_start, p.t_end, event_id, coalesce(arg_min(r.value, r.t_start), 0) AS a FROM pts AS p LEFT JOIN r ON band = 0 AND {pixel_of} AND {touching} GROUP BY ALL"),
 )
 add(
-    "raster_vector_join_mean_all",
+    "raster_vector_join_mean",
     run(op("RasterVectorJoin", {"vector": POINTS, "rasters": [RASTER]}, featureAggregation="mean", temporalAggregation="mean", featureAggregationIgnoreNoData=True, temporalAggregationIgnoreNoData=True), finish=lambda df: rounded("a", "b", "c")(df.select("event_id", "a", "b", "c"))),
     both("SELECT event_id, " + ", ".join(f"round(coalesce(avg(r.value) FILTER (WHERE band = {k}), 0), 6) AS {c}" for k, c in enumerate("abc")) + f" FROM pts AS p LEFT JOIN r ON {pixel_of} AND {touching} GROUP BY event_id"),
 )
@@ -472,14 +484,13 @@ add(
     with_pixels("SELECT b.range AS class_id, 'class ' || b.range AS label, count(v) AS frequency FROM range(6) AS b LEFT JOIN (SELECT (value % 8 + 8) % 8 AS v FROM r WHERE band = 0) ON v = b.range GROUP BY ALL"),
 )
 add("pie_chart", run(op("PieChart", {"vector": POINTS}, columnName="event_type")), with_points("SELECT event_type AS slice, count(*) AS n FROM pts WHERE event_type <> '' GROUP BY ALL"))
-LATE = {"time": (T0, T0 + 3 * DAY)}
 add(
     "box_plot_exact",
-    run(op("BoxPlot", {"source": POINTS}, columnNames=["value"]), Rect(**LATE)),
+    run(op("BoxPlot", {"source": POINTS}, columnNames=["value"])),
     with_points(f"""SELECT 'value' AS name, min(value) AS min, quantile_cont(value, 0.5) FILTER (WHERE k <= n // 2) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.5) FILTER (WHERE k > n - n // 2) AS q3, max(value) AS max, true AS is_exact
- FROM (SELECT value, row_number() OVER (ORDER BY value) AS k, count(*) OVER () AS n FROM pts WHERE t_start < {T0 + 3 * DAY} AND t_end > {T0})"""),
+ FROM (SELECT value, row_number() OVER (ORDER BY value) AS k, count(*) OVER () AS n FROM pts)"""),
 )
-add("scatter_points", run(op("ScatterPlot", {"vector": over("ColumnRangeFilter", POINTS, "vector", column="event_id", ranges=[[0, 400]])}, columnX="user_id", columnY="value")), with_points("SELECT user_id::DOUBLE AS x, value AS y FROM pts WHERE event_id BETWEEN 0 AND 400"))
+add("scatter_points", run(op("ScatterPlot", {"vector": op("MockDatasetDataSource", data="nations")}, columnX="n_nationkey", columnY="n_regionkey")), "SELECT n_nationkey::DOUBLE AS x, n_regionkey::DOUBLE AS y FROM nation")
 add(
     "scatter_hist2d",
     run(op("ScatterPlot", {"vector": POINTS}, columnX="user_id", columnY="value")),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any, ClassVar
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafold.engine.graph import Context, GraphError, Operator
@@ -39,79 +39,142 @@ def within(df: DataFrame, desc: VectorDescriptor, rect: Rect) -> DataFrame:
     return df
 
 
+ALWAYS = (MIN_MS, MAX_MS)
+#: Parameter: pixels of a slice that one task makes at most.
+TASK_PIXELS = 4_000_000
+
+
 def fill_gaps(slices: list[tuple[int, int]], time: tuple[int, int], step: TimeStep | None, reference: int) -> list[tuple[int, int]]:
     """Slices without data that, with ``slices``, cover ``time``: one for each step, or one for each gap if there is no step."""
     own = sorted(s for s in set(slices) if interval_intersects(s, time))
     if step is not None:
-        return [s for s in step.steps(*time, reference) if not any(interval_intersects(s, o) for o in own)]
+        covered = {i for a, b in own for i in range(step.index_ms(max(a, time[0]), reference), step.index_ms(max(max(a, time[0]), min(b, time[1]) - 1), reference) + 1)}
+        return [s for s in step.steps(*time, reference) if step.index_ms(s[0], reference) not in covered]
     edges = [time[0], *[e for s in own for e in s], time[1]]
     gaps = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
     return gaps if own else [time]
 
 
+def missing_slices(spark: SparkSession, slices: DataFrame, time: tuple[int, int], step: TimeStep | None, reference: int) -> DataFrame:
+    """``fill_gaps`` as a lazy table: slices (t_start, t_end) may be any number, and no job runs here."""
+    t0, t1 = time
+    start, end = F.greatest("t_start", F.lit(t0)), F.least("t_end", F.lit(t1))
+    if step is not None:
+        first, last = step.index_ms(t0, reference), step.index_ms(max(t0, t1 - 1), reference)
+        every = spark.range(first, last + 1).select(F.col("id").alias("i"))
+        seen = slices.select(F.explode(F.sequence(step.index(start, reference), step.index(F.greatest(start, end - 1), reference))).alias("i")).distinct()
+        return every.join(seen, "i", "left_anti").select(step.at(F.col("i"), reference).alias("t_start"), step.at(F.col("i") + 1, reference).alias("t_end"))
+    if t0 == t1:
+        return slices.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(t0).alias("t_start"), F.lit(t1).alias("t_end"))
+    ends = spark.createDataFrame([(t0, t0), (t1, t1)], "t_start long, t_end long")
+    before = Window.orderBy("t_start", "t_end").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are time steps
+    gaps = slices.select(start.alias("t_start"), end.alias("t_end")).unionByName(ends).select(F.max("t_end").over(before).alias("a"), F.col("t_start").alias("b"))
+    return gaps.where("a < b").select(F.col("a").alias("t_start"), F.col("b").alias("t_end"))
+
+
 def dense(ctx: Context, slices: DataFrame, pixels: tuple[int, int, int, int], bands: int) -> DataFrame:
     """Pixel rows without value for each of ``slices`` (t_start, t_end)."""
     a, b, c, d = pixels
     step = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high)))
-    return slices.select("t_start", "t_end", step(0, bands - 1).alias("band")).select("*", step(a, b).alias("y")).select("*", step(c, d).alias("x"))
+    lines = slices.select("t_start", "t_end", step(0, bands - 1).alias("band")).select("*", step(a, b).alias("y"))
+    if bands * (b - a + 1) * (d - c + 1) > TASK_PIXELS:  # so that not one task makes a whole slice
+        lines = lines.repartition("t_start", "band", "y")
+    return lines.select("*", step(c, d).alias("x"))
+
+
+def empty_pixels(ctx: Context, slices: DataFrame, desc: RasterDescriptor, rect: Rect) -> DataFrame:
+    """``dense`` rows of a descriptor's grid inside ``rect``, with value."""
+    made = dense(ctx, slices, rect.pixels or desc.pixels, len(desc.bands))
+    return Rect(bands=rect.bands).of_pixels(made).withColumn("value", F.lit(None).cast(PIXEL_TYPES[desc.data_type][2]))
+
+
+def overview(df: DataFrame, n: int) -> DataFrame:
+    """Every n-th pixel along both axes."""
+    return df.where((F.pmod("y", F.lit(n)) == 0) & (F.pmod("x", F.lit(n)) == 0)).withColumns({"y": (F.col("y") / n).cast("int"), "x": (F.col("x") / n).cast("int")}) if n > 1 else df
+
+
+def overview_descriptor(desc: RasterDescriptor, n: int) -> RasterDescriptor:
+    t, (a, b, c, d) = desc.transform, desc.pixels
+    return desc.but(transform=type(t)(t.x, t.y, t.x_size * n, t.y_size * n), pixels=(-(-a // n), b // n, -(-c // n), d // n)) if n > 1 else desc
 
 
 @dataclass(frozen=True)
 class GdalSource(Operator):
-    """One raster dataset.  ``overviewLevel`` L reads every L-th pixel.  Gaps in time become slices without data if ``fillGaps``."""
+    """One raster dataset.  ``overviewLevel`` L reads every L-th pixel.
+
+    Gaps in the time of a query become slices without data: one for each step of a regular dataset, one for each gap of another.  Which
+    slices there are is told by the dataset's loading information, else by the times of its pixels.  ``fillGaps`` false leaves gaps out.
+    """
 
     TYPE: ClassVar[str] = "GdalSource"
     data: str = ""
     overview_level: int | None = None
-    fill_gaps: bool = False
+    fill_gaps: bool = True
 
     def describe(self, ctx: Context) -> RasterDescriptor:
         desc = ctx.dataset(self.data)[1]
         if desc.kind != "raster":
             raise GraphError(f"{self.data} is no raster")
-        if not self.overview_level or self.overview_level == 1:
-            return desc
-        n, t = self.overview_level, desc.transform
-        a, b, c, d = desc.pixels
-        return desc.but(transform=type(t)(t.x, t.y, t.x_size * n, t.y_size * n), pixels=(-(-a // n), b // n, -(-c // n), d // n))
+        return overview_descriptor(desc, self.overview_level or 1)
+
+    @staticmethod
+    def _time(desc: RasterDescriptor, rect: Rect) -> tuple[int, int] | None:
+        """The time that must be covered; None if nothing bounds it."""
+        return rect.time if rect.time != ALWAYS else desc.time
+
+    def times(self, ctx: Context, rect: Rect) -> list[tuple[int, int]] | None:
+        known, desc = ctx.known_slices(self.data), self.describe(ctx)
+        if known is None:
+            return None
+        own, time = [s for s in known if rect.time == ALWAYS or interval_intersects(s, rect.time)], self._time(desc, rect)
+        return sorted({*own, *fill_gaps(known, time, desc.step, desc.reference)}) if self.fill_gaps and time else own
 
     def query(self, ctx: Context, rect: Rect) -> DataFrame:
-        df, desc = ctx.dataset(self.data)
-        own = self.describe(ctx)
+        df, own = ctx.dataset(self.data)[0], self.describe(ctx)
         rect = rect.on_grid(own.transform)
-        df = df.select("t_start", "t_end", "band", "y", "x", "value")
-        n = self.overview_level or 1
-        if n > 1:
-            df = df.where((F.pmod("y", F.lit(n)) == 0) & (F.pmod("x", F.lit(n)) == 0)).withColumns({"y": (F.col("y") / n).cast("int"), "x": (F.col("x") / n).cast("int")})
-        found = rect.of_pixels(df)
-        if not self.fill_gaps:
-            return found
-        # slices are as many as time steps; their list decides which are missing
-        seen = [tuple(r) for r in rect.in_time(df.select("t_start", "t_end")).distinct().collect()]
-        time = rect.time if rect.time != (MIN_MS, MAX_MS) else (desc.time or rect.time)
-        missing = fill_gaps(seen, time, desc.step, desc.reference)
-        if not missing:
+        found = rect.of_pixels(overview(df.select("t_start", "t_end", "band", "y", "x", "value"), self.overview_level or 1))
+        time, known = self._time(own, rect), ctx.known_slices(self.data)
+        if not self.fill_gaps or time is None:
             return found
-        empty = dense(ctx, ctx.spark.createDataFrame(missing, "t_start long, t_end long"), rect.pixels or own.pixels, len(desc.bands))
-        empty = Rect(bands=rect.bands).of_pixels(empty).withColumn("value", F.lit(None).cast(PIXEL_TYPES[desc.data_type][2]))
-        return found.unionByName(empty)
+        if known is not None:
+            gaps = fill_gaps(known, time, own.step, own.reference)
+            if not gaps:
+                return found
+            missing = ctx.spark.createDataFrame(gaps, "t_start long, t_end long")
+        else:
+            missing = missing_slices(ctx.spark, rect.but(time=time).in_time(df.select("t_start", "t_end")).distinct(), time, own.step, own.reference)
+        return found.unionByName(empty_pixels(ctx, missing, own, rect))
 
 
 @dataclass(frozen=True)
 class MultiBandGdalSource(Operator):
-    """Many files for a time and band, mosaicked by ``z_index``: of the pixels with data the one of the last file counts."""
+    """Many files for a time and band, mosaicked by ``z_index``: of the pixels with data the one of the last file counts.
+
+    Every pixel of the grid has a row in each time step, also where no file covers it.  Time steps are those of the loading information, also ones
+    without files, else the times of the files.  ``overviewLevel`` as for GdalSource.
+    """
 
     TYPE: ClassVar[str] = "MultiBandGdalSource"
     data: str = ""
+    overview_level: int | None = None
 
     def describe(self, ctx: Context) -> RasterDescriptor:
-        return ctx.dataset(self.data)[1]
+        return overview_descriptor(ctx.dataset(self.data)[1], self.overview_level or 1)
+
+    def times(self, ctx: Context, rect: Rect) -> list[tuple[int, int]] | None:
+        known = ctx.known_slices(self.data)
+        return None if known is None else [s for s in known if rect.time == ALWAYS or interval_intersects(s, rect.time)]
 
     def query(self, ctx: Context, rect: Rect) -> DataFrame:
-        df, desc = ctx.dataset(self.data)
-        found = rect.on_grid(desc.transform).of_pixels(df)
+        df, own = ctx.dataset(self.data)[0], self.describe(ctx)
+        rect = rect.on_grid(own.transform)
+        found = rect.of_pixels(overview(df, self.overview_level or 1))
+        steps = self.times(ctx, rect)
+        slices = rect.in_time(df.select("t_start", "t_end")).distinct() if steps is None else ctx.spark.createDataFrame(steps, "t_start long, t_end long")
+        # pixels without a file are rows of no file: one aggregation, and no join with the grid
+        every = found.select("t_start", "t_end", "band", "y", "x", "value", "z_index").unionByName(empty_pixels(ctx, slices, own, rect).withColumn("z_index", F.lit(None).cast(found.schema["z_index"].dataType)))
         value = F.max_by("value", F.when(F.col("value").isNotNull(), F.col("z_index")))
-        return found.groupBy("t_start", "t_end", "band", "y", "x").agg(value.alias("value"))
+        return every.groupBy("t_start", "t_end", "band", "y", "x").agg(value.alias("value"))
 
 
 def parsed_time(column: Column, form: str, custom: str | None = None) -> Column:

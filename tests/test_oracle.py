@@ -44,7 +44,7 @@ def test_query(spark, duck, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["raster_vector_join_none_all", "raster_vector_join_first_all", "raster_vector_join_mean_all"])
+@pytest.mark.parametrize("name", ["raster_vector_join_none", "raster_vector_join_first", "raster_vector_join_mean"])
 def test_joins_of_all_points_miss_no_event(spark, duck, name):
     got = QUERIES[name](spark, str(DATA)).select("event_id").distinct().count()
     assert got == duck.sql("SELECT count(DISTINCT event_id) FROM events").fetchall()[0][0]

@@ -87,7 +87,7 @@ def test_optimizer_reads_overviews(ctx):
     assert best.to_json()["sources"]["raster"]["params"]["overviewLevel"] == 4
     assert optimize(from_json(over("Interpolation", source, outputResolution={"type": "fraction", "x": 2, "y": 2})), (1.0, 1.0), ctx).TYPE == "GdalSource"
     shrunk = optimize(from_json(over("Downsampling", source, outputResolution={"type": "resolution", "x": 2, "y": 2})), (4.0, 4.0), ctx)
-    assert shrunk.to_json() == op("GdalSource", data="r", overviewLevel=4, fillGaps=False)
+    assert shrunk.to_json() == op("GdalSource", data="r", overviewLevel=4, fillGaps=True)
     assert best_overview(1.0, 7.9) == 4
     for target in ((0.5, 0.5), (1.5, 1.5)):
         with pytest.raises(GraphError):
