@@ -44,10 +44,14 @@ class Context:
         own = own(self.spark) if callable(own) else own
         return None if own is None else sorted(own)
 
-    def dataset(self, name: str) -> tuple[DataFrame, Any]:
+    def descriptor(self, name: str) -> Any:
+        """What is known of a dataset; nothing is loaded."""
         if name not in self.datasets:
             raise GraphError(f"unknown dataset {name!r}")
-        load, descriptor = self.datasets[name]
+        return self.datasets[name][1]
+
+    def dataset(self, name: str) -> tuple[DataFrame, Any]:
+        descriptor, load = self.descriptor(name), self.datasets[name][0]
         return (load(self.spark) if callable(load) else load), descriptor
 
 

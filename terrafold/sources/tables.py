@@ -112,7 +112,7 @@ class GdalSource(Operator):
     fill_gaps: bool = True
 
     def describe(self, ctx: Context) -> RasterDescriptor:
-        desc = ctx.dataset(self.data)[1]
+        desc = ctx.descriptor(self.data)
         if desc.kind != "raster":
             raise GraphError(f"{self.data} is no raster")
         return overview_descriptor(desc, self.overview_level or 1)
@@ -159,7 +159,7 @@ class MultiBandGdalSource(Operator):
     overview_level: int | None = None
 
     def describe(self, ctx: Context) -> RasterDescriptor:
-        return overview_descriptor(ctx.dataset(self.data)[1], self.overview_level or 1)
+        return overview_descriptor(ctx.descriptor(self.data), self.overview_level or 1)
 
     def times(self, ctx: Context, rect: Rect) -> list[tuple[int, int]] | None:
         known = ctx.known_slices(self.data)
@@ -212,7 +212,7 @@ class OgrSource(Operator):
         return {rename.get(c, c): kind for kind in ("int", "float", "text", "bool", "datetime") for c in self.columns.get(kind, ())}
 
     def describe(self, ctx: Context) -> VectorDescriptor:
-        ctx.dataset(self.data)
+        ctx.descriptor(self.data)
         types = self._types()
         if self.attribute_projection is not None:
             if unknown := set(self.attribute_projection) - set(types):
@@ -310,7 +310,7 @@ class VectorSource(Operator):
     data: str = ""
 
     def describe(self, ctx: Context) -> VectorDescriptor:
-        desc = ctx.dataset(self.data)[1]
+        desc = ctx.descriptor(self.data)
         if desc.kind != "vector":
             raise GraphError(f"{self.data} is no vector dataset")
         return desc
