@@ -20,6 +20,7 @@ components and copies may each hold a third of all rows: joins deal the rows of
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -34,6 +35,8 @@ from terrafold.llm.common import CACHES, checkpointed, copied, dealt, hot_keys,
 
 #: Parameters: bands and rows of a band.  At a similarity of 0.8 a pair shares no band with a chance of 4e-7.
 BANDS, ROWS = 28, 4
+#: Steps along links before labels jump.
+SHORT = 3
 #: Rounds of pivots, members and shingles of one side of a block, and the most rows that are broadcast (of two longs each).
 ROUNDS, BLOCK, BLOCK_SHINGLES, BROADCAST_ROWS = 2, 256, 1_000_000, 2_000_000
 
@@ -118,17 +121,19 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of ``links`` (a, b): the smallest node that can be reached.
 
-    Labels travel along links and are replaced by the label of the node they name, until none changes.
+    Labels travel along links, and after a few steps are also replaced by the label of the node they name, until none changes.
     """
     links = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     hubs = hot_keys(["b"], links)
     sent = dealt(links, hubs, ["b"], F.xxhash64("a"))
     labels = checkpointed(links.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).select(F.col("a").alias("node"), "component"))
-    while True:
-        # labels that are not the label of the node they name; adaptive execution broadcasts them if they are few and splits hot labels if not
-        used = labels.select(F.col("component").alias("node")).distinct().join(labels, "node").where("node != component")
-        jumps = used.select(F.col("node").alias("component"), F.col("component").alias("then"))
-        known = labels.join(jumps, "component", "left").select("node", F.col("component").alias("was"), F.coalesce("then", "component").alias("own"))
+    for k in itertools.count():
+        known = labels.select("node", F.col("component").alias("was"), F.col("component").alias("own"))
+        if k >= SHORT:  # long chains: labels that are not the label of the node they name are replaced
+            used = labels.select(F.col("component").alias("node")).distinct().join(labels, "node").where("node != component")
+            jumps = checkpointed(used.select(F.col("node").alias("component"), F.col("component").alias("then")))
+            named = labels.join(F.broadcast(jumps), "component", "left") if jumps.count() <= BROADCAST_ROWS else salted_join(labels, jumps, ["component"], "left", F.xxhash64("node"))
+            known = named.select("node", F.col("component").alias("was"), F.coalesce("then", "component").alias("own"))
         near = sent.join(copied(known.select(F.col("node").alias("b"), "own"), hubs, ["b"]), ["b", "__salt"]).groupBy("a").agg(F.min("own").alias("near"))
         moved = checkpointed(known.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("own", "near").alias("component"), "was"))
         labels = moved.select("node", "component")
@@ -150,11 +155,18 @@ def alike(n_a: Column, n_b: Column, both: Column, percent: int) -> Column:
     return 100 * both >= percent * (n_a + n_b - both)
 
 
+def some(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``sets`` of ``nodes`` (node), as far as a table of few counted rows can tell; a join with the others leaves them out anyway."""
+    nodes = checkpointed(nodes.distinct())
+    return sets.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= BROADCAST_ROWS else sets
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b and other columns; a may be in very many of them, b in one for each band) whose whole sets are similar enough."""
     pairs = checkpointed(pairs)
     pivots = hot_keys(["a"], pairs)
-    a, b = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
+    side = lambda c: some(sets, pairs.select(F.col(c).alias("node"))).select(F.col("node").alias(c), F.col("items").alias(f"items_{c}"))
+    a, b = side("a"), side("b")
     both = F.size(F.array_intersect("items_a", "items_b"))
     with_b = dealt(pairs, pivots, ["a"], F.xxhash64("b")).join(b, "b")
     return with_b.join(copied(a, pivots, ["a"]), ["a", "__salt"]).where(alike(F.size("items_a"), F.size("items_b"), both, percent)).select(pairs.columns)
@@ -219,7 +231,8 @@ def rest_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame |
     steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = spread(outer, "n_outer").select(*cell, "node", "component", F.lit(True).alias("outer"), deal("is").alias("i"), steps("js").alias("j"))
     asked = spread(every, "n_every").select(*cell, "node", "component", F.lit(False).alias("outer"), steps("is").alias("i"), deal("js").alias("j"))
-    blocks = asking.unionByName(asked).join(sets.select("node", "items"), "node")
+    blocks = checkpointed(asking.unionByName(asked))
+    blocks = blocks.join(some(sets, blocks.select("node")).select("node", "items"), "node")
     return blocks.groupBy(*cell, "i", "j").applyInPandas(lambda x: block_links(x, percent, ("x", "y")), "x long, y long").distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
