@@ -172,9 +172,9 @@ class VectorJoin(Operator):
         return joined
 
 
-#: Parameters of the spatial join: cells along each axis of the polygons' bounds, polygons that are broadcast at most, and
-#: polygons and points of theirs that become part of a plain filter at most.
-CELLS, BROADCAST_POLYGONS, FEW_POLYGONS, FEW_POINTS = 64, 10_000, 64, 20_000
+#: Parameters of the spatial join: cells along each axis of the polygons' bounds, points of polygons that are broadcast at most (those of a
+#: polygon once for each cell that it is dealt to), and polygons and points of theirs that become part of a plain filter at most.
+CELLS, BROADCAST_POINTS, FEW_POLYGONS, FEW_POINTS = 64, 2_000_000, 64, 20_000
 
 
 @dataclass(frozen=True)
@@ -219,8 +219,10 @@ class PointInPolygonFilter(Operator):
         cell = lambda v, low, size: F.floor((v - low) / size)
         across = lambda a, b, low, size: F.explode(F.sequence(cell(F.col(a), low, size), cell(F.col(b), low, size)))
         dealt = polygons.withColumn("cx", across("x0", "x1", box[0], width)).withColumn("cy", across("y0", "y1", box[1], height))
-        small = n <= BROADCAST_POLYGONS
-        dealt = F.broadcast(dealt) if small else dealt
+        # what would be broadcast: each polygon's points once for each of its cells
+        span = lambda a, b, low, size: cell(F.col(b), low, size) - cell(F.col(a), low, size) + 1
+        copies = polygons.agg(F.sum((F.size(F.flatten("polygon")) + 4) * span("x0", "x1", box[0], width) * span("y0", "y1", box[1], height))).first()[0]
+        dealt = F.broadcast(dealt) if copies <= BROADCAST_POINTS else dealt
         spread = points.select("*", F.explode("geom").alias("p")).where(F.col("p.x").between(box[0], box[2]) & F.col("p.y").between(box[1], box[3]))
         spread = spread.withColumns({"px": cell(F.col("p.x"), box[0], width), "py": cell(F.col("p.y"), box[1], height)})
         hit = intersects(F.col("t_start"), F.col("t_end"), F.col("p_start"), F.col("p_end")) & geometry.in_polygons(F.array("polygon"), F.col("p.x"), F.col("p.y"))

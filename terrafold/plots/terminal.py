@@ -60,7 +60,8 @@ def series(source: Operator, ctx: Context, rect: Rect, columns: tuple[str, ...]
 class Statistics(Plot):
     """valueCount, validCount, min, max, mean, stddev (of a population, NaN below two values), percentiles.  NaN counts as no value.
 
-    Percentiles are exact, interpolated between ranks.  All columns of a vector take one pass.
+    Percentiles are exact, interpolated between ranks, up to EXACT values; beyond, where exact ones would hold all distinct values of a
+    column in one task, they come from a sketch whose ranks are off by at most a 100 000th.  All columns of a vector take one pass, after one that counts.
     """
 
     TYPE: ClassVar[str] = "Statistics"
@@ -68,8 +69,9 @@ class Statistics(Plot):
     source: Operator | tuple[Operator, ...]
     column_names: tuple[str, ...] = ()
     percentiles: tuple[float, ...] = ()
+    EXACT: ClassVar[int] = 5_000_000
 
-    def _measures(self, v: Column) -> dict[str, Column]:
+    def _measures(self, v: Column, exact: bool) -> dict[str, Column]:
         v = F.when(~F.isnan(v.cast("double")), v.cast("double"))
         n = F.count(v)
         nan = F.lit(float("nan"))
@@ -77,7 +79,8 @@ class Statistics(Plot):
             "valueCount": F.count(F.lit(1)), "validCount": n, "min": F.coalesce(F.min(v), nan), "max": F.coalesce(F.max(v), nan), "mean": F.coalesce(F.avg(v), nan),
             "stddev": F.when(n < 2, nan).otherwise(F.stddev_pop(v)),
         }
-        return out | {f"p{p:g}": F.percentile(v, F.lit(p)) for p in self.percentiles}
+        ranked = (lambda p: F.percentile(v, F.lit(p))) if exact else (lambda p: F.percentile_approx(v, F.lit(p), F.lit(100_000)))
+        return out | {f"p{p:g}": ranked(p) for p in self.percentiles}
 
     def query(self, ctx: Context, rect: Rect) -> DataFrame:
         out = None
@@ -85,7 +88,8 @@ class Statistics(Plot):
             label = self.column_names[k] if s.describe(ctx).kind == "raster" and k < len(self.column_names) else None
             own = series(s, ctx, rect, self.column_names or None if s.describe(ctx).kind == "vector" else None, label)
             df = own[0][1]
-            row = df.agg(*[F.struct(F.lit(name).alias("name"), *[c.alias(m) for m, c in self._measures(v).items()]).alias(f"s{i}") for i, (name, _, v) in enumerate(own)])
+            exact = not self.percentiles or df.limit(self.EXACT + 1).count() <= self.EXACT
+            row = df.agg(*[F.struct(F.lit(name).alias("name"), *[c.alias(m) for m, c in self._measures(v, exact).items()]).alias(f"s{i}") for i, (name, _, v) in enumerate(own)])
             part = row.select(F.explode(F.array(*[f"s{i}" for i in range(len(own))])).alias("s")).select("s.*")
             out = part if out is None else out.unionByName(part)
         return out
