@@ -145,11 +145,23 @@ def reprojected(desc: RasterDescriptor, target: str, derive: str = "projectionBo
 def reproject_pixels(node: Any, source: RasterDescriptor, ctx: Context, rect: Rect) -> DataFrame:
     """Target pixels take the source pixel under their centre.
 
-    Rows and columns project apart from each other, so two lists of numbers, as long as the grid's sides, map all pixels.
+    Where rows and columns project apart from each other, two lists of numbers, as long as the grid's sides, map all pixels.  Else the
+    target grid is made as rows, whose centres are projected by Columns, and joined with the source by row and column.
     """
     desc = node.describe(ctx)
     rect = rect.on_grid(desc.transform)
     a, b, c, d = rect.pixels or desc.pixels
+    if not projection.separable(desc.srs, source.srs):
+        t, s = desc.transform, source.transform
+        corners = [t.x + c * t.x_size, t.y + a * t.y_size, t.x + (d + 1) * t.x_size, t.y + (b + 1) * t.y_size]
+        box = projection.project_box(desc.srs, source.srs, (min(corners[::2]), min(corners[1::2]), max(corners[::2]), max(corners[1::2])))
+        found = node.source.query(ctx, rect.but(bbox=box, pixels=None))
+        if box is None:
+            return found.where(F.lit(False))
+        grid = ctx.spark.range(a, b + 1).select(F.col("id").cast("int").alias("ty"), F.explode(F.sequence(F.lit(c), F.lit(d))).alias("tx"))
+        x, y = projection.project(desc.srs, source.srs, t.x + (F.col("tx") + 0.5) * t.x_size, t.y + (F.col("ty") + 0.5) * t.y_size)
+        grid = grid.withColumns({"y": F.floor((y - s.y) / s.y_size).cast("int"), "x": F.floor((x - s.x) / s.x_size).cast("int")})
+        return found.join(grid, ["y", "x"]).select("t_start", "t_end", "band", F.col("ty").alias("y"), F.col("tx").alias("x"), "value")
     back = lambda x, y: projection.project_number(desc.srs, source.srs, x, y)
     rows = [(y, source.transform.pixel(0.0, back(0.0, desc.transform.centre(y, 0)[1])[1])[0]) for y in range(a, b + 1)]
     cols = [(x, source.transform.pixel(back(desc.transform.centre(0, x)[0], 0.0)[0], 0.0)[1]) for x in range(c, d + 1)]

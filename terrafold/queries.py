@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ import terrafold.sources.tables  # noqa: F401
 from terrafold.engine.graph import Context, from_json
 from terrafold.model.rect import Rect
 from terrafold.model.time import MAX_MS, MIN_MS
-from terrafold.operators.ml import Model, linear
+from terrafold.operators.ml import Model, linear, onnx_linear
 from terrafold.sources.bindings import BOOKINGS_SQL, DAY, PIXELS_SQL, POINTS_SQL, SPARSE_SQL, T0, context
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,6 +219,8 @@ for name, text, columns, sql in (
     ("let", "let a = user_id * 2; let b = a - value; b * b + mod(a, 7)", ["user_id", "value"], "(user_id * 2 - value) * (user_id * 2 - value) + (user_id * 2) % 7"),
     ("functions", "floor(user_id / 3) + ceil(value / 7) + round(user_id / 4) + abs(value - 20) + min(user_id, 9)", ["user_id", "value"], "floor(user_id / 3) + ceil(value / 7) + round(user_id / 4) + abs(value - 20) + least(user_id, 9)"),
     ("nodata", "maybe + 1", ["maybe"], "maybe + 1"),
+    ("trigonometry", "round((sin(value) + cos(value) * tan(value / 50) + atan(value) + tanh(value / 9) + asin(1 / (value + 2)) + acos(1 / (value + 2))) * 1000000) / 1000000", ["value"], "round((sin(value) + cos(value) * tan(value / 50) + atan(value) + (exp(2 * value / 9) - 1) / (exp(2 * value / 9) + 1) + asin(1 / (value + 2)) + acos(1 / (value + 2))) * 1000000) / 1000000"),
+    ("logarithms", "round((sqrt(user_id) + ln(user_id + 1) + log10(user_id + 1) + pow(1.5, user_id / 40) + to_degrees(to_radians(user_id)) + pi() + e()) * 1000000) / 1000000", ["user_id"], "round((sqrt(user_id) + ln(user_id + 1) + log10(user_id + 1) + pow(1.5, user_id / 40) + user_id + pi() + exp(1)) * 1000000) / 1000000"),
 ):
     add(
         f"vector_expression_{name}",
@@ -281,6 +284,18 @@ add(
     run(over("Reprojection", over("Reprojection", POINTS, "source", targetSpatialReference="EPSG:3857"), "source", targetSpatialReference="EPSG:4326"), Rect(bbox=(-100.5, -40.5, 95.5, 45.5)), finish=lambda df: df.select("event_id", F.round(F.col("geom")[0]["x"], 6).alias("lon"), F.round(F.col("geom")[0]["y"], 6).alias("lat"))),
     with_points("SELECT event_id, round(px, 6) AS lon, round(py, 6) AS lat FROM pts WHERE px BETWEEN -100.5 AND 95.5 AND py BETWEEN -40.5 AND 45.5"),
 )
+# the transverse Mercator projection as series in the distance from the meridian, which hold inside a zone
+E2 = 0.0066943799901413165
+E1 = E2 / (1 - E2)
+ARC = f"6378137.0 * ({1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256!r} * f - {3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024!r} * sin(2 * f) + {15 * E2**2 / 256 + 45 * E2**3 / 1024!r} * sin(4 * f) - {35 * E2**3 / 3072!r} * sin(6 * f))"
+add(
+    "reprojection_utm",
+    run(over("Reprojection", POINTS, "source", targetSpatialReference="EPSG:32631"), Rect(bbox=(166021.0, 0.0, 833979.0, 9329005.0)), finish=lambda df: df.select("event_id", F.round(F.col("geom")[0]["x"], 1).alias("easting"), F.round(F.col("geom")[0]["y"], 1).alias("northing"))),
+    with_points(f"""SELECT event_id, round(500000 + 0.9996 * n * (a + (1 - t + c) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - {58 * E1!r}) * pow(a, 5) / 120), 1) AS easting,
+ round(0.9996 * ({ARC} + n * tan(f) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - {330 * E1!r}) * pow(a, 6) / 720)), 1) AS northing
+ FROM (SELECT event_id, f, 6378137.0 / sqrt(1 - {E2!r} * pow(sin(f), 2)) AS n, pow(tan(f), 2) AS t, {E1!r} * pow(cos(f), 2) AS c, l * cos(f) AS a
+ FROM (SELECT event_id, radians(py) AS f, radians(px - 3) AS l FROM pts WHERE px BETWEEN 0 AND 6 AND py BETWEEN 0 AND 84))"""),
+)
 TOP = "ln(tan(radians(85.06) / 2 + pi() / 4))"
 add(
     "reprojection_raster",
@@ -448,12 +463,26 @@ CELL = 9 / 2**0.5 * 2
 add("visual_point_clustering_cells", cluster_cells, with_points(f"SELECT cast(floor(px / {CELL}) AS BIGINT) AS cx, cast(floor(py / {CELL}) AS BIGINT) AS cy, count(*) AS n, round(avg(px), 6) AS x, round(avg(py), 6) AS y, min(t_start) AS t_start, max(t_end) AS t_end FROM pts GROUP BY 1, 2"))
 
 
+def tile_mean(x: np.ndarray) -> np.ndarray:
+    """A model of whole tiles: each pixel gets the mean of its tile's first band."""
+    return np.broadcast_to(x[..., 0].mean(axis=(1, 2), keepdims=True), x.shape[:3])
+
+
 def with_model(ctx: Context) -> None:
     ctx.models["m"] = Model(linear((0.5, 2.0, -1.0), 4.0), 3, "I32", "F64")
+    ctx.models["file"] = Model(onnx_linear((0.5, 2.0, -1.0), 4.0), 3, "F32", "F32")
+    ctx.models["tile"] = Model(tile_mean, 3, "I32", "F64", input_no_data=0.0, tile=(4, 8))
 
 
 add("onnx_like", run(over("Onnx", RASTER, model="m"), prepare=with_model), expression_sql("(0.5 * a + 2.0 * b - c + 4.0)::DOUBLE"))
 
+add("onnx_file", run(over("Onnx", over("RasterTypeConversion", RASTER, outputDataType="F32"), model="file"), prepare=with_model), expression_sql("(0.5 * a + 2.0 * b - c + 4.0)::DOUBLE"))
+add(
+    "onnx_tiles",
+    run(over("Onnx", RASTER, model="tile"), prepare=with_model, finish=rounded("value")),
+    f"WITH {PIXELS_SQL}, {WIDE}, m AS (SELECT t_start, y // 4 AS ty, x // 8 AS tx, round(avg(coalesce(a, 0)), 6) AS value FROM w GROUP BY ALL) SELECT w.t_start, t_end, 0::BIGINT AS band, y, x, CASE WHEN coalesce(a, b, c) IS NOT NULL THEN value END AS value FROM w JOIN m ON m.t_start = w.t_start AND ty = y // 4 AND tx = x // 8",
+)
+
 # ---- plots ----
 STATS = "count(*) AS \"valueCount\", count({v}) AS \"validCount\", coalesce(min({v})::DOUBLE, 'nan') AS min, coalesce(max({v})::DOUBLE, 'nan') AS max, round(avg({v}), 6) AS mean, round(stddev_pop({v}), 6) AS stddev, round(quantile_cont({v}::DOUBLE, 0.25), 6) AS \"p0.25\""
 add(
