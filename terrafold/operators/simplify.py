@@ -33,15 +33,35 @@ def douglas_peucker(points: np.ndarray, epsilon: float) -> np.ndarray:
     return points[keep]
 
 
+def crosses(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the segment from ``p`` to ``q`` has a point in common with any of the segments from ``a`` to ``b`` (arrays)."""
+    side = lambda u, v, w: np.sign((v[..., 0] - u[..., 0]) * (w[..., 1] - u[..., 1]) - (v[..., 1] - u[..., 1]) * (w[..., 0] - u[..., 0]))
+    near = (np.minimum(a, b) <= np.maximum(p, q)).all(axis=1) & (np.maximum(a, b) >= np.minimum(p, q)).all(axis=1)
+    a, b = a[near], b[near]
+    return bool(((side(p, q, a) * side(p, q, b) <= 0) & (side(a, b, p) * side(a, b, q) <= 0)).any())
+
+
 def visvalingam(points: np.ndarray, epsilon: float, least: int) -> np.ndarray:
-    """Points whose triangle with their neighbours is smaller than ``epsilon`` go, the smallest first; ``least`` points stay."""
+    """Points whose triangle with their neighbours is smaller than ``epsilon`` go, the smallest first; ``least`` points stay.
+
+    A point stays as well if the segment that would replace its two would meet another one, so a line without crossings gets none.
+    """
     n = len(points)
-    before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
+    before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), np.ones(n, bool)
 
     def triangle(i: int) -> float:
         (ax, ay), (bx, by), (cx, cy) = points[before[i]], points[i], points[after[i]]
         return abs((bx - ax) * (cy - ay) - (cx - ax) * (by - ay)) / 2
 
+    def meets_others(i: int) -> bool:
+        left, right = before[i], after[i]
+        own = np.flatnonzero(alive)
+        starts, ends = own[:-1], own[1:]
+        other = (ends != left) & (ends != i) & (starts != i) & (starts != right)  # not its own two segments nor their neighbours
+        other &= ~((starts == 0) & (right == n - 1) & np.array_equal(points[0], points[-1]))  # a ring's ends are neighbours
+        other &= ~((ends == n - 1) & (left == 0) & np.array_equal(points[0], points[-1]))
+        return crosses(points[left], points[right], points[starts[other]], points[ends[other]])
+
     heap = [(triangle(i), i) for i in range(1, n - 1)]
     heapq.heapify(heap)
     area, left = {i: a for a, i in heap}, n
@@ -51,6 +71,8 @@ def visvalingam(points: np.ndarray, epsilon: float, least: int) -> np.ndarray:
             continue
         if a > epsilon:
             break
+        if meets_others(i):
+            continue  # tried again when a neighbour goes
         alive[i] = False
         left -= 1
         after[before[i]], before[after[i]] = after[i], before[i]
@@ -58,7 +80,7 @@ def visvalingam(points: np.ndarray, epsilon: float, least: int) -> np.ndarray:
             if 0 < k < n - 1:
                 area[k] = triangle(k)
                 heapq.heappush(heap, (area[k], k))
-    return points[np.array(alive)]
+    return points[alive]
 
 
 def simplified(df: DataFrame, kind: str, algorithm: str, epsilon: float) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.engine.workers import importable
 from terrafold.model.descriptor import RasterDescriptor
 from terrafold.model.time import MAX_MS, MIN_MS
 
@@ -78,10 +81,29 @@ def colored(df: DataFrame, colorizer: Colorizer) -> DataFrame:
 
 def png(df: DataFrame, colorizer: Colorizer, pixels: tuple[int, int, int, int]) -> bytes:
     """A PNG of the pixels of one slice and band."""
+    return encoded_png(colored(df, colorizer), pixels, colorizer.no_data)
+
+
+def rgb(df: DataFrame, low: float, high: float) -> DataFrame:
+    """y, x, r, g, b, a of bands 0 to 2 as red, green and blue, from ``low`` (dark) to ``high``; clear where any has no data."""
+    share = lambda k: F.max(F.when(F.col("band") == k, F.col("value"))).cast("double")
+    wide = df.where("band < 3").groupBy("y", "x").agg(*[share(k).alias(f"v{k}") for k in range(3)])
+    byte = lambda k: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col(f"v{k}") - low) / (high - low) * 255 + 0.5)))
+    known = F.col("v0").isNotNull() & F.col("v1").isNotNull() & F.col("v2").isNotNull()
+    return wide.select("y", "x", *[F.when(known, byte(k)).otherwise(0).cast("int").alias(n) for k, n in enumerate("rgb")], F.when(known, 255).otherwise(0).cast("int").alias("a"))
+
+
+def rgb_png(df: DataFrame, pixels: tuple[int, int, int, int], low: float, high: float) -> bytes:
+    """A PNG of three bands of one slice."""
+    return encoded_png(rgb(df, low, high), pixels, (0, 0, 0, 0))
+
+
+def encoded_png(colors: DataFrame, pixels: tuple[int, int, int, int], empty: tuple[int, int, int, int]) -> bytes:
+    """A PNG of y, x, r, g, b, a."""
     a, b, c, d = pixels
     height, width = b - a + 1, d - c + 1
-    image = bytearray(bytes(colorizer.no_data) * (height * width))
-    for y, x, *rgba in colored(df, colorizer).toLocalIterator():
+    image = bytearray(bytes(empty) * (height * width))
+    for y, x, *rgba in colors.toLocalIterator():
         at = ((y - a) * width + x - c) * 4
         image[at : at + 4] = bytes(rgba)
     raw = b"".join(b"\0" + image[i * width * 4 : (i + 1) * width * 4] for i in range(height))
@@ -115,12 +137,38 @@ _SAMPLE = {"U8": (1, "B"), "U16": (1, "H"), "U32": (1, "I"), "I8": (2, "b"), "I1
 
 
 def geotiff(df: DataFrame, descriptor: RasterDescriptor, pixels: tuple[int, int, int, int], no_data: float) -> bytes:
-    """An uncompressed GeoTIFF of one slice; each band is a plane.  For results as small as a map; ``store`` takes larger ones."""
+    """An uncompressed GeoTIFF of one slice; each band is a plane.  For results as small as a map; ``geotiffs`` takes larger ones."""
+    rows = df.where("value is not null").select("band", "y", "x", "value").toLocalIterator()
+    return encoded_geotiff(rows, descriptor, pixels, no_data)
+
+
+def geotiffs(df: DataFrame, descriptor: RasterDescriptor, pixels: tuple[int, int, int, int], no_data: float, size: int = 4096) -> DataFrame:
+    """t_start, t_end, y, x, content: a GeoTIFF for each slice and each square of ``size`` pixels, made on the executors.
+
+    y and x are the first row and column of a file.  A file holds at most size * size pixels of each band, whatever the grid's size.
+    """
+    importable(df.sparkSession)
+    a, b, c, d = pixels
+    place = lambda v, low: (F.floor((F.col(v) - low) / size) * size + low).cast("int")
+    own = df.where(F.col("y").between(a, b) & F.col("x").between(c, d)).groupBy("t_start", "t_end", place("y", a).alias("y0"), place("x", c).alias("x0"))
+
+    def encode(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        start, end, y0, x0 = (int(v) for v in key)
+        known = part[part["value"].notna()]
+        rows = zip(known["band"], known["y"], known["x"], known["value"], strict=True)
+        made = encoded_geotiff(rows, descriptor, (y0, min(b, y0 + size - 1), x0, min(d, x0 + size - 1)), no_data)
+        return pd.DataFrame({"t_start": [start], "t_end": [end], "y": [y0], "x": [x0], "content": [made]})
+
+    return own.applyInPandas(encode, "t_start long, t_end long, y int, x int, content binary")
+
+
+def encoded_geotiff(rows: Iterable[tuple], descriptor: RasterDescriptor, pixels: tuple[int, int, int, int], no_data: float) -> bytes:
+    """The bytes of a file of pixels (band, y, x, value)."""
     a, b, c, d = pixels
     height, width, bands = b - a + 1, d - c + 1, len(descriptor.bands)
     kind, code = _SAMPLE[descriptor.data_type]
     planes = [[no_data] * (height * width) for _ in range(bands)]
-    for band, y, x, value in df.where("value is not null").select("band", "y", "x", "value").toLocalIterator():
+    for band, y, x, value in rows:
         planes[band][(y - a) * width + x - c] = value
     size, t = struct.calcsize(code), descriptor.transform
     body = b"".join(struct.pack(f"<{height * width}{code}", *(int(v) if kind < 3 else float(v) for v in p)) for p in planes)
