@@ -22,8 +22,24 @@ from terrafold.llm import bpe, decontamination, near_dedup, quality_model, secre
 from terrafold.llm.common import removed, shared_folder, table
 
 
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> bool:
+    """Let batches of texts be small, unless the session says how large they are; returns whether it didn't.
+
+    A stage's result is written by whoever runs it, so a stage leaves this set; ``run`` takes it back.
+    """
+    unset = spark.conf.get(BATCH_ROWS, None) is None
+    if unset:
+        spark.conf.set(BATCH_ROWS, "1000")
+    return unset
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
+    small_batches(spark)
     model = quality_model.train(docs, table(spark, sf_dir, "labels"))
     scored = quality_model.score(docs, model, name="__score")
     return scored.where(F.col("__score") >= quality_model.THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
@@ -31,6 +47,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return near_dedup.deduplicated(docs)
 
 
@@ -41,6 +58,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with masked secrets; n_chars, where there is such a column, counts the new text."""
+    small_batches(spark)
     found = secret_scan.find_secrets(docs, names=("__base", "__found"))
     masked = secret_scan.masked(found, spans="__found")
     if "n_chars" in docs.columns:
@@ -50,6 +68,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (binary, little-endian unsigned 32-bit integers), and whether they decode to its text."""
+    small_batches(spark)
     made = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), bpe.vocabulary_path(), specials=False)
     exact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return made.select("doc_id", "lang", "source", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), "ids", exact.alias("exact"))
@@ -63,13 +82,17 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written in the shared folder and read again, and removed once the next one is written."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, unset = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", small_batches(spark)
     docs, before = table(spark, sf_dir, "documents"), None
-    for k, (name, stage) in enumerate(STAGES):
-        own = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(own)
-        docs = spark.read.parquet(own)
-        if before:
-            removed(spark, before)
-        before = own
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            own = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(own)
+            docs = spark.read.parquet(own)
+            if before:
+                removed(spark, before)
+            before = own
+    finally:
+        if unset:
+            spark.conf.unset(BATCH_ROWS)
     return docs

@@ -32,7 +32,7 @@ from terrafold.llm.common import CACHES, map_rows, table
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Parameters: new words, and bytes of them, that are encoded together at most, and words that a worker remembers.
-TOGETHER, TOGETHER_BYTES, REMEMBER = 49_152, 4 << 20, 250_000
+TOGETHER, TOGETHER_BYTES, REMEMBER = 49_152, 4 << 20, 100_000
 
 _DEAD, _SHIFT, _NO_RANK = -2, 20, 1 << 40
 

@@ -110,8 +110,9 @@ def map_rows(df: DataFrame, function: Callable[[list, ...], list], inputs: list[
                 columns = [piece.column(i) for i in range(len(keep))] + [pa.array(v, t) for v, (_, t, _) in zip(made, fields, strict=True)]
                 made = None
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[n for n, _, _ in fields]])
-                columns = None
-            give_back()
+                columns = piece = None
+                give_back()
+            batch = None  # before the next one is read
 
     return chosen.mapInArrow(run, schema)
 
