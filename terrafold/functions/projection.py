@@ -1,7 +1,9 @@
-"""Closed-form projections as Columns and numbers: EPSG:4326, EPSG:3857, and the UTM zones EPSG:32601-32660 and EPSG:32701-32760.
+"""Closed-form projections as Columns and numbers: EPSG:4326, EPSG:3857, the UTM zones EPSG:32601-32660 and EPSG:32701-32760, and SR-ORG:81.
 
 Every pair goes by way of degrees.  UTM is the transverse Mercator projection of the WGS 84 ellipsoid in Krueger's series up to the
-fourth power of the third flattening, exact to less than a millimetre inside a zone.
+fourth power of the third flattening, exact to less than a millimetre inside a zone.  SR-ORG:81 is the view of a geostationary satellite
+over the null meridian: angles of its scan times its height.  Places that it doesn't see, and angles that miss the Earth, have no coordinates:
+NULL, and NaN as numbers.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -20,6 +23,8 @@ AREA = {"EPSG:4326": (-180.0, -90.0, 180.0, 90.0), "EPSG:3857": (-20037508.34278
 #: Flattening of the ellipsoid, scale on the central meridian, false easting, and false northing of the south.
 FLATTENING, SCALE, EASTING, NORTHING = 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
 _UTM = re.compile(r"EPSG:32([67])(0[1-9]|[1-5]\d|60)")
+#: The geostationary system, the satellite's height, and the end of its square.
+GEOS, HEIGHT, GEOS_EDGE = "SR-ORG:81", 35_785_831.0, 5_568_748.276
 #: Parameter: steps along an edge of a box whose image is no box.
 EDGE_STEPS = 24
 
@@ -35,7 +40,7 @@ def zone(srs: str) -> tuple[float, bool] | None:
 
 
 def check(source: str, target: str) -> None:
-    if source != target and any(s not in AREA and zone(s) is None for s in (source, target)):
+    if source != target and any(s not in AREA and s != GEOS and zone(s) is None for s in (source, target)):
         raise ProjectionError(f"no projection from {source} to {target}")
 
 
@@ -45,11 +50,19 @@ def separable(source: str, target: str) -> bool:
 
 
 class _Numbers:
-    sin, cos, sinh, cosh, atanh, asin, sqrt, atan2 = (staticmethod(f) for f in (math.sin, math.cos, math.sinh, math.cosh, math.atanh, math.asin, math.sqrt, math.atan2))
+    sin, cos, tan, sinh, cosh, atanh, asin, atan, sqrt, atan2 = (staticmethod(f) for f in (math.sin, math.cos, math.tan, math.sinh, math.cosh, math.atanh, math.asin, math.atan, math.sqrt, math.atan2))
+
+    @staticmethod
+    def where(condition: bool, make: Callable[[], float]) -> float:
+        return make() if condition else math.nan
 
 
 class _Columns:
-    sin, cos, sinh, cosh, atanh, asin, sqrt, atan2 = (staticmethod(f) for f in (F.sin, F.cos, F.sinh, F.cosh, F.atanh, F.asin, F.sqrt, F.atan2))
+    sin, cos, tan, sinh, cosh, atanh, asin, atan, sqrt, atan2 = (staticmethod(f) for f in (F.sin, F.cos, F.tan, F.sinh, F.cosh, F.atanh, F.asin, F.atan, F.sqrt, F.atan2))
+
+    @staticmethod
+    def where(condition: Column, make: Callable[[], Column]) -> Column:
+        return F.when(condition, make())
 
 
 @functools.cache
@@ -92,16 +105,45 @@ def _from_utm(m: Any, meridian: float, south: bool, x: Any, y: Any) -> tuple[Any
     return m.atan2(m.sinh(b), m.cos(a)) + math.radians(meridian), lat
 
 
+#: Square of the ratio of the ellipsoid's axes, and the satellite's distance from the Earth's centre.
+AXES, ORBIT = (1 - FLATTENING) ** 2, RADIUS + HEIGHT
+
+
+def _to_geos(m: Any, lon: Any, lat: Any) -> tuple[Any, Any]:
+    """Scan angles times height of radians: the satellite lies on the first axis, the null meridian's."""
+    geocentric = m.atan(AXES * m.tan(lat))
+    away = RADIUS * math.sqrt(AXES) / m.sqrt(1 - (1 - AXES) * m.cos(geocentric) * m.cos(geocentric))
+    a, b, c = away * m.cos(geocentric) * m.cos(lon), away * m.cos(geocentric) * m.sin(lon), away * m.sin(geocentric)
+    seen = (ORBIT - a) * a - b * b - c * c / AXES >= 0
+    return m.where(seen, lambda: HEIGHT * m.atan2(b, ORBIT - a)), m.where(seen, lambda: HEIGHT * m.atan2(c, m.sqrt(b * b + (ORBIT - a) * (ORBIT - a))))
+
+
+def _from_geos(m: Any, x: Any, y: Any) -> tuple[Any, Any]:
+    """Radians where the ray of a scan angle first meets the ellipsoid."""
+    side = m.tan(x / HEIGHT)
+    up = m.tan(y / HEIGHT) * m.sqrt(1 + side * side)
+    squares = 1 + side * side + up * up / AXES  # the ray (-1, side, up) in a space where the ellipsoid is a sphere
+    inside = ORBIT**2 - squares * (ORBIT**2 - RADIUS**2)
+    reach = lambda: (ORBIT - m.sqrt(inside)) / squares
+    lon = lambda: m.atan2(reach() * side, ORBIT - reach())
+    lat = lambda: m.atan(reach() * up / AXES / m.sqrt((ORBIT - reach()) * (ORBIT - reach()) + reach() * side * (reach() * side)))
+    return m.where(inside >= 0, lon), m.where(inside >= 0, lat)
+
+
 def project(source: str, target: str, x: Column, y: Column) -> tuple[Column, Column]:
     check(source, target)
     if source == target:
         return x, y
     if own := zone(source):
         x, y = (F.degrees(v) for v in _from_utm(_Columns, *own, x, y))
+    elif source == GEOS:
+        x, y = (F.degrees(v) for v in _from_geos(_Columns, x, y))
     elif source == "EPSG:3857":
         x, y = F.degrees(x / RADIUS), F.degrees(2 * F.atan(F.exp(y / RADIUS)) - math.pi / 2)
     if own := zone(target):
         return _to_utm(_Columns, *own, F.radians(x), F.radians(y))
+    if target == GEOS:
+        return _to_geos(_Columns, F.radians(x), F.radians(y))
     if target == "EPSG:3857":
         return F.radians(x) * RADIUS, F.log(F.tan(F.radians(y) / 2 + math.pi / 4)) * RADIUS
     return x, y
@@ -113,10 +155,14 @@ def project_number(source: str, target: str, x: float, y: float) -> tuple[float,
         return x, y
     if own := zone(source):
         x, y = (math.degrees(v) for v in _from_utm(_Numbers, *own, x, y))
+    elif source == GEOS:
+        x, y = (math.degrees(v) for v in _from_geos(_Numbers, x, y))
     elif source == "EPSG:3857":
         x, y = math.degrees(x / RADIUS), math.degrees(2 * math.atan(math.exp(y / RADIUS)) - math.pi / 2)
     if own := zone(target):
         return _to_utm(_Numbers, *own, math.radians(x), math.radians(max(-89.9, min(89.9, y))))
+    if target == GEOS:
+        return _to_geos(_Numbers, math.radians(x), math.radians(y))
     if target == "EPSG:3857":
         y = max(-MAX_LATITUDE, min(MAX_LATITUDE, y))
         return math.radians(x) * RADIUS, math.log(math.tan(math.radians(y) / 2 + math.pi / 4)) * RADIUS
@@ -142,11 +188,22 @@ def _image(source: str, target: str, box: Box) -> Box:
     if own := zone(target):  # the meridian in the middle reaches farthest
         edge += [(own[0], y) for y in ys if source == "EPSG:4326" and box[0] <= own[0] <= box[2]]
     made = [project_number(source, target, *p) for p in edge]
+    if any(math.isnan(v) for p in made for v in p):  # a part that the satellite doesn't see: all that it sees
+        return _image_of_all(target)
     return min(p[0] for p in made), min(p[1] for p in made), max(p[0] for p in made), max(p[1] for p in made)
 
 
+def _image_of_all(target: str) -> Box:
+    if target == GEOS:
+        return (-GEOS_EDGE, -GEOS_EDGE, GEOS_EDGE, GEOS_EDGE)
+    return degrees_of_use(GEOS) if target == "EPSG:4326" else _image("EPSG:4326", target, _cut(degrees_of_use(GEOS), degrees_of_use(target)) or degrees_of_use(target))
+
+
 def degrees_of_use(srs: str) -> Box:
     """Where a system is defined, in degrees."""
+    if srs == GEOS:  # the horizon: where the ray to the satellite touches the equator, and a little more for the flat pole
+        edge = math.degrees(math.acos(RADIUS / ORBIT)) + 0.1
+        return (-edge, -edge, edge, edge)
     if own := zone(srs):
         return (own[0] - 3, -80.0, own[0] + 3, 0.0) if own[1] else (own[0] - 3, 0.0, own[0] + 3, 84.0)
     return AREA["EPSG:4326"] if srs == "EPSG:4326" else (-180.0, -MAX_LATITUDE, 180.0, MAX_LATITUDE)

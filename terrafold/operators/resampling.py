@@ -143,30 +143,68 @@ def reprojected(desc: RasterDescriptor, target: str, derive: str = "projectionBo
 
 
 def reproject_pixels(node: Any, source: RasterDescriptor, ctx: Context, rect: Rect) -> DataFrame:
-    """Target pixels take the source pixel under their centre.
+    """Target pixels take the source pixel under their centre, and are without data where there is none.
 
     Where rows and columns project apart from each other, two lists of numbers, as long as the grid's sides, map all pixels.  Else the
     target grid is made as rows, whose centres are projected by Columns, and joined with the source by row and column.
     """
+    from terrafold.sources.tables import dense
+
     desc = node.describe(ctx)
     rect = rect.on_grid(desc.transform)
-    a, b, c, d = rect.pixels or desc.pixels
-    if not projection.separable(desc.srs, source.srs):
-        t, s = desc.transform, source.transform
+    a, b, c, d = grid = rect.pixels or desc.pixels
+    t, s, own = desc.transform, source.transform, source.pixels
+    simple = projection.separable(desc.srs, source.srs)
+    if simple:
+        rows = [(y, _row(desc, source, y)) for y in range(a, b + 1)]
+        cols = [(x, _column(desc, source, x)) for x in range(c, d + 1)]
+        ys, xs = [k for _, k in rows if k is not None and own[0] <= k <= own[1]], [k for _, k in cols if k is not None and own[2] <= k <= own[3]]
+        inner = (min(ys), max(ys), min(xs), max(xs)) if ys and xs else None
+        whole = len(ys) == len(rows) and len(xs) == len(cols)
+    else:
         corners = [t.x + c * t.x_size, t.y + a * t.y_size, t.x + (d + 1) * t.x_size, t.y + (b + 1) * t.y_size]
         box = projection.project_box(desc.srs, source.srs, (min(corners[::2]), min(corners[1::2]), max(corners[::2]), max(corners[1::2])))
-        found = node.source.query(ctx, rect.but(bbox=box, pixels=None))
-        if box is None:
-            return found.where(F.lit(False))
-        grid = ctx.spark.range(a, b + 1).select(F.col("id").cast("int").alias("ty"), F.explode(F.sequence(F.lit(c), F.lit(d))).alias("tx"))
-        x, y = projection.project(desc.srs, source.srs, t.x + (F.col("tx") + 0.5) * t.x_size, t.y + (F.col("ty") + 0.5) * t.y_size)
-        grid = grid.withColumns({"y": F.floor((y - s.y) / s.y_size).cast("int"), "x": F.floor((x - s.x) / s.x_size).cast("int")})
-        return found.join(grid, ["y", "x"]).select("t_start", "t_end", "band", F.col("ty").alias("y"), F.col("tx").alias("x"), "value")
-    back = lambda x, y: projection.project_number(desc.srs, source.srs, x, y)
-    rows = [(y, source.transform.pixel(0.0, back(0.0, desc.transform.centre(y, 0)[1])[1])[0]) for y in range(a, b + 1)]
-    cols = [(x, source.transform.pixel(back(desc.transform.centre(0, x)[0], 0.0)[0], 0.0)[1]) for x in range(c, d + 1)]
-    inner = (min(s for _, s in rows), max(s for _, s in rows), min(s for _, s in cols), max(s for _, s in cols))
+        near = Rect(bbox=box).on_grid(s).grown(1, 1).pixels if box else (0, -1, 0, -1)
+        inner = (max(near[0], own[0]), min(near[1], own[1]), max(near[2], own[2]), min(near[3], own[3]))
+        inner = inner if inner[0] <= inner[1] and inner[2] <= inner[3] else None
+        whole = False
     found = node.source.query(ctx, rect.but(bbox=None, pixels=inner))
-    ys, xs = ctx.spark.createDataFrame(rows, "ty int, y int"), ctx.spark.createDataFrame(cols, "tx int, x int")
-    out = found.join(F.broadcast(ys), "y").join(F.broadcast(xs), "x")  # a row for each row or column of the grid
-    return out.select("t_start", "t_end", "band", F.col("ty").alias("y"), F.col("tx").alias("x"), "value")
+    found = found if inner else found.where(F.lit(False))
+    covered = F.col("sy").between(*inner[:2]) & F.col("sx").between(*inner[2:]) if inner else F.lit(False)
+    names = ["t_start", "t_end", "band", F.col("ty").alias("y"), F.col("tx").alias("x"), "value"]
+    if simple:  # a row for each row or column of the grid
+        ys, xs = ctx.spark.createDataFrame(rows, "ty int, sy int"), ctx.spark.createDataFrame(cols, "tx int, sx int")
+        under = lambda df, y, x: df.join(F.broadcast(ys), F.col(y) == F.col("ty")).join(F.broadcast(xs), F.col(x) == F.col("tx"))
+        out = found.join(F.broadcast(ys), F.col("y") == F.col("sy")).join(F.broadcast(xs), F.col("x") == F.col("sx")).select(*names)
+    else:
+        under = lambda df, y, x: _under(df, desc, source, y, x)
+        places = ctx.spark.range(a, b + 1).select(F.col("id").cast("int").alias("ty"), F.explode(F.sequence(F.lit(c), F.lit(d))).alias("tx"))
+        places = under(places, "ty", "tx").where(covered).select("ty", "tx", F.col("sy").alias("y"), F.col("sx").alias("x"))
+        out = found.join(places, ["y", "x"]).select(*names)
+    if whole:
+        return out
+    times = node.source.times(ctx, rect)
+    slices = node.source.query(ctx, rect.but(bbox=None, pixels=None)).select("t_start", "t_end").distinct() if times is None else ctx.spark.createDataFrame(times, "t_start long, t_end long")
+    empty = Rect(bands=rect.bands).of_pixels(dense(ctx, slices, grid, len(source.bands)))
+    missing = under(empty, "y", "x").where(~F.coalesce(covered, F.lit(False)))
+    return out.unionByName(missing.select("t_start", "t_end", "band", "y", "x", F.lit(None).cast(found.schema["value"].dataType).alias("value")))
+
+
+def _row(desc: RasterDescriptor, source: RasterDescriptor, y: int) -> int | None:
+    """The source row under a target row, None beyond the area where the source system is defined."""
+    own = desc.transform.centre(y, 0)[1]
+    there = projection.project_number(desc.srs, source.srs, 0.0, own)[1]
+    back = projection.project_number(source.srs, desc.srs, 0.0, there)[1]
+    return source.transform.pixel(0.0, there)[0] if math.isclose(back, own, rel_tol=1e-9, abs_tol=1e-6) else None
+
+
+def _column(desc: RasterDescriptor, source: RasterDescriptor, x: int) -> int | None:
+    return source.transform.pixel(projection.project_number(desc.srs, source.srs, desc.transform.centre(0, x)[0], 0.0)[0], 0.0)[1]
+
+
+def _under(df: DataFrame, desc: RasterDescriptor, source: RasterDescriptor, y: str, x: str) -> DataFrame:
+    """With the row ``sy`` and the column ``sx`` of the source pixel under the centre of a target pixel; NULL if that has no place there."""
+    t, s = desc.transform, source.transform
+    px, py = projection.project(desc.srs, source.srs, t.x + (F.col(x) + 0.5) * t.x_size, t.y + (F.col(y) + 0.5) * t.y_size)
+    index = lambda v: F.when(~F.isnan(v), F.floor(v).try_cast("int"))
+    return df.withColumns({"sy": index((py - s.y) / s.y_size), "sx": index((px - s.x) / s.x_size)})

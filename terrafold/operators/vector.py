@@ -289,9 +289,13 @@ class VectorExpression(Operator):
 
 @dataclass(frozen=True)
 class Reprojection(Operator):
-    """Features or pixels in another reference system: features point by point, pixels by the nearest source pixel."""
+    """Features or pixels in another reference system: features point by point, pixels by the nearest source pixel.
+
+    Features with a point that the target system can't show are left out; pixels without a source pixel are without data.
+    """
 
     TYPE: ClassVar[str] = "Reprojection"
+    KEEPS_TIME: ClassVar[bool] = True
     INPUTS: ClassVar[tuple[str, ...]] = ("source",)
     source: Operator
     target_spatial_reference: str
@@ -318,7 +322,10 @@ class Reprojection(Operator):
             if box is None:  # no place there: an empty result
                 return self.source.query(ctx, rect.but(bbox=None)).where(F.lit(False))
         found = self.source.query(ctx, rect.but(bbox=box))
-        return found.withColumn("geom", geometry.mapped(F.col("geom"), desc.geometry, lambda x, y: projection.project(desc.srs, target, x, y)))
+        found = found.withColumn("geom", geometry.mapped(F.col("geom"), desc.geometry, lambda x, y: projection.project(desc.srs, target, x, y)))
+        if projection.GEOS in (target, desc.srs):  # a feature has no geometry there if any of its points has none
+            found = found.where(~F.exists(geometry.coordinates(F.col("geom"), desc.geometry), lambda p: p["x"].isNull() | p["y"].isNull()))
+        return found
 
 
 @dataclass(frozen=True)

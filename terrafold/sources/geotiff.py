@@ -10,6 +10,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 from terrafold.engine.graph import GraphError
 from terrafold.engine.workers import importable
 from terrafold.model.descriptor import PIXEL_TYPES, Band, GeoTransform, RasterDescriptor
+from terrafold.model.time import TimeStep
 
 #: Formats of the types of tags, and pixel types by sample format and bits.
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 _SAMPLES = {(1, 8): "U8", (1, 16): "U16", (1, 32): "U32", (2, 8): "I8", (2, 16): "I16", (2, 32): "I32", (3, 32): "F32", (3, 64): "F64"}
 #: Parameter: rows of a file that become pixel rows at once.
 ROWS = 256
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
 @dataclass(frozen=True)
@@ -126,6 +129,29 @@ def descriptor(content: bytes, names: tuple[str, ...] = ()) -> RasterDescriptor:
     return RasterDescriptor(image.pixel_type, image.transform, (0, height - 1, 0, width - 1), tuple(Band(n) for n in names or [f"band {i}" for i in range(bands)]), srs=image.srs)
 
 
+def whole_path(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers write it: with the scheme and the host of its file system."""
+    jvm = spark._jvm.org.apache.hadoop.fs  # noqa: SLF001
+    own = jvm.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()  # noqa: SLF001
+
+
+def regular_files(pattern: str, time: tuple[int, int], step: TimeStep, placeholders: dict[str, tuple[str, str]], reference: int = 0) -> list[tuple[str, int, int, int]]:
+    """Files of a dataset with one slice for each step of ``time``: (path, start and end of its time, z-index).
+
+    placeholders: text in the pattern -> (start or end, a format of ``strftime``), written from that end of a slice in UTC.
+    """
+    out = []
+    for a, b in step.steps(*time, reference):
+        path = pattern
+        for text, (end, form) in placeholders.items():
+            if end not in ("start", "end") or text not in pattern:
+                raise GraphError(f"placeholder {text!r} is not in the pattern, or is no start or end")
+            path = path.replace(text, (EPOCH + timedelta(milliseconds=a if end == "start" else b)).strftime(form))
+        out.append((path, a, b, 0))
+    return out
+
+
 def read_geotiffs(spark: SparkSession, files: list[tuple[str, int, int, int]], desc: RasterDescriptor) -> DataFrame:
     """Pixel rows of ``files`` (path, start and end of its time, z-index) on the grid of ``desc``: t_start, t_end, band, y, x, value, z_index.
 
@@ -133,10 +159,9 @@ def read_geotiffs(spark: SparkSession, files: list[tuple[str, int, int, int]], d
     Each file is decoded by one task, a run of rows at a time.
     """
     importable(spark)
-    known = spark.createDataFrame([(p, a, b, z) for p, a, b, z in files], "file string, t_start long, t_end long, z_index long")
-    names = F.element_at(F.split("path", "/"), -1)
-    content = spark.read.format("binaryFile").load([p for p, *_ in files]).select(names.alias("name"), "content")
-    content = content.join(F.broadcast(known.withColumn("name", F.element_at(F.split("file", "/"), -1))), "name")  # a row for each file that the caller lists
+    # the reader names a file by its whole path, so that files of one name in several folders stay apart
+    known = spark.createDataFrame([(whole_path(spark, p), a, b, z) for p, a, b, z in files], "file string, t_start long, t_end long, z_index long")
+    content = spark.read.format("binaryFile").load(sorted({p for p, *_ in files})).select(F.col("path").alias("file"), "content").join(known, "file")
     t, whole = desc.transform, desc.data_type not in ("F32", "F64")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,12 +11,13 @@ import terrafold.queries  # noqa: F401  registers all operators
 from terrafold.builder import build
 from terrafold.engine.graph import Context, GraphError, from_json
 from terrafold.functions import projection
-from terrafold.model.descriptor import Band, GeoTransform, RasterDescriptor
+from terrafold.model.descriptor import Band, GeoTransform, RasterDescriptor, VectorDescriptor
 from terrafold.model.rect import Rect
+from terrafold.model.time import TimeStep
 from terrafold.operators.ml import Model, onnx_linear
 from terrafold.operators.simplify import crosses, visvalingam
 from terrafold.sinks.outputs import geotiffs, rgb_png
-from terrafold.sources.geotiff import Image, descriptor, read_geotiffs
+from terrafold.sources.geotiff import Image, descriptor, read_geotiffs, regular_files
 
 GRID = GeoTransform(10.0, 50.0, 0.5, -0.5)
 DESC = RasterDescriptor("I16", GRID, (0, 5, 0, 7), (Band("a"), Band("b")), time=(0, 20))
@@ -42,6 +43,13 @@ def test_geotiffs_by_slice_and_square_read_back(spark, tmp_path):
     ctx = Context(spark, {"tif": (back, DESC)}, slices={"tif": [(0, 10), (10, 20), (20, 30)]})
     mosaic = build.MultiBandGdalSource(data="tif").operator().query(ctx, Rect())
     assert mosaic.count() == 3 * 2 * 48 and mosaic.where("value is not null").count() == sum(r[-1] is not None for r in rows)
+    own = []
+    for k, f in enumerate(files[:2]):  # files of one name in two folders
+        (tmp_path / f"{k}").mkdir()
+        (tmp_path / f"{k}" / "same name.tif").write_bytes(f.content)
+        own.append((str(tmp_path / f"{k}" / "same name.tif"), k, k + 1, k))
+    by_file = {r.t_start: r["count"] for r in read_geotiffs(spark, own, DESC).groupBy("t_start").count().collect()}
+    assert by_file == {k: len(Image.parse(bytes(f.content)).rows(0, Image.parse(bytes(f.content)).shape[1]).ravel()) for k, f in enumerate(files[:2])}
     with pytest.raises(Exception, match="grid"):
         read_geotiffs(spark, listed[:1], DESC.but(transform=GeoTransform(10.1, 50.0, 0.5, -0.5))).collect()
 
@@ -98,8 +106,67 @@ def test_utm_against_known_places_and_back():
         projection.check("EPSG:4326", "EPSG:32661")
 
 
+def test_files_of_a_regular_dataset():
+    month, jan, apr = TimeStep("months", 1), 1_388_534_400_000, 1_396_310_400_000
+    files = regular_files("/d/%_START_%_%_END_%.tif", (jan, apr), month, {"%_START_%": ("start", "%Y-%m-%d"), "%_END_%": ("end", "%Y%m")})
+    assert [f[0] for f in files] == ["/d/2014-01-01_201402.tif", "/d/2014-02-01_201403.tif", "/d/2014-03-01_201404.tif"]
+    assert files[0][1] == jan and files[-1][2] == apr
+    with pytest.raises(GraphError):
+        regular_files("/d/a.tif", (jan, apr), month, {"%_START_%": ("start", "%Y")})
+
+
+def test_geostationary_against_known_places_and_back(spark):
+    to, back = (lambda *p: projection.project_number("EPSG:4326", "SR-ORG:81", *p)), (lambda *p: projection.project_number("SR-ORG:81", "EPSG:4326", *p))
+    assert to(0.0, 0.0) == (0.0, 0.0)
+    assert to(2.0, 1.0) == pytest.approx((222527.0704, 110551.3034), abs=0.01)
+    for p in ((70.0, 10.0), (-30.5, 65.0), (8.8, 50.8), (0.0, -79.0)):
+        assert back(*to(*p)) == pytest.approx(p, abs=1e-7)
+    assert all(map(math.isnan, to(100.0, 0.0) + to(0.0, 89.0) + back(5_500_000.0, 5_500_000.0)))
+    assert projection.project_box("EPSG:4326", "SR-ORG:81", (-180.0, -90.0, 180.0, 90.0)) == (-5_568_748.276, -5_568_748.276, 5_568_748.276, 5_568_748.276)
+    assert projection.project_box("EPSG:4326", "SR-ORG:81", (100.0, 0.0, 120.0, 10.0)) is None
+    places = [(2.0, 1.0), (100.0, 0.0), (-30.5, 65.0)]
+    df = spark.createDataFrame([(0, 1, [p], k) for k, p in enumerate(places)], "t_start long, t_end long, geom array<struct<x:double,y:double>>, k int")
+    ctx = Context(spark, {"p": (df, VectorDescriptor("MultiPoint", {"k": "int"}))})
+    got = {r.k: (r.geom[0].x, r.geom[0].y) for r in build.MockDatasetDataSource(data="p").Reprojection(targetSpatialReference="SR-ORG:81").operator().query(ctx, Rect()).collect()}
+    assert set(got) == {0, 2} and all(got[k] == pytest.approx(to(*places[k]), abs=1e-6) for k in got)
+
+
+@pytest.mark.parametrize(("here", "there", "transform", "pixels"), [
+    ("EPSG:4326", "SR-ORG:81", GeoTransform(-180.0, 90.0, 15.0, -15.0), (0, 11, 0, 23)),
+    ("SR-ORG:81", "EPSG:4326", GeoTransform(-5_568_748.0, 5_568_748.0, 464_062.0, -464_062.0), (0, 23, 0, 23)),
+    ("EPSG:4326", "EPSG:32632", GeoTransform(7.0, 52.0, 0.25, -0.25), (0, 7, 0, 7)),
+    ("EPSG:3857", "EPSG:4326", GeoTransform(-2e6, 2e7, 1e6, -1e6), (0, 3, 0, 3)),
+])
+@pytest.mark.parametrize("known", [True, False])
+def test_reprojected_rasters_have_every_pixel(spark, here, there, transform, pixels, known):
+    """Pixels without a source pixel are rows without value, in each band and slice, and also beyond the source."""
+    a, b, c, d = pixels
+    desc = RasterDescriptor("I32", transform, pixels, (Band("a"), Band("b")), srs=here, time=(0, 20))
+    df = spark.createDataFrame([(t, t + 10, band, y, x, 1000 * y + x + t + band) for t in (0, 10) for band in (0, 1) for y in range(a, b + 1) for x in range(c, d + 1)], "t_start long, t_end long, band int, y int, x int, value int")
+    node = build.GdalSource(data="r").Reprojection(targetSpatialReference=there).operator()
+    ctx = Context(spark, {"r": (df, desc)}, slices={"r": [(0, 10), (10, 20)]} if known else {})
+    own = node.describe(ctx)
+    top, bottom, left, right = own.pixels
+    for rect in (Rect(), Rect(pixels=(top - 2, bottom, left, right + 1), bands=(1,), time=(10, 15))):
+        p, q, r, s = rect.pixels or own.pixels
+        want = {}
+        for y in range(p, q + 1):
+            for x in range(r, s + 1):
+                px, py = projection.project_number(there, here, *own.transform.centre(y, x))
+                row, col = desc.transform.pixel(px, py) if math.isfinite(px) and math.isfinite(py) else (-1, -1)
+                if here == "EPSG:3857" and abs(own.transform.centre(y, x)[1]) > 85.06:
+                    row = -1
+                for t in (0, 10):
+                    for band in (0, 1):
+                        if rect.bands is None or (band, t) == (1, 10):
+                            want[t, band, y, x] = 1000 * row + col + t + band if a <= row <= b and c <= col <= d else None
+        rows = node.query(ctx, rect).collect()
+        assert {(k.t_start, k.band, k.y, k.x): k.value for k in rows} == want and len(rows) == len(want)
+        assert any(v is not None for v in want.values())
+
+
 def test_pixels_in_utm(spark):
-    """Each target pixel has the source pixel under its centre."""
+    """Each target pixel has the source pixel under its centre, or no value."""
     desc = RasterDescriptor("I32", GeoTransform(6.0, 52.0, 0.25, -0.25), (0, 15, 0, 23), (Band("a"),), time=(0, 10))
     df = spark.createDataFrame([(0, 10, 0, y, x, 100 * y + x) for y in range(16) for x in range(24)], "t_start long, t_end long, band int, y int, x int, value int")
     node = build.GdalSource(data="r").Reprojection(targetSpatialReference="EPSG:32632").operator()
@@ -112,7 +179,8 @@ def test_pixels_in_utm(spark):
             row, col = desc.transform.pixel(*projection.project_number("EPSG:32632", "EPSG:4326", *own.transform.centre(y, x)))
             if 0 <= row <= 15 and 0 <= col <= 23:
                 want[y, x] = 100 * row + col
-    assert got == want and len(got) > 300
+    assert {k: v for k, v in got.items() if v is not None} == want and len(want) > 300
+    assert len(got) == (own.pixels[1] - own.pixels[0] + 1) * (own.pixels[3] - own.pixels[2] + 1)
 
 
 def test_onnx_file_by_path(spark, tmp_path):
