@@ -28,7 +28,9 @@ from terrafold.engine.graph import Context, from_json
 from terrafold.model.rect import Rect
 from terrafold.model.time import MAX_MS, MIN_MS
 from terrafold.operators.ml import Model, linear, onnx_linear
+from terrafold.sinks.outputs import geojson
 from terrafold.sources.bindings import BOOKINGS_SQL, DAY, PIXELS_SQL, POINTS_SQL, SPARSE_SQL, T0, context
+from terrafold.sources.features import read_geojson
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,6 +106,19 @@ def csv_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("csv_points_bbox", csv_points, f"""SELECT {MIN_MS} AS t_start, {MAX_MS} AS t_end, cast(x AS DOUBLE) AS px, cast(y AS DOUBLE) AS py
  FROM (SELECT c_custkey % 36 * 10 - 175 AS x, 85 - c_custkey % 18 * 10 AS y FROM customer) WHERE x BETWEEN -60 AND 60 AND y BETWEEN -50 AND 50""")
 
+def geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points, written as lines of GeoJSON and read by the source."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{uuid.uuid4().hex}.geojson"
+    ctx = context(spark, sf_dir)
+    geojson(ctx.dataset("points")[0], "MultiPoint").write.text(folder)
+    ctx.datasets["file"] = (read_geojson(spark, [folder], "MultiPoint", ("event_id", "user_id", "event_type", "maybe", "value"), lines=True), None)
+    columns = {"geometry": {"type": "MultiPoint"}, "int": ["event_id", "user_id", "maybe"], "text": ["event_type"], "float": ["value"]}
+    node = from_json(op("OgrSource", data="file", columns=columns, time={"kind": "startEnd", "start": "when_start", "end": "when_end"}))
+    return canonical(node.query(ctx, Rect()))
+
+
+add("ogr_geojson", geojson_points, with_points(f"SELECT {V} FROM pts"))
+
 EVENT_COLUMNS = {"x": "user_id", "y": "event_id", "int": ["event_id", "user_id"], "float": ["value"], "text": ["event_type"]}
 flat = lambda df: df.drop("geom")
 add(
@@ -258,7 +273,21 @@ add(
     run(over("BandwiseExpression", over("Reflectance", over("RasterTypeConversion", op("GdalSource", data="visible"), outputDataType="F32")), expression="floor(x * 1000)", outputType="F64")),
     with_pixels(f"SELECT {R}, floor(value * pow(1 - 0.0167 * cos(2 * pi() * (dayofyear(make_timestamp(t_start * 1000)) - 3) / 365.0), 2) / (65.2296 / pi()) * 1000) AS value FROM r WHERE band = 0"),
 )
-add("reflectance_solar", run(over("Reflectance", over("RasterTypeConversion", op("GdalSource", data="visible"), outputDataType="F32"), solarCorrection=True), finish=rounded("value")))
+# the sun's height where a pixel looks at, by the series of the almanac: each step of the formula is one subquery
+FACTOR = repr(65536.0 / (-13642337.0 * 3000.403165817))
+add(
+    "reflectance_solar",
+    run(over("Reflectance", over("RasterTypeConversion", op("GdalSource", data="visible"), outputDataType="F32"), solarCorrection=True), finish=lambda df: df.withColumn("value", F.floor(F.col("value") * 1000))),
+    with_pixels(f"""SELECT {R}, floor(cast(value::DOUBLE * esd * esd / (65.2296::DOUBLE / pi() * cos(radians(least(zenith, 80)))) AS FLOAT)::DOUBLE * 1000) AS value
+ FROM (SELECT *, degrees(z + 6371.01::DOUBLE / 149597890 * sin(z)) AS zenith FROM (SELECT *, acos(cos(radians(lat)) * cos(angle) * cos(decl) + sin(decl) * sin(radians(lat))) AS z
+ FROM (SELECT *, radians((6.6974243242::DOUBLE + 0.0657098283::DOUBLE * n + hours) * 15 + lon) - atan2(cos(obl) * sin(ecl), cos(ecl)) AS angle, asin(sin(obl) * sin(ecl)) AS decl
+ FROM (SELECT *, 4.895063::DOUBLE + 0.017202791698::DOUBLE * n + 0.03341607::DOUBLE * sin(anomaly) + 0.00034894::DOUBLE * sin(2 * anomaly) - 0.0001134::DOUBLE - 0.0000203::DOUBLE * sin(omega) AS ecl,
+  0.4090928::DOUBLE - 6.214e-9::DOUBLE * n + 0.0000396::DOUBLE * cos(omega) AS obl, degrees(atan(1.006804::DOUBLE * (-sn * sin(b)) / sqrt(pow(s1, 2) + pow(s2, 2)))) AS lat, degrees(atan(s2 / s1)) AS lon
+ FROM (SELECT *, 2.1429::DOUBLE - 0.0010394594::DOUBLE * n AS omega, 6.24006::DOUBLE + 0.0172019699::DOUBLE * n AS anomaly, 42164 - sn * cos(a) * cos(b) AS s1, sn * sin(a) * cos(b) AS s2
+ FROM (SELECT *, (42164 * cos(a) * cos(b) - sqrt(pow(42164 * cos(a) * cos(b), 2) - flat * 1737121856)) / flat AS sn
+ FROM (SELECT *, pow(cos(b), 2) + 1.006803::DOUBLE * pow(sin(b), 2) AS flat, days - 10957.5::DOUBLE + hours / 24 AS n, 1 - 0.0167::DOUBLE * cos(2 * pi() * (dayofyear(make_timestamp(t_start * 1000)) - 3) / 365) AS esd
+ FROM (SELECT *, radians((-180 + (x + 0.5) * 22.5)::DOUBLE * -({FACTOR}::DOUBLE)) AS a, radians((90 - (y + 0.5) * 22.5)::DOUBLE * {FACTOR}::DOUBLE) AS b, t_start // 86400000 AS days, (t_start % 86400000 // 1000) / 3600.0::DOUBLE AS hours FROM r WHERE band = 0))))))))"""),
+)
 
 # ---- resampling ----
 add("interpolation_nn", run(over("Interpolation", RASTER, interpolation="nearestNeighbor", outputResolution={"type": "fraction", "x": 3, "y": 2})), with_pixels("SELECT t_start, t_end, band, i.range AS y, j.range AS x, value FROM r, range(16) AS i, range(48) AS j WHERE r.y = i.range // 2 AND r.x = j.range // 3"))
@@ -296,6 +325,15 @@ add(
  FROM (SELECT event_id, f, 6378137.0 / sqrt(1 - {E2!r} * pow(sin(f), 2)) AS n, pow(tan(f), 2) AS t, {E1!r} * pow(cos(f), 2) AS c, l * cos(f) AS a
  FROM (SELECT event_id, radians(py) AS f, radians(px - 3) AS l FROM pts WHERE px BETWEEN 0 AND 6 AND py BETWEEN 0 AND 84))"""),
 )
+# a geostationary satellite's view: the ray from it to a place on the ellipsoid, in kilometres
+FLAT2 = repr((1 - 1 / 298.257223563) ** 2)
+add(
+    "reprojection_geostationary",
+    run(over("Reprojection", POINTS, "source", targetSpatialReference="SR-ORG:81"), finish=lambda df: df.select("event_id", F.round(F.col("geom")[0]["x"], 3).alias("east"), F.round(F.col("geom")[0]["y"], 3).alias("north"))),
+    with_points(f"""SELECT event_id, round(35785831 * atan(w / q), 3) AS east, round(35785831 * asin(v / sqrt(q * q + w * w + v * v)), 3) AS north
+ FROM (SELECT *, 42163.968::DOUBLE - u AS q FROM (SELECT event_id, n * cos(f) * cos(l) AS u, n * cos(f) * sin(l) AS w, n * {FLAT2} * sin(f) AS v
+ FROM (SELECT event_id, radians(py) AS f, radians(px) AS l, 6378.137::DOUBLE / sqrt(1 - (1 - {FLAT2}) * pow(sin(radians(py)), 2)) AS n FROM pts))) WHERE u * 42163.968 >= pow(6378.137, 2)"""),
+)
 TOP = "ln(tan(radians(85.06) / 2 + pi() / 4))"
 add(
     "reprojection_raster",

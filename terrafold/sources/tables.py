@@ -194,8 +194,8 @@ class OgrSource(Operator):
     attribute_projection: columns to keep.  attribute_filters: dicts of attribute, ranges (inclusive), keepNulls.
     time: a dict: kind none, start, startEnd or startDuration; start, end or duration (a field, or milliseconds, "infinite", "zero"); format.
     attribute_query: a condition in SQL on the dataset's own columns.
-    columns: dict of x, y (points), int, float, text, bool, datetime (lists), rename (a dict).  on_error: ignore drops rows
-    whose values can't be read, abort raises.
+    columns: dict of x, y (points) or geometry (a dict of name and type: a column that holds geometries), int, float, text, bool, datetime (lists),
+    rename (a dict).  on_error: ignore drops rows whose values or geometry can't be read, abort raises.
     """
 
     TYPE: ClassVar[str] = "OgrSource"
@@ -218,7 +218,10 @@ class OgrSource(Operator):
             if unknown := set(self.attribute_projection) - set(types):
                 raise GraphError(f"unknown columns {sorted(unknown)}")
             types = {c: types[c] for c in self.attribute_projection}
-        return VectorDescriptor("MultiPoint" if "x" in self.columns else "Data", types)
+        shape = self.columns.get("geometry", {}).get("type") or ("MultiPoint" if "x" in self.columns else "Data")
+        if shape != "Data" and shape not in geometry.GEOMETRY_TYPES:
+            raise GraphError(f"unknown kind of geometry {shape!r}")
+        return VectorDescriptor(shape, types)
 
     def query(self, ctx: Context, rect: Rect) -> DataFrame:
         from terrafold.operators.vector import range_predicate
@@ -251,6 +254,10 @@ class OgrSource(Operator):
             x, y = (cast(F.col(self.columns[k]), "double") for k in "xy")
             bad = bad | x.isNull() | y.isNull()
             chosen.append(geometry.multi_point(x, y).alias("geom"))
+        elif "geometry" in self.columns:
+            shape = F.col(self.columns["geometry"].get("name", "geom"))
+            bad = bad | shape.isNull()
+            chosen.append((F.coalesce(shape, F.raise_error(F.lit("a feature has no geometry of this kind"))) if strict else shape).alias("geom"))
         if not strict:
             df = df.where(~bad)
         df = df.select(*chosen, *[v.alias(k) for k, v in out.items()])
