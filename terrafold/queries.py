@@ -5,7 +5,6 @@ A query is a graph in JSON form and a rectangle; results are brought to longs, d
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -25,6 +24,7 @@ import terrafold.operators.vector
 import terrafold.plots.terminal
 import terrafold.sources.tables  # noqa: F401
 from terrafold.engine.graph import Context, from_json
+from terrafold.engine.workers import shared_path
 from terrafold.model.rect import Rect
 from terrafold.model.time import MAX_MS, MIN_MS
 from terrafold.operators.ml import Model, linear, onnx_linear
@@ -96,7 +96,7 @@ in_week = f"((t_start >= {WEEK[0]} AND t_start < {WEEK[1]}) OR ({WEEK[0]} >= t_s
 # ---- sources ----
 def csv_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' places, written as CSV and read by the source."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{uuid.uuid4().hex}.csv"
+    folder = shared_path(spark, ".csv")
     c = context(spark, sf_dir).dataset("customers")[0]
     c.select((F.col("c_custkey") % 36 * 10 - 175).alias("x"), (85 - F.col("c_custkey") % 18 * 10).alias("y"), "c_name").write.csv(folder, header=True, sep=";")
     node = from_json(op("CsvSource", filePath=folder, fieldSeparator=";"))
@@ -108,7 +108,7 @@ add("csv_points_bbox", csv_points, f"""SELECT {MIN_MS} AS t_start, {MAX_MS} AS t
 
 def geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points, written as lines of GeoJSON and read by the source."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{uuid.uuid4().hex}.geojson"
+    folder = shared_path(spark, ".geojson")
     ctx = context(spark, sf_dir)
     geojson(ctx.dataset("points")[0], "MultiPoint").write.text(folder)
     ctx.datasets["file"] = (read_geojson(spark, [folder], "MultiPoint", ("event_id", "user_id", "event_type", "maybe", "value"), lines=True), None)
@@ -577,9 +577,8 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream: counts by day and type."""
     from terrafold.streaming.windows import counts_in_windows, read_features, run_to_table
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     stream = read_features(spark, f"{sf_dir}/[e]vents.parquet")
-    return canonical(run_to_table(counts_in_windows(stream, "ts", ["event_type"]), f"windows_{uuid.uuid4().hex}", f"{folder}/{uuid.uuid4().hex}"))
+    return canonical(run_to_table(counts_in_windows(stream, "ts", ["event_type"]), f"windows_{uuid.uuid4().hex}", shared_path(spark)))
 
 
 add("stream_tumbling_windows", stream_windows, f"SELECT (epoch_us(ts) // {DAY * 1000}) * {DAY} AS w_start, event_type, count(*) AS n, cast(sum(floor(value)) AS BIGINT) AS total FROM events GROUP BY ALL")
