@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame
 
 from terrafold.engine.workers import importable
 
+#: Parameter: cells of a segment at most, beyond which it is compared with every other one.
+FEW_CELLS = 64
+
 
 def douglas_peucker(points: np.ndarray, epsilon: float) -> np.ndarray:
     """Points farther than ``epsilon`` from the line that replaces them stay.  A stack, so that long lines need no recursion."""
@@ -41,13 +45,48 @@ def crosses(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
     return bool(((side(p, q, a) * side(p, q, b) <= 0) & (side(a, b, p) * side(a, b, q) <= 0)).any())
 
 
+class Segments:
+    """Segments of one line by cells of a grid, so that few are compared with a new one.  Those that cover many cells are looked at always."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.points = points
+        extent = float(np.ptp(points, axis=0).max()) if len(points) else 0.0
+        self.size = extent / math.sqrt(len(points)) or 1.0
+        self.cells: dict[tuple[int, int] | None, dict[int, int]] = {}
+        for i in range(len(points) - 1):
+            self.add(i, i + 1)
+
+    def covered(self, a: int, b: int) -> list[tuple[int, int]] | None:
+        """Cells that meet the box of a segment, None if they are many."""
+        (x0, y0), (x1, y1) = (np.floor(f(self.points[a], self.points[b]) / self.size).astype(int).tolist() for f in (np.minimum, np.maximum))
+        if (x1 - x0 + 1) * (y1 - y0 + 1) > FEW_CELLS:
+            return None
+        return [(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
+
+    def add(self, a: int, b: int) -> None:
+        for cell in self.covered(a, b) or [None]:
+            self.cells.setdefault(cell, {})[a] = b
+
+    def remove(self, a: int, b: int) -> None:
+        for cell in self.covered(a, b) or [None]:
+            del self.cells[cell][a]
+
+    def near(self, a: int, b: int) -> dict[int, int]:
+        """Ends by start of the segments that may meet the one from point ``a`` to point ``b``."""
+        cells = self.covered(a, b)
+        cells = self.cells if cells is None else [*cells, None]
+        return {k: v for cell in cells for k, v in self.cells.get(cell, {}).items()}
+
+
 def visvalingam(points: np.ndarray, epsilon: float, least: int) -> np.ndarray:
     """Points whose triangle with their neighbours is smaller than ``epsilon`` go, the smallest first; ``least`` points stay.
 
     A point stays as well if the segment that would replace its two would meet another one, so a line without crossings gets none.
+    It is tried again when a neighbour goes.
     """
     n = len(points)
     before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), np.ones(n, bool)
+    segments, ring = Segments(points), np.array_equal(points[0], points[-1])
 
     def triangle(i: int) -> float:
         (ax, ay), (bx, by), (cx, cy) = points[before[i]], points[i], points[after[i]]
@@ -55,12 +94,12 @@ def visvalingam(points: np.ndarray, epsilon: float, least: int) -> np.ndarray:
 
     def meets_others(i: int) -> bool:
         left, right = before[i], after[i]
-        own = np.flatnonzero(alive)
-        starts, ends = own[:-1], own[1:]
-        other = (ends != left) & (ends != i) & (starts != i) & (starts != right)  # not its own two segments nor their neighbours
-        other &= ~((starts == 0) & (right == n - 1) & np.array_equal(points[0], points[-1]))  # a ring's ends are neighbours
-        other &= ~((ends == n - 1) & (left == 0) & np.array_equal(points[0], points[-1]))
-        return crosses(points[left], points[right], points[starts[other]], points[ends[other]])
+        # not its own two segments nor their neighbours; a ring's ends are neighbours
+        other = [
+            (a, b) for a, b in segments.near(left, right).items()
+            if b not in (left, i) and a not in (i, right) and not (ring and ((a == 0 and right == n - 1) or (b == n - 1 and left == 0)))
+        ]
+        return bool(other) and crosses(points[left], points[right], *(points[list(k)] for k in zip(*other, strict=True)))
 
     heap = [(triangle(i), i) for i in range(1, n - 1)]
     heapq.heapify(heap)
@@ -72,9 +111,12 @@ def visvalingam(points: np.ndarray, epsilon: float, least: int) -> np.ndarray:
         if a > epsilon:
             break
         if meets_others(i):
-            continue  # tried again when a neighbour goes
+            continue
         alive[i] = False
         left -= 1
+        segments.remove(before[i], i)
+        segments.remove(i, after[i])
+        segments.add(before[i], after[i])
         after[before[i]], before[after[i]] = after[i], before[i]
         for k in (before[i], after[i]):
             if 0 < k < n - 1:

@@ -334,6 +334,16 @@ add(
  FROM (SELECT *, 42163.968::DOUBLE - u AS q FROM (SELECT event_id, n * cos(f) * cos(l) AS u, n * cos(f) * sin(l) AS w, n * {FLAT2} * sin(f) AS v
  FROM (SELECT event_id, radians(py) AS f, radians(px) AS l, 6378.137::DOUBLE / sqrt(1 - (1 - {FLAT2}) * pow(sin(radians(py)), 2)) AS n FROM pts))) WHERE u * 42163.968 >= pow(6378.137, 2)"""),
 )
+EDGE, ORBIT2 = 5568748.276, repr(42163968.0**2 - 6378137.0**2)
+add(
+    "reprojection_raster_geostationary",
+    run(over("Reprojection", RASTER, "source", targetSpatialReference="SR-ORG:81")),
+    with_pixels(f"""SELECT s.t_start, s.t_end, s.band, g.y, g.x, r.value FROM (SELECT DISTINCT t_start, t_end, band FROM r) AS s
+ CROSS JOIN (SELECT y, x, floor((90 - degrees(atan(k * v / {FLAT2} / sqrt(pow(42163968 - k, 2) + pow(k * u, 2))))) / 22.5) AS py, floor((degrees(atan2(k * u, 42163968 - k)) + 180) / 22.5) AS px
+ FROM (SELECT *, CASE WHEN d >= 0 THEN (42163968 - sqrt(d)) / q END AS k FROM (SELECT *, pow(42163968::DOUBLE, 2) - q * {ORBIT2} AS d FROM (SELECT *, 1 + u * u + v * v / {FLAT2} AS q
+ FROM (SELECT *, tan(({EDGE} - (y + 0.5) * {EDGE / 4!r}) / 35785831) * sqrt(1 + u * u) AS v FROM (SELECT i.range AS y, j.range AS x, tan((-{EDGE} + (j.range + 0.5) * {EDGE / 8!r}) / 35785831) AS u FROM range(8) AS i, range(16) AS j)))))) AS g
+ LEFT JOIN r ON r.t_start = s.t_start AND r.band = s.band AND r.y = g.py AND r.x = g.px"""),
+)
 TOP = "ln(tan(radians(85.06) / 2 + pi() / 4))"
 add(
     "reprojection_raster",

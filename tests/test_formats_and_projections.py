@@ -218,3 +218,46 @@ def test_simplified_lines_do_not_cross_themselves():
                 assert not crosses(own[i], own[i + 1], own[others], own[[k + 1 for k in others]])
     spiral = np.array([[0, 0], [4, 0], [4, 4], [0, 4], [0, 1], [3, 1], [3, 3], [1, 3], [1, 2], [2, 2]], float)
     assert len(visvalingam(spiral, 100.0, 2)) >= 2
+
+
+def plain_visvalingam(points, epsilon, least):
+    """The same rule without a heap or a grid: every step looks at all points and all segments."""
+    own, tried = [tuple(p) for p in points], {}
+    ids = list(range(len(own)))
+    while len(ids) > least:
+        rank = []
+        for k in range(1, len(ids) - 1):
+            (ax, ay), (bx, by), (cx, cy) = (own[ids[j]] for j in (k - 1, k, k + 1))
+            area = abs((bx - ax) * (cy - ay) - (cx - ax) * (by - ay)) / 2
+            if area <= epsilon and tried.get(ids[k]) != (ids[k - 1], ids[k + 1]):
+                rank.append((area, ids[k], k))
+        if not rank:
+            break
+        _, i, k = min(rank)
+        others = [j for j in range(len(ids) - 1) if j not in (k - 2, k - 1, k, k + 1)]
+        if own[ids[0]] == own[ids[-1]]:
+            others = [j for j in others if not (j == 0 and k + 1 == len(ids) - 1) and not (j == len(ids) - 2 and k == 1)]
+        at = lambda js: np.array([own[ids[j]] for j in js], float).reshape(-1, 2)
+        if crosses(np.array(own[ids[k - 1]]), np.array(own[ids[k + 1]]), at(others), at([j + 1 for j in others])):
+            tried[i] = (ids[k - 1], ids[k + 1])
+        else:
+            del ids[k]
+    return np.array([own[i] for i in ids])
+
+
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_visvalingam_against_brute_force(few, monkeypatch):
+    from terrafold.operators import simplify
+
+    monkeypatch.setattr(simplify, "FEW_CELLS", few)
+    r = np.random.default_rng(few)
+    for k in range(30):
+        n = int(r.integers(5, 60))
+        line = np.cumsum(r.normal(size=(n, 2)), axis=0) if k % 3 else np.column_stack([np.arange(n), r.integers(0, 3, n)]).astype(float)
+        if k % 2:
+            angle = np.sort(r.random(n)) * 2 * math.pi
+            line = np.column_stack([np.cos(angle), np.sin(angle)]) * (1 + r.random(n))[:, None]
+            line = np.vstack([line, line[:1]])
+        for epsilon in (0.0, 0.05, 0.5, 50.0):
+            assert np.array_equal(visvalingam(line, epsilon, 4), plain_visvalingam(line, epsilon, 4))
+    assert len(visvalingam(np.zeros((9, 2)), 1.0, 4)) >= 4
