@@ -6,7 +6,8 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from typing import Any, ClassVar
 
 from pyspark.sql import Column, DataFrame
@@ -220,19 +221,88 @@ class PieChart(Plot):
         return vega.pie(sorted((r["slice"], r["n"]) for r in rows), self.donut)
 
 
+CUTS = 1000  # pieces that a sketch cuts values into
+
+
+@dataclass(frozen=True)
+class Interval:
+    """An open interval of a column's values: how many lie below and inside, which ranks (from 1) it holds, and a sketch of the values inside."""
+
+    name: str
+    low: float
+    high: float
+    below: int
+    inside: int
+    ranks: tuple[int, ...]
+    sketch: list[float] | None = None
+
+    def cuts(self) -> list[float]:
+        """For each rank, a value from the sketch on either side."""
+        steps = [int((r - self.below) * CUTS / self.inside) for r in self.ranks]
+        return sorted({self.sketch[min(max(k, 0), CUTS)] for s in steps for k in (s - 1, s + 2)})
+
+
+def sketch() -> Column:
+    """Values at every thousandth of the ranks, a tenth of a step off at most."""
+    return F.percentile_approx("v", [k / CUTS for k in range(CUTS + 1)], 10 * CUTS)
+
+
+def ranked(ctx: Context, values: DataFrame, intervals: list[Interval], most: int) -> dict[tuple[str, int], float]:
+    """The exact value at each rank of each column of ``values`` (name, v).
+
+    A sketch only says where to cut an interval; values are counted between the cuts and at them.  So a rank is found at a cut, or its interval shrinks,
+    until it holds ``most`` values, which are sorted.  No task holds more of a column.
+    """
+
+    def within(some: list[Interval], schema: str, extra: Callable[[Interval], list]) -> DataFrame:
+        table = ctx.spark.createDataFrame([(k, i.name, i.low, i.high, extra(i)) for k, i in enumerate(some)], f"k int, name string, low double, high double, {schema}")
+        return values.join(F.broadcast(table), "name").where("v > low and v < high")  # six rows a column at most
+
+    out, small = {}, []
+    while intervals:
+        small += [i for i in intervals if i.inside <= most]
+        large = [i for i in intervals if i.inside > most]
+        intervals = []
+        if not large:
+            break
+        if not all(i.sketch for i in large):
+            found = {r.k: r.s for r in within(large, "ranks array<long>", lambda i: list(i.ranks)).groupBy("k").agg(sketch().alias("s")).collect()}
+            large = [replace(i, sketch=found[k]) for k, i in enumerate(large)]
+        passed = lambda test: F.size(F.filter("cuts", test))
+        piece = passed(lambda c: c < F.col("v")) + passed(lambda c: c <= F.col("v"))  # odd at a cut, even between two
+        counts: dict[int, dict[int, int]] = {}
+        for r in within(large, "cuts array<double>", Interval.cuts).groupBy("k", piece.alias("piece")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r.k, {})[r.piece] = r.n
+        for k, i in enumerate(large):
+            cuts, below = i.cuts(), i.below
+            for p, n in sorted(counts[k].items()):
+                own = tuple(r for r in i.ranks if below < r <= below + n)
+                if p % 2:
+                    out |= {(i.name, r): cuts[p // 2] for r in own}
+                elif own:
+                    ends = [i.low, *cuts, i.high]
+                    intervals.append(Interval(i.name, ends[p // 2], ends[p // 2 + 1], below, n, own))
+                below += n
+    if small:
+        lists = within(small, "places array<int>", lambda i: [r - i.below for r in i.ranks]).groupBy("k", "places").agg(F.sort_array(F.collect_list("v")).alias("s"))
+        at = F.transform("places", lambda p: F.element_at("s", p))
+        for r in lists.select("k", at.alias("found")).collect():
+            out |= {(small[r.k].name, rank): v for rank, v in zip(small[r.k].ranks, r.found, strict=True)}
+    return out
+
+
 @dataclass(frozen=True)
 class BoxPlot(Plot):
-    """min, q1, median, q3, max of finite values.
+    """min, q1, median, q3, max of finite values, exact however many they are.
 
-    Up to 10 000 values are exact, with halves that leave out the median if the count is odd; beyond that quartiles are approximate.  Attributes without
-    values are left out.
+    Halves leave out the median if the count is odd.  Attributes without values are left out.
     """
 
     TYPE: ClassVar[str] = "BoxPlot"
     INPUTS: ClassVar[tuple[str, ...]] = ("source",)
     source: Operator | tuple[Operator, ...]
     column_names: tuple[str, ...] = ()
-    EXACT: ClassVar[int] = 10_000
+    SORTED: ClassVar[int] = 10_000
 
     def check(self, ctx: Context) -> None:
         if len(self.inputs()) > 8:
@@ -248,19 +318,20 @@ class BoxPlot(Plot):
             out = part if out is None else out.unionByName(part)
         return out
 
+    @staticmethod
+    def _ranks(n: int) -> tuple[tuple[int, int], ...]:
+        """The two ranks in the middle of the lower half, of all, and of the upper half."""
+        half = max(n // 2, 1)
+        return tuple((first + (m - 1) // 2, first + m // 2) for first, m in ((1, half), (1, n), (n - half + 1, half)))
+
     def query(self, ctx: Context, rect: Rect) -> DataFrame:
         long = self._long(ctx, rect)
-        counts = long.groupBy("name").agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile_approx("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000)).alias("q"))
-        small = long.join(F.broadcast(counts.where(F.col("n") <= self.EXACT).select("name")), "name")  # a row for each attribute
-        exact = small.groupBy("name").agg(F.sort_array(F.collect_list("v")).alias("s"))  # at most EXACT values each
-        at = lambda i: F.element_at("s", i.cast("int"))
-        mid = lambda first, n: (at(first + F.floor((n - 1) / 2)) + at(first + F.floor(n / 2))) / 2
-        n = F.size("s")
-        half = F.greatest(F.floor(n / 2), F.lit(1))
-        exact = exact.select("name", mid(F.lit(1), half).alias("e1"), mid(F.lit(1), n).alias("e2"), mid(n - half + 1, half).alias("e3"))
-        joined = counts.join(exact, "name", "left")
-        pick = lambda e, k: F.coalesce(e, F.col("q")[k])
-        return joined.select("name", "min", pick("e1", 0).alias("q1"), pick("e2", 1).alias("median"), pick("e3", 2).alias("q3"), "max", F.col("e2").isNotNull().alias("is_exact"))
+        found = long.groupBy("name").agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), sketch().alias("s")).collect()
+        whole = [Interval(r.name, -math.inf, math.inf, 0, r.n, tuple(sorted({k for pair in self._ranks(r.n) for k in pair})), r.s) for r in found]
+        at = ranked(ctx, long, whole, self.SORTED)
+        mid = lambda a, b: a if a == b else a / 2 + b / 2 if math.isinf(a + b) else (a + b) / 2
+        rows = [(r.name, r.min, *[mid(at[r.name, a], at[r.name, b]) for a, b in self._ranks(r.n)], r.max, True) for r in found]
+        return ctx.spark.createDataFrame(rows, "name string, min double, q1 double, median double, q3 double, max double, is_exact boolean")
 
     def document(self, ctx: Context, rect: Rect) -> dict:
         return vega.boxes([r.asDict() for r in self.query(ctx, rect).orderBy("name").collect()])

@@ -8,9 +8,10 @@ import pytest
 
 import terrafold.queries  # noqa: F401
 from terrafold.engine.graph import Context, GraphError, from_json
-from terrafold.model.descriptor import Band, GeoTransform, RasterDescriptor
+from terrafold.model.descriptor import Band, GeoTransform, RasterDescriptor, VectorDescriptor
 from terrafold.model.rect import Rect
 from terrafold.plans.optimizer import best_overview, for_request, optimize
+from terrafold.plots.terminal import BoxPlot
 from terrafold.queries import op, over
 from terrafold.sinks.outputs import Colorizer, feature_collection, png, store, tiles
 
@@ -43,6 +44,31 @@ def test_box_plot_leaves_out_the_median(ctx):
     assert [(r["q1"], r["median"], r["q3"]) for r in [{k: v for k, v in r.items()} for r in doc["data"]["values"]]] == [(1.5, 3.0, 4.5)]
 
 
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_box_plots_of_many_values_are_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(BoxPlot, "SORTED", most)
+    n = 12_346
+    columns = {
+        "spread": [math.sin(i) * 10.0 ** (i % 40 - 20) for i in range(n)],
+        "ties": [0.0 if i % 4 == 0 else 1.5 if i % 4 < 3 else 7.0 for i in range(n)],
+        "gap": [None if i % 3 == 0 else math.inf if i % 3 == 1 and i > 12_000 else -(1.7e308 - i * 1e300) if i % 2 else 1.7e308 - i * 1e300 for i in range(n)],
+        "few": [float(i) if i < 2 else math.nan for i in range(n)],
+        "none": [None] * n,
+    }
+    rows = spark.createDataFrame(list(zip([0] * n, [1] * n, *columns.values(), strict=True)), "t_start long, t_end long, " + ", ".join(f"{c} double" for c in columns))
+    ctx = Context(spark, {"many": (rows, VectorDescriptor("Data", dict.fromkeys(columns, "float")))})
+    got = {r.name: tuple(r)[1:] for r in from_json(op("BoxPlot", {"source": op("MockDatasetDataSource", data="many")})).query(ctx, Rect()).collect()}
+
+    def median(s):
+        a, b = s[(len(s) - 1) // 2], s[len(s) // 2]
+        return (a + b) / 2 if math.isfinite(a + b) else a / 2 + b / 2
+
+    for c, values in columns.items():
+        s = sorted(v for v in values if v is not None and math.isfinite(v))
+        half = len(s) // 2
+        assert got.get(c) == ((s[0], median(s[:half]), median(s), median(s[-half:]), s[-1], True) if s else None)
+
+
 def test_pie_and_errors(ctx):
     doc = from_json(op("PieChart", {"vector": DATA}, columnName="k")).document(ctx, Rect())
     assert doc["data"]["values"] == [{"slice": "a", "value": 2}, {"slice": "b", "value": 1}]
